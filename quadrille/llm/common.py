@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write df to the shared folder and read it again: like cut(), but with sizes that the planner knows."""
+    path, schema = fresh_path(df.sparkSession, what), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -58,18 +65,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     all aggregates are partial minima.  Only nodes that have an edge come back; an empty list gives no rows.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    old = state(e)
+    for _ in range(max_rounds if old[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        # A forest of stars is a fixed point: every node has one neighbour, and no centre is a leaf.
-        new, old = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first(), e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        e = small
-        if new == old:
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        new = state(e)
+        if new == old:  # a forest of stars stays as it is
             break
+        old = new
     else:
-        raise RuntimeError("connected components did not settle")
+        if old[0]:
+            raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

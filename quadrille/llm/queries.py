@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, url_filter
-from .common import table
+from . import embedding, sharding, simhash, url_filter, warc
+from .common import fresh_path, table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(manifest, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, URL_RULES).drop("url")
@@ -20,7 +35,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_url_filter": op8_url_filter, "op10_sharding": op10_sharding}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op6_simhash": op6_simhash, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op10_sharding": op10_sharding}
 
 URL_SQL = """
 WITH r(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
@@ -31,4 +46,23 @@ m AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict, row
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
 
-ORACLES = {"op8_url_filter": URL_SQL}
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e, list_dot_product(e, e) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / sqrt(a.n * b.n) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c
+"""
+
+WARC_SQL = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS keep FROM d GROUP BY h),
+b AS (SELECT h, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+        (list_reduce(list_transform(range(1, 6), lambda i: strpos('0123456789abcdef', substr(h, CAST(5 * (k // 4) + i AS INTEGER), 1)) - 1), lambda x, y: 16 * x + y) >> CAST(5 * (3 - k % 4) AS INTEGER)) % 32 AS INTEGER), 1)), '') AS digest FROM g)
+SELECT d.page_id, strlen(d.p) AS payload_bytes, b.digest AS payload_digest, CASE WHEN d.page_id = g.keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id = g.keep THEN NULL ELSE g.keep END AS refers_to
+FROM d JOIN g USING (h) JOIN b USING (h)
+"""
+
+ORACLES = {"op7_warc": WARC_SQL, "op2_embedding_dedup": EMBEDDING_SQL, "op8_url_filter": URL_SQL}
