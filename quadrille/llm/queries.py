@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, sharding, simhash, url_filter, warc
+from . import decontaminate, embedding, langid, packing, sharding, simhash, url_filter, warc
 from .common import fresh_path, table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, packing.word_tokens(F.col("text")))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs))
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
@@ -35,7 +51,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op6_simhash": op6_simhash, "op7_warc": op7_warc, "op8_url_filter": op8_url_filter, "op10_sharding": op10_sharding}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
+    "op6_simhash": op6_simhash,
+    "op7_warc": op7_warc,
+    "op8_url_filter": op8_url_filter,
+    "op10_sharding": op10_sharding,
+}
 
 URL_SQL = """
 WITH r(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
@@ -65,4 +90,18 @@ SELECT d.page_id, strlen(d.p) AS payload_bytes, b.digest AS payload_digest, CASE
 FROM d JOIN g USING (h) JOIN b USING (h)
 """
 
-ORACLES = {"op7_warc": WARC_SQL, "op2_embedding_dedup": EMBEDDING_SQL, "op8_url_filter": URL_SQL}
+DECONTAMINATION_SQL = r"""
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, unnest(list_transform(range(0, greatest(len(w) - 12, 1)), lambda k: array_to_string(w[k + 1:k + 13], ' '))) AS s FROM i WHERE len(w) > 0),
+n AS (SELECT DISTINCT n FROM iw),
+dp AS (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS p FROM w, n WHERE len(w) >= n),
+h AS (SELECT dp.doc_id, dp.p, dp.n, iw.item_id FROM dp JOIN iw ON iw.n = dp.n AND iw.s = array_to_string(dp.w[dp.p + 1:dp.p + dp.n], ' ')),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(w.w) AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES = {"op2_embedding_dedup": EMBEDDING_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op7_warc": WARC_SQL, "op8_url_filter": URL_SQL}
