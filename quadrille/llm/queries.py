@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding, langid, packing, sharding, simhash, url_filter, warc
+from . import decontaminate, embedding, langid, lm, packing, sharding, simhash, url_filter, warc
 from .common import fresh_path, table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -47,6 +47,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES).drop("url")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_warc": op7_warc,
     "op8_url_filter": op8_url_filter,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_sharding": op10_sharding,
 }
 
