@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding, langid, lm, packing, sharding, simhash, url_filter, warc
+from . import decontaminate, embedding, langid, lm, packing, sharding, simhash, token_counts, url_filter, warc
 from .common import fresh_path, table
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
@@ -20,6 +21,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
