@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import points as P
+from ..functions.kernels import coulomb, log_kernel
 from . import spatial
+from .lineage import cut
 
 
 def cells_of_levels(points: DataFrame, axes: list[str], levels: int) -> DataFrame:
@@ -61,8 +63,6 @@ def single_level(points: DataFrame, level: int) -> DataFrame:
     far = m.select("ix", "iy").join(m.select(F.col("ix").alias("jx"), F.col("iy").alias("jy"), "q"), F.greatest(F.abs(F.col("jx") - F.col("ix")), F.abs(F.col("jy") - F.col("iy"))) > 1)
     r = F.sqrt(((F.col("ix") - F.col("jx")) * (F.col("ix") - F.col("jx")) + (F.col("iy") - F.col("jy")) * (F.col("iy") - F.col("jy"))).cast("double")) / 2**level
     far = far.groupBy("ix", "iy").agg(F.sum(F.col("q") / r).alias("far"))
-    from ..functions.kernels import coulomb
-
     own = points.select("id", P.grid_index(F.col("x"), 2**level).alias("ix"), P.grid_index(F.col("y"), 2**level).alias("iy"))
     near = near_field(points, level, coulomb)
     return own.join(far, ["ix", "iy"], "left").join(near, "id", "left").select("id", (F.coalesce("far", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))).alias("u"))
@@ -70,8 +70,6 @@ def single_level(points: DataFrame, level: int) -> DataFrame:
 
 def multilevel(points: DataFrame, leaf: int) -> DataFrame:
     """(id, u) of 1/r with charges and local values of order 0 on levels 2 .. leaf."""
-    from ..functions.kernels import coulomb
-
     out = points.select("id", "x", "y").withColumn("u", F.lit(0.0))
     for level in range(2, leaf + 1):
         m = charged(points, level)
@@ -149,10 +147,9 @@ def complex_multipole(points: DataFrame, leaf: int, order: int = 6) -> DataFrame
 
     The local expansion of each level is evaluated at the points: polynomials, which shifting down would leave the same.
     """
-    from ..functions.kernels import log_kernel
-
     moments = {leaf: complex_moments(points, leaf, order)}
     for level in range(leaf, 2, -1):
+        moments[level] = cut(moments[level])
         moments[level - 1] = shift_up(moments[level], level, order)
     out = points.select("id", "x", "y").withColumn("u", F.lit(0.0))
     for level in range(2, leaf + 1):
@@ -200,19 +197,18 @@ def treecode(points: DataFrame, leaf: int, theta: float = 0.5) -> tuple[DataFram
     A cell whose radius is less than theta times its distance from every point of the leaf acts by its moments; else its
     children are looked at, and leaves that are too near act point by point.
     """
-    from ..functions.kernels import coulomb
-
     tree = None
     for level in range(leaf + 1):
         t = leaf_moments(points, level).withColumn("level", F.lit(level))
         tree = t if tree is None else tree.unionByName(t)
-    targets = leaf_moments(points, leaf).select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("xc").alias("x0"), F.col("yc").alias("y0"), F.col("radius").alias("tr"))
+    tree = cut(tree)
+    targets = tree.where(F.col("level") == leaf).select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("xc").alias("x0"), F.col("yc").alias("y0"), F.col("radius").alias("tr"))
     front = targets.select("*", F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"))
     accepted, near = [], None
     for level in range(leaf + 1):
         at = front.join(tree.where(F.col("level") == level), ["ix", "iy"])
         d = F.sqrt((F.col("xc") - F.col("x0")) * (F.col("xc") - F.col("x0")) + (F.col("yc") - F.col("y0")) * (F.col("yc") - F.col("y0"))) - F.col("tr")
-        at = at.withColumn("far", F.col("radius") < F.lit(theta) * d)
+        at = cut(at.withColumn("far", F.col("radius") < F.lit(theta) * d))
         accepted.append(at.where("far").select("tx", "ty", "m", "xc", "yc", "qxx", "qxy", "qyy"))
         rest = at.where("not far").select("tx", "ty", "x0", "y0", "tr", "ix", "iy")
         if level == leaf:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut as cut_lineage
+
 
 def ranked(df: DataFrame, lead: Column, ties: list[str], to: str = "pos", buckets: int | None = None) -> DataFrame:
     """df with ``to``: its 0-based position by (lead, ties).
@@ -55,10 +57,11 @@ def bisect(df: DataFrame, axes: list[str], levels: int, ident: str = "id") -> Da
     for level in range(levels):
         axis = axes[level % len(axes)]
         sizes = parts.groupBy("part").agg(F.count("*").alias("__n"))
-        offsets = sizes.select("part", "__n", F.coalesce(F.sum("__n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # 2^level rows
-        placed = ranked(parts, F.col("part") + F.col(axis), [ident], "__pos").join(F.broadcast(offsets) if level < 16 else offsets, "part")
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select("part", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))  # 2^level rows
+        placed = ranked(parts, F.col("part") + F.col(axis), [ident], "__pos").join(offsets, "part")
         upper = (F.col("__pos") - F.col("__base") >= F.floor(F.col("__n") / 2)).cast("long")
-        parts = placed.withColumn("part", 2 * F.col("part") + upper).drop("__pos", "__n", "__base")
+        parts = cut_lineage(placed.withColumn("part", 2 * F.col("part") + upper).drop("__pos", "__n", "__base"))
     return parts
 
 
@@ -105,6 +108,6 @@ def weighted_bisect(df: DataFrame, axes: list[str], ranks: int, ident: str = "id
         value = F.coalesce(*[F.when(of(axis) == k, F.col(a)) for k, a in enumerate(axes)])
         placed = ranked(parts, of(order) + value, [ident], "__pos")
         upper = F.col("__pos") - of(base) >= of(cut)
-        parts = placed.withColumn("part", F.when(upper & (of(split) > 0), F.col("part") + of(split)).otherwise(F.col("part"))).drop("__pos")
+        parts = cut_lineage(placed.withColumn("part", F.when(upper & (of(split) > 0), F.col("part") + of(split)).otherwise(F.col("part"))).drop("__pos"))
         live = {p: n for q, r in live.items() for p, n in (((q, r // 2), (q + r // 2, r - r // 2)) if r > 1 else ((q, r),))}
     return parts

@@ -1,6 +1,553 @@
-"""The registered queries of the engine's own operators."""
+"""The registered queries of the engine's own operators, each with the SQL that it is held against.
+
+All run over whole tables.  ``QUERIES`` maps a name to f(spark, sf_dir); ``ORACLES`` has the SQL of those that SQL can
+express; the others are tested against plain Python and by error bounds.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import kernels as K
+from ..functions import points as P
+from ..functions import vectors as V
+from ..operators import fits, hierarchy, intervals, linear, models, ordering, runs, spatial
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, and the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL fragments ------------------------------------------------------------------------------------------------
+
+SQ = "sq AS (SELECT p_partkey AS id, ((p_partkey * p_partkey * 31 + p_partkey * 7919) % 20011) / 20011e0 AS x, ((p_partkey * p_partkey * 17 + p_partkey * 104729) % 20021) / 20021e0 AS y FROM part)"
+CU = "cu AS (SELECT p_partkey AS id, ((p_partkey * p_partkey * 31 + p_partkey * 7919) % 20011) / 20011e0 AS x, ((p_partkey * p_partkey * 17 + p_partkey * 104729) % 20021) / 20021e0 AS y, ((p_partkey * p_partkey * 13 + p_partkey * 15485863) % 20023) / 20023e0 AS z FROM part)"
+IT = "it AS (SELECT (l_quantity - 1) / 50e0 AS x, l_extendedprice / 105000e0 AS y, (l_partkey % 997) / 997e0 AS z FROM lineitem)"
+
+
+def cell_sql(x: str, n: int) -> str:
+    return f"CAST(floor(least({x}, {1 - 2.0**-24!r}) * {n}) AS BIGINT)"
+
+
+def morton_sql(axes: list[str], level: int) -> str:
+    return "(" + " + ".join(f"((({a} >> {b}) & 1) << {len(axes) * b + k})" for b in range(level) for k, a in enumerate(axes)) + ")"
+
+
+def part(spark, d) -> DataFrame:
+    return P.read(spark, d, "part")
+
+
+def square(spark, d) -> DataFrame:
+    return P.square_points(part(spark, d))
+
+
+def charges(spark, d) -> DataFrame:
+    return square(spark, d).withColumn("q", F.lit(1.0))
+
+
+# --- points, keys, buckets ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SQ}, c AS (SELECT {cell_sql('x', 32)} AS ix, {cell_sql('y', 32)} AS iy FROM sq) SELECT {morton_sql(['iy', 'ix'], 5)} AS cell, count(*) AS n FROM c GROUP BY 1")
+def morton_histogram(spark: SparkSession, d: str) -> DataFrame:
+    key = P.morton2(P.grid_index(F.col("x"), 32), P.grid_index(F.col("y"), 32), 5)
+    return square(spark, d).groupBy(key.alias("cell")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SQ}, c AS (SELECT id, {cell_sql('x', 64)} AS ix, {cell_sql('y', 64)} AS iy FROM sq) SELECT id, {morton_sql(['iy', 'ix'], 6)} AS cell, ix, iy, {morton_sql(['iy', 'ix'], 6)} >> 2 AS up FROM c")
+def morton_decode_roundtrip(spark, d):
+    key = P.morton2(P.grid_index(F.col("x"), 64), P.grid_index(F.col("y"), 64), 6)
+    cells = square(spark, d).select("id", key.alias("cell"))
+    return cells.select("id", "cell", P.deinterleave(F.col("cell"), 1, 2, 6).alias("ix"), P.deinterleave(F.col("cell"), 0, 2, 6).alias("iy"), P.parent(F.col("cell"), 2).alias("up"))
+
+
+@query(f"WITH {IT}, c AS (SELECT {cell_sql('x', 8)} AS ix, {cell_sql('y', 8)} AS iy, {cell_sql('z', 8)} AS iz FROM it) SELECT {morton_sql(['ix', 'iy', 'iz'], 3)} AS cell, count(*) AS n, (ix + 0.5e0) / 8 AS xc, (iy + 0.5e0) / 8 AS yc, (iz + 0.5e0) / 8 AS zc, 0.0625e0 AS r FROM c GROUP BY ix, iy, iz")
+def morton3d_leaf_cells(spark, d):
+    at = P.item_points(P.read(spark, d, "lineitem")).select(*[P.grid_index(F.col(a), 8).alias(f"i{a}") for a in "xyz"])
+    leaf = at.groupBy("ix", "iy", "iz").agg(F.count("*").alias("n"))
+    return leaf.select(P.morton3(F.col("ix"), F.col("iy"), F.col("iz"), 3).alias("cell"), "n", *[((F.col(f"i{a}") + 0.5) / 8).alias(f"{a}c") for a in "xyz"], F.lit(0.0625).alias("r"))
+
+
+OCTREE = f"WITH {IT}, k AS (SELECT {cell_sql('x', 16)} AS ix, {cell_sql('y', 16)} AS iy, {cell_sql('z', 16)} AS iz FROM it), l AS (SELECT {morton_sql(['ix', 'iy', 'iz'], 4)} AS leaf FROM k), e AS (SELECT leaf, g.level FROM l, (SELECT unnest(range(0, 5)) AS level) g)"
+
+
+@query(f"{OCTREE} SELECT CAST(level AS INTEGER) AS level, leaf >> (3 * (4 - level)) AS cell, count(*) AS n, count(DISTINCT CASE WHEN level < 4 THEN leaf >> (3 * (3 - level)) END) AS children FROM e GROUP BY 1, 2")
+def octree_cells(spark, d):
+    return hierarchy.cells_of_levels(P.item_points(P.read(spark, d, "lineitem")), ["x", "y", "z"], 4)
+
+
+@query(f"""WITH {SQ}, k AS (SELECT {cell_sql('x', 64)} AS ix, {cell_sql('y', 64)} AS iy FROM sq), l AS (SELECT {morton_sql(['ix', 'iy'], 6)} AS leaf FROM k),
+c AS (SELECT g.level, leaf >> (2 * (6 - g.level)) AS cell, count(*) AS n FROM l, (SELECT unnest(range(0, 7)) AS level) g GROUP BY 1, 2)
+SELECT CAST(c.level AS INTEGER) AS level, c.cell, c.n FROM c LEFT JOIN c u ON u.level = c.level - 1 AND u.cell = c.cell >> 2 WHERE (c.n < 64 OR c.level = 6) AND (u.n IS NULL OR u.n >= 64)""")
+def adaptive_leaf_level(spark, d):
+    return hierarchy.adaptive_leaves(square(spark, d), ["x", "y"], 64, 6)
+
+
+@query(f"WITH {SQ} SELECT min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y, (min(x) + max(x)) / 2 AS mid_x, (min(y) + max(y)) / 2 AS mid_y, greatest((max(x) - min(x)) / 2, (max(y) - min(y)) / 2) * 1.000001e0 AS r0 FROM sq")
+def bounding_box(spark, d):
+    return spatial.bounding_box(square(spark, d), ["x", "y"])
+
+
+@query("WITH c AS (SELECT l_partkey // 10 AS key, count(*) AS n FROM lineitem GROUP BY 1) SELECT key, n, CAST(sum(n) OVER (ORDER BY key) - n AS BIGINT) AS \"offset\" FROM c")
+def bucket_offsets(spark, d):
+    return ordering.bucket_offsets(P.read(spark, d, "lineitem").select(F.expr("l_partkey div 10").alias("key")), "key", 64)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders")
+def sorted_rank_permutation(spark, d):
+    return ordering.ranked(P.read(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), ["o_orderkey"]).select("o_orderkey", "pos")
+
+
+@query("""WITH f AS (SELECT user_id, event_id, event_type, CASE WHEN event_type <> lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM f) SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS n, min(event_id) AS first FROM g GROUP BY 1, 2, 3""")
+def distinct_key_runs(spark, d):
+    return ordering.runs(P.read(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query(f"WITH {SQ}, c AS (SELECT {cell_sql('x', 32)} AS ix, {cell_sql('y', 32)} AS iy FROM sq) SELECT count(DISTINCT {morton_sql(['iy', 'ix'], 5)}) AS cells, max({morton_sql(['iy', 'ix'], 5)}) AS largest FROM c")
+def distinct_keys(spark, d):
+    key = P.morton2(P.grid_index(F.col("x"), 32), P.grid_index(F.col("y"), 32), 5)
+    return square(spark, d).select(key.alias("k")).agg(F.count_distinct("k").alias("cells"), F.max("k").alias("largest"))
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+SELECT l_returnflag, n // 2 AS pos, l_extendedprice AS median FROM r WHERE pos = n // 2""")
+def median_select(spark, d):
+    rows = P.read(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    sizes = sorted(rows.groupBy("l_returnflag").count().collect(), key=lambda r: r.l_returnflag)  # a row for each flag
+    lead, base, at = F.lit(None).cast("double"), 0, []
+    for k, r in enumerate(sizes):
+        lead = F.when(F.col("l_returnflag") == r.l_returnflag, k + F.col("l_extendedprice") / 1e6).otherwise(lead)
+        at.append((base + r["count"] // 2, r["count"] // 2))
+        base += r["count"]
+    placed = ordering.ranked(rows, lead, []).where(F.col("pos").isin([a for a, _ in at]))
+    own = F.element_at(F.create_map(*[F.lit(x) for a, b in at for x in (a, b)]), F.col("pos").cast("int"))
+    return placed.select("l_returnflag", own.cast("long").alias("pos"), F.col("l_extendedprice").alias("median"))
+
+
+def _bisection_sql(levels: int) -> str:
+    steps = ["l0 AS (SELECT id, x, y, z, CAST(0 AS BIGINT) AS part FROM cu)"]
+    for k in range(levels):
+        a = "xyz"[k % 3]
+        steps.append(f"l{k + 1} AS (SELECT id, x, y, z, 2 * part + CASE WHEN row_number() OVER (PARTITION BY part ORDER BY {a}, id) - 1 >= count(*) OVER (PARTITION BY part) // 2 THEN 1 ELSE 0 END AS part FROM l{k})")
+    return f"WITH {CU}, {', '.join(steps)} SELECT id, part FROM l{levels}"
+
+
+@query(_bisection_sql(5))
+def axis_bisection(spark, d):
+    return ordering.bisect(P.cube_points(part(spark, d)), ["x", "y", "z"], 5).select("id", "part")
+
+
+def _weighted_sql(ranks: int) -> str:
+    steps = [f"l0 AS (SELECT id, x, y, z, 0 AS part, {ranks} AS r FROM cu)"]
+    for k in range((ranks - 1).bit_length()):
+        extent = {a: f"max({a}) OVER w - min({a}) OVER w" for a in "xyz"}
+        steps.append(f"""e{k} AS (SELECT *, CASE WHEN {extent['x']} >= {extent['y']} AND {extent['x']} >= {extent['z']} THEN x WHEN {extent['y']} >= {extent['z']} THEN y ELSE z END AS v, count(*) OVER w AS n FROM l{k} WINDOW w AS (PARTITION BY part)),
+l{k + 1} AS (SELECT id, x, y, z, CASE WHEN up THEN part + r // 2 ELSE part END AS part, CASE WHEN r < 2 THEN r WHEN up THEN r - r // 2 ELSE r // 2 END AS r
+FROM (SELECT *, r > 1 AND row_number() OVER (PARTITION BY part ORDER BY v, id) - 1 >= n * (r // 2) // r AS up FROM e{k}))""")
+    return f"WITH {CU}, {', '.join(steps)} SELECT id, CAST(part AS INTEGER) AS part FROM l{(ranks - 1).bit_length()}"
+
+
+@query(_weighted_sql(7))
+def weighted_bisection(spark, d):
+    return ordering.weighted_bisect(P.cube_points(part(spark, d)), ["x", "y", "z"], 7).select("id", "part")
+
+
+def _halving_sql(ranks: int) -> str:
+    depth = (ranks - 1).bit_length()
+    steps = [f"l0 AS (SELECT CAST(unnest(range(0, {ranks})) AS INTEGER) AS rank, 0 AS disp, {ranks} AS cnt, {ranks} AS other, 0 AS color)"]
+    for k in range(depth):
+        low = "rank - disp < cnt // 2"
+        color = f"2 * color + CASE WHEN {low} THEN 0 ELSE 1 END" if k < depth - 1 else f"CASE WHEN {low} THEN disp ELSE disp + cnt // 2 END"
+        steps.append(f"l{k + 1} AS (SELECT rank, CASE WHEN {low} THEN disp ELSE disp + cnt // 2 END AS disp, CASE WHEN {low} THEN cnt // 2 ELSE cnt - cnt // 2 END AS cnt, CASE WHEN {low} THEN cnt - cnt // 2 ELSE cnt // 2 END AS other, {color} AS color FROM l{k})")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT {k} AS level, rank, disp, cnt, other, color, rank - disp AS key FROM l{k + 1}" for k in range(depth))
+
+
+@query(_halving_sql(7))
+def rank_halving(spark, d):
+    return ordering.rank_halving(spark, 7)
+
+
+# --- neighbours and all pairs -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SQ} SELECT a.id, count(*) AS n FROM sq a JOIN sq b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 0.05e0 * 0.05e0 GROUP BY a.id")
+def radius_count(spark, d):
+    return spatial.radius_count(square(spark, d), 0.05)
+
+
+@query(f"WITH {SQ}, p AS (SELECT a.id AS i, b.id AS j, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS dist2 FROM sq a JOIN sq b ON a.id < b.id) SELECT row_number() OVER (ORDER BY dist2, i, j) AS rank, i, j, dist2 FROM p ORDER BY dist2, i, j LIMIT 1000")
+def closest_pairs_grid(spark, d):
+    return spatial.closest_pairs(square(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {SQ}, m AS (SELECT *, 1e0 / (SELECT count(*) FROM sq) AS m FROM sq) SELECT a.id, round(sum(b.m / sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + 1e-6)), 6) AS p FROM m a, m b GROUP BY a.id")
+def potential_direct(spark, d):
+    pts = square(spark, d)
+    return spatial.softened_potential_force(pts.withColumn("m", F.lit(1.0 / max(pts.count(), 1))), ["x", "y"]).select("id", F.round("p", 6).alias("p"))
+
+
+@query(f"""WITH {CU}, m AS (SELECT *, 1e0 / (SELECT count(*) FROM cu) AS m FROM cu),
+p AS (SELECT a.id, b.m AS m, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, 1 / sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) + 1e-6) AS v FROM m a, m b)
+SELECT id, round(sum(m * v), 6) AS p, round(sum(m * v * v * v * dx), 5) + 0e0 AS ax, round(sum(m * v * v * v * dy), 5) + 0e0 AS ay, round(sum(m * v * v * v * dz), 5) + 0e0 AS az FROM p GROUP BY id""")
+def force_direct_3d(spark, d):
+    pts = P.cube_points(part(spark, d))
+    f = spatial.softened_potential_force(pts.withColumn("m", F.lit(1.0 / max(pts.count(), 1))), ["x", "y", "z"])
+    return f.select("id", F.round("p", 6).alias("p"), *[(F.round(f"a{a}", 5) + 0.0).alias(f"a{a}") for a in "xyz"])
+
+
+@query("SELECT round(sqrt(sum((floor(p_retailprice) - p_retailprice) * (floor(p_retailprice) - p_retailprice)) / sum(p_retailprice * p_retailprice)), 9) AS error FROM part")
+def relative_l2(spark, d):
+    t = part(spark, d).select(F.floor("p_retailprice").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+    return spatial.relative_l2(t, "a", "b").select(F.round("error", 9).alias("error"))
+
+
+@query(f"""WITH {SQ}, j AS (SELECT count(*) AS m, sum(1 / (sqrt(x * x + y * y) + 1)) AS unused FROM sq), i AS (SELECT id, x + 2 AS x, y FROM sq),
+e AS (SELECT i.id, sum(1 / sqrt((i.x - s.x) * (i.x - s.x) + (i.y - s.y) * (i.y - s.y))) AS exact FROM i, sq s GROUP BY i.id)
+SELECT e.id, (SELECT m FROM j) / 2e0 AS approx, round(e.exact, 5) AS exact FROM e""")
+def far_field_monopole(spark, d):
+    """Sources in the unit square act on targets two units away as one charge on one centre, beside the exact sum."""
+    src = charges(spark, d)
+    tgt = src.withColumn("x", F.col("x") + 2)
+    exact = spatial.all_pairs(tgt, src).groupBy(F.col("idi").alias("id")).agg(F.sum(F.col("qj") * K.coulomb(spatial.distance2(["x", "y"]))).alias("exact"))
+    total = src.agg((F.sum("q") / 2).alias("approx"))  # one row
+    return exact.crossJoin(total).select("id", "approx", F.round("exact", 5).alias("exact"))
+
+
+@query(f"WITH {SQ}, p AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) * (sqrt(3e0) / 2) AS r FROM sq a, sq b) SELECT id, round(sum((1 + r) * exp(-r)), 5) AS u FROM p GROUP BY id")
+def matern_kernel_sum(spark, d):
+    pts = charges(spark, d)
+    return spatial.all_pairs(pts, pts).groupBy(F.col("idi").alias("id")).agg(F.round(F.sum(F.col("qj") * K.matern_three_halves(spatial.distance2(["x", "y"]))), 5).alias("u"))
+
+
+# --- hierarchies ------------------------------------------------------------------------------------------------------
+
+
+def _near_sql(level: int) -> str:
+    n = 2**level
+    return f"""c AS (SELECT id, x, y, {cell_sql('x', n)} AS ix, {cell_sql('y', n)} AS iy FROM sq),
+near AS (SELECT a.id, sum(CASE WHEN (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) > 0 THEN 1 / sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) ELSE 0 END) AS v FROM c a JOIN c b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 GROUP BY a.id)"""
+
+
+def _single_sql(level: int) -> str:
+    n = 2**level
+    return f"""WITH {SQ}, {_near_sql(level)}, m AS (SELECT ix, iy, count(*) AS q FROM c GROUP BY ix, iy),
+far AS (SELECT c.id, sum(m.q / (sqrt((c.ix - m.ix) * (c.ix - m.ix) + (c.iy - m.iy) * (c.iy - m.iy)) / {n})) AS v FROM c JOIN m ON greatest(abs(c.ix - m.ix), abs(c.iy - m.iy)) > 1 GROUP BY c.id)
+SELECT c.id, round(coalesce(far.v, 0) + near.v, 4) AS u FROM c LEFT JOIN far USING (id) JOIN near USING (id)"""
+
+
+@query(_single_sql(2))
+def near_far_order0(spark, d):
+    return hierarchy.single_level(charges(spark, d), 2).select("id", F.round("u", 4).alias("u"))
+
+
+@query(_single_sql(3))
+def single_level3(spark, d):
+    return hierarchy.single_level(charges(spark, d), 3).select("id", F.round("u", 4).alias("u"))
+
+
+def _multilevel_sql(leaf: int) -> str:
+    far = []
+    for level in range(2, leaf + 1):
+        n = 2**level
+        c = f"(SELECT id, {cell_sql('x', n)} AS ix, {cell_sql('y', n)} AS iy FROM sq)"
+        far.append(f"""SELECT a.id, sum(m.q / (sqrt((a.ix - m.ix) * (a.ix - m.ix) + (a.iy - m.iy) * (a.iy - m.iy)) / {n})) AS v FROM {c} a JOIN (SELECT ix, iy, count(*) AS q FROM {c} GROUP BY ix, iy) m
+ON greatest(abs(a.ix - m.ix), abs(a.iy - m.iy)) > 1 AND abs((a.ix >> 1) - (m.ix >> 1)) <= 1 AND abs((a.iy >> 1) - (m.iy >> 1)) <= 1 GROUP BY a.id""")
+    return f"WITH {SQ}, {_near_sql(leaf)}, far AS (SELECT id, sum(v) AS v FROM ({' UNION ALL '.join(far)}) GROUP BY id) SELECT c.id, round(coalesce(far.v, 0) + near.v, 4) AS u FROM c LEFT JOIN far USING (id) JOIN near USING (id)"
+
+
+@query(_multilevel_sql(4))
+def multilevel_order0(spark, d):
+    return hierarchy.multilevel(charges(spark, d), 4).select("id", F.round("u", 4).alias("u"))
+
+
+@query()
+def complex_fmm_order6(spark, d):
+    return hierarchy.complex_multipole(charges(spark, d), 3, 6).select("id", F.round("u", 4).alias("u"))
+
+
+@query(f"""WITH {SQ}, c AS (SELECT x, y, {cell_sql('x', 8)} AS ix, {cell_sql('y', 8)} AS iy FROM sq), k AS (SELECT ix, iy, avg(x) AS xc, avg(y) AS yc FROM c GROUP BY ix, iy)
+SELECT ix, iy, count(*) AS n, CAST(count(*) AS DOUBLE) AS m, round(xc, 9) AS xc, round(yc, 9) AS yc, round(sum((x - xc) * (x - xc)) / 2, 6) AS qxx, round(sum((x - xc) * (y - yc)), 6) + 0e0 AS qxy, round(sum((y - yc) * (y - yc)) / 2, 6) AS qyy,
+round(sqrt(power(greatest(max(x) - xc, xc - min(x)), 2) + power(greatest(max(y) - yc, yc - min(y)), 2)), 9) AS radius FROM c JOIN k USING (ix, iy) GROUP BY ix, iy, xc, yc""")
+def leaf_quadrupole(spark, d):
+    m = hierarchy.leaf_moments(charges(spark, d), 3)
+    return m.select("ix", "iy", "n", "m", *[F.round(c, 9).alias(c) for c in ("xc", "yc", "radius")], *[(F.round(c, 6) + 0.0).alias(c) for c in ("qxx", "qxy", "qyy")])
+
+
+@query()
+def treecode_theta(spark, d):
+    return hierarchy.treecode(charges(spark, d), 4, 0.5)[0].select("id", F.round("u", 4).alias("u"))
+
+
+@query()
+def treecode_counters(spark, d):
+    return hierarchy.treecode(charges(spark, d), 4, 0.5)[1]
+
+
+# --- vectors ----------------------------------------------------------------------------------------------------------
+
+
+def vectors(spark, d) -> DataFrame:
+    return P.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+VE = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+D2 = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+@query(f"WITH {VE}, c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, v FROM (SELECT * FROM v ORDER BY id LIMIT 8)), p AS (SELECT v.id, c.k, {D2} AS d2 FROM v, c) SELECT id, CAST(arg_min(k, (d2, k)) AS INTEGER) AS k, round(min(d2), 6) AS d2 FROM p GROUP BY id")
+def nearest_centroid(spark, d):
+    pts = vectors(spark, d)
+    seeds = [list(r.v) for r in pts.orderBy("id").limit(8).collect()]
+    return linear.nearest(pts, seeds).select("id", "k", F.round("d2", 6).alias("d2"))
+
+
+def _kmeans_sql(k: int, rounds: int) -> str:
+    steps = [f"c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, v FROM (SELECT * FROM v ORDER BY id LIMIT {k}))"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT v.id, arg_min(c.k, ({D2}, c.k)) AS k FROM v, c{r} c GROUP BY v.id)")
+        if r < rounds:
+            steps.append(f"c{r + 1} AS (SELECT k, list(m ORDER BY d) AS v FROM (SELECT a.k, d, avg(v.v[d]) AS m FROM a{r} a JOIN v USING (id), (SELECT unnest(range(1, 65)) AS d) GROUP BY a.k, d) GROUP BY k)")
+    return f"WITH {VE}, {', '.join(steps)} SELECT id, CAST(k AS INTEGER) AS k FROM a{rounds}"
+
+
+@query(_kmeans_sql(8, 2))
+def kmeans_rounds(spark, d):
+    return linear.kmeans(vectors(spark, d), 8, 2)[0].select("id", "k")
+
+
+@query(f"WITH {VE} SELECT id, round(list_sum(v), 6) + 0e0 AS s, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS n2, list_min(v) AS lo, list_max(v) AS hi, round(list_sum(list_transform(v, lambda x: abs(x))), 6) AS l1 FROM v")
+def vector_norms(spark, d):
+    v = F.col("v")
+    return vectors(spark, d).select("id", (F.round(V.total(v), 6) + 0.0).alias("s"), F.round(V.norm2(v), 6).alias("n2"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"), F.round(V.total(V.absolute(v)), 6).alias("l1"))
+
+
+@query(f"""WITH {VE}, w AS (SELECT id, list_transform(v[1:3], lambda x: CASE WHEN x < -0.1e0 THEN x + 0.2e0 WHEN x > 0.1e0 THEN x - 0.2e0 ELSE x END) AS w, list_transform(v[1:3], lambda x: abs(x) > 0.1e0) AS m FROM v)
+SELECT id, w[1] AS x, w[2] AS y, w[3] AS z, CAST(m[1] AS BIGINT) + 2 * CAST(m[2] AS BIGINT) + 4 * CAST(m[3] AS BIGINT) AS mask FROM w""")
+def periodic_wrap(spark, d):
+    lead = F.slice("v", 1, 3)
+    w = vectors(spark, d).select("id", V.wrap(lead, 0.2).alias("w"), V.wrap_mask(lead, 0.2).alias("mask"))
+    return w.select("id", *[F.get("w", F.lit(k)).alias(a) for k, a in enumerate("xyz")], "mask")
+
+
+@query("SELECT l_orderkey AS i, p_size AS j, round(sum(l_quantity * p_retailprice), 4) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+def gemm(spark, d):
+    a = P.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("k"), F.col("l_quantity").alias("v"))
+    b = part(spark, d).select(F.col("p_partkey").alias("k"), F.col("p_size").alias("j"), F.col("p_retailprice").alias("v"))
+    return linear.gemm(a, b).select("i", "j", F.round("v", 4).alias("v"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 2.5e0 * l_quantity + l_extendedprice AS y FROM lineitem")
+def saxpy(spark, d):
+    return P.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.lit(2.5) * F.col("l_quantity") + F.col("l_extendedprice")).alias("y"))
+
+
+@query("SELECT round(avg((2 * l_quantity - l_extendedprice / 1e3) * (2 * l_quantity - l_extendedprice / 1e3)), 6) AS loss, round(avg(2 * (2 * l_quantity - l_extendedprice / 1e3) * l_quantity), 6) AS dw FROM lineitem")
+def mse_gradient(spark, d):
+    rows = P.read(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1e3).alias("y"))
+    return models.mse_gradient(rows, 2.0).select(F.round("loss", 6).alias("loss"), F.round("dw", 6).alias("dw"))
+
+
+@query("WITH r AS (SELECT event_type, user_id % 8 AS rank, sum(value) AS v FROM events GROUP BY 1, 2) SELECT event_type, round(sum(v) / 8, 6) AS mean, round(min(v), 4) AS lo, round(max(v), 4) AS hi FROM r GROUP BY 1")
+def allreduce_mean(spark, d):
+    ranks = P.read(spark, d, "events").groupBy("event_type", (F.col("user_id") % 8).alias("rank")).agg(F.sum("value").alias("v"))
+    return ranks.groupBy("event_type").agg(F.round(F.sum("v") / 8, 6).alias("mean"), F.round(F.min("v"), 4).alias("lo"), F.round(F.max("v"), 4).alias("hi"))
+
+
+@query("""WITH s AS (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, sum(value) AS re FROM events GROUP BY 1), k AS (SELECT CAST(unnest(range(0, 30)) AS INTEGER) AS k)
+SELECT k, round(sum(re * cos(-2 * pi() * ((k * t) % 30) / 30)), 3) + 0e0 AS re, round(sum(re * sin(-2 * pi() * ((k * t) % 30) / 30)), 3) + 0e0 AS im FROM s, k GROUP BY k""")
+def dft_daily(spark, d):
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    series = P.read(spark, d, "events").groupBy(day.alias("t")).agg(F.sum("value").alias("re")).withColumn("im", F.lit(0.0))
+    return linear.dft(series, 30).select("k", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
+# --- intervals and time -----------------------------------------------------------------------------------------------
+
+BUSY = "busy AS (SELECT user_id AS cal, ts AS s, ts + INTERVAL 3 HOUR AS e FROM events)"
+MERGED = f"{BUSY}, f AS (SELECT cal, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY cal ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM busy), g AS (SELECT cal, s, e, sum(new) OVER (PARTITION BY cal ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM f), merged AS (SELECT cal, min(s) AS s, max(e) AS e FROM g GROUP BY cal, g)"
+FREE = f"""{MERGED}, i AS (SELECT cal, s, e FROM merged WHERE e > TIMESTAMP '2024-01-01' AND s < TIMESTAMP '2024-02-01' UNION ALL SELECT DISTINCT cal, TIMESTAMP '2024-02-01', TIMESTAMP '2024-02-01' FROM busy),
+h AS (SELECT cal, coalesce(lag(e) OVER (PARTITION BY cal ORDER BY s, e), TIMESTAMP '2024-01-01') AS s, least(s, TIMESTAMP '2024-02-01') AS e FROM i), free AS (SELECT cal, s, e FROM h WHERE s < e)"""
+#: Public holidays of the month that the events cover (fixed values).
+HOLIDAYS = ["2024-01-01", "2024-01-08"]
+
+
+def busy(spark, d) -> DataFrame:
+    return P.read(spark, d, "events").select(F.col("user_id").alias("cal"), F.col("ts").cast("timestamp").alias("s"), (F.col("ts") + F.expr("interval 3 hours")).cast("timestamp").alias("e"))
+
+
+def holiday_table(spark) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(h).cast("date") for h in HOLIDAYS])).alias("day"))
+
+
+@query(f"WITH {MERGED} SELECT cal, CAST(epoch_us(s) AS BIGINT) AS s, CAST(epoch_us(e) AS BIGINT) AS e FROM merged")
+def interval_union(spark, d):
+    return intervals.union(busy(spark, d)).select("cal", F.unix_micros("s").alias("s"), F.unix_micros("e").alias("e"))
+
+
+@query(f"WITH {FREE} SELECT cal, CAST(epoch_us(s) AS BIGINT) AS s, CAST(epoch_us(e) AS BIGINT) AS e FROM free")
+def interval_gaps(spark, d):
+    b = busy(spark, d)
+    return intervals.gaps(b, b, "2024-01-01", "2024-02-01").select("cal", F.unix_micros("s").alias("s"), F.unix_micros("e").alias("e"))
+
+
+@query(f"""WITH {FREE}, l AS (SELECT cal, s + INTERVAL 9 HOUR AS s, e + INTERVAL 9 HOUR AS e FROM free), k AS (SELECT cal, s, e, unnest(generate_series(date_trunc('day', s), date_trunc('day', e), INTERVAL 1 DAY)) AS day FROM l),
+t AS (SELECT cal, CAST(day AS DATE) AS day, greatest(s, day + INTERVAL 9 HOUR) AS a, least(e, day + INTERVAL 20 HOUR + INTERVAL 30 MINUTE) AS b FROM k WHERE isodow(day) < 6 AND CAST(day AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-08'))
+SELECT cal, strftime(day, '%Y-%m-%d') AS day, strftime(day, '%m/%d (%a)') AS label, string_agg(strftime(a, '%H:%M') || '–' || strftime(b, '%H:%M'), ', ' ORDER BY a) AS slots FROM t WHERE b >= a + INTERVAL 30 MINUTE GROUP BY cal, day""")
+def free_slots(spark, d):
+    b = busy(spark, d)
+    slots = intervals.free_slots(intervals.gaps(b, b, "2024-01-01", "2024-02-01"), holiday_table(spark))
+    return slots.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (DATE '1998-01-01', DATE '1998-12-25', DATE '1999-01-01') GROUP BY 1")
+def holiday_antijoin(spark, d):
+    days = spark.range(1).select(F.explode(F.array(*[F.lit(h).cast("date") for h in ("1998-01-01", "1998-12-25", "1999-01-01")])).alias("day"))
+    left = P.read(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")).join(days, "day", "left_anti")
+    return left.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+# --- runs and budgets -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH c AS (SELECT l_linenumber AS model, l_orderkey AS x, max(l_quantity) AS y FROM lineitem GROUP BY 1, 2), q AS (SELECT CAST(o_orderkey % 7 + 1 AS INTEGER) AS model, o_orderkey AS x FROM orders),
+t AS (SELECT model, x, y, 0 AS q, {'x': x, 'y': y} AS p FROM c UNION ALL SELECT model, x, NULL, 1, NULL FROM q),
+w AS (SELECT model, x, q, last_value(p IGNORE NULLS) OVER (PARTITION BY model ORDER BY x, q ROWS UNBOUNDED PRECEDING) AS l, last_value(p IGNORE NULLS) OVER (PARTITION BY model ORDER BY x DESC, q ROWS UNBOUNDED PRECEDING) AS r FROM t)
+SELECT model, x, round(CASE WHEN l IS NULL THEN r.y WHEN r IS NULL OR l.x = r.x THEN l.y ELSE l.y + (r.y - l.y) / (r.x - l.x) * (x - l.x) END, 6) AS y FROM w WHERE q = 1""")
+def loss_interp(spark, d):
+    curve = P.read(spark, d, "lineitem").select(F.col("l_linenumber").alias("model"), F.col("l_orderkey").alias("x"), F.col("l_quantity").alias("y"))
+    ask = P.read(spark, d, "orders").select((F.col("o_orderkey") % 7 + 1).cast("int").alias("model"), F.col("o_orderkey").alias("x"))
+    return runs.interpolate(ask, curve, ["model"]).select("model", "x", F.round("y", 6).alias("y"))
+
+
+@query("SELECT event_id, event_type AS name FROM events WHERE (event_type = 'click' AND ts < TIMESTAMP '2024-01-10') OR regexp_matches(event_type, 'purch|sign')")
+def run_filter(spark, d):
+    table = P.read(spark, d, "events").select("event_id", F.col("event_type").alias("name"), F.col("ts").alias("created_at"), F.array("event_type").alias("tags"))
+    return runs.matching(table, [{"tag": "click", "before": "2024-01-10"}, {"name": "purch|sign"}]).select("event_id", "name")
+
+
+@query("""WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, min(event_id) AS lo, max(event_id) AS hi, count(*) FILTER (r % CAST(ceil(n / 100e0) AS BIGINT) = 0) AS sampled FROM r GROUP BY 1""")
+def run_step_bounds(spark, d):
+    events = P.read(spark, d, "events").select("event_type", "event_id")
+    bounds = events.groupBy("event_type").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    sample = runs.strided(events, "event_type", "event_id", 100).groupBy("event_type").agg(F.count("*").alias("sampled"))
+    return bounds.join(sample, "event_type")
+
+
+@query("""WITH t AS (SELECT (event_id % 10 + 1) * 100000 AS size, user_id % 4 AS pair, 2 * ((event_id % 10 + 1) * 100000) / (value / 1e3) / 1e6 AS rate FROM events WHERE value > 0), p AS (SELECT size, pair, min(rate) AS lo, avg(rate) AS mid, max(rate) AS hi FROM t GROUP BY 1, 2)
+SELECT size, round(avg(lo), 3) AS worst, round(avg(mid), 3) AS mean, round(avg(hi), 3) AS best FROM p GROUP BY 1""")
+def bandwidth_stats(spark, d):
+    e = P.read(spark, d, "events").where("value > 0")
+    trips = e.select(((F.col("event_id") % 10 + 1) * 100000).alias("size"), (F.col("user_id") % 4).alias("pair"), (F.col("value") / 1e3).alias("seconds"))
+    return models.bandwidth(trips).select("size", *[F.round(c, 3).alias(c) for c in ("worst", "mean", "best")])
+
+
+GRID = "b AS (SELECT unnest([1e3, 2e3, 5e3, 1e4, 2e4]) AS gpu_months), s AS (SELECT unnest([1.3e0, 7e0, 13e0, 70e0, 172e0, 460e0, 1110e0]) AS params)"
+
+
+@query(f"""WITH {GRID}, t AS (SELECT gpu_months, params, gpu_months * 1114560000000000000000e0 / (1114560000000000000000e0 * 2600 / (172e9 * 2e12)) / params / 1e18 AS tokens FROM b, s)
+SELECT gpu_months, params, round(tokens, 6) AS tokens, round(1.69e0 + 406.4e0 / power(params * 1e9, 0.34e0) + 410.7e0 / power(tokens * 1e9, 0.28e0), 6) AS loss,
+CASE WHEN tokens > 2e6 THEN CAST(CAST(floor(tokens / 1e6) AS BIGINT) AS VARCHAR) || 'Q' WHEN tokens > 1e6 THEN printf('%.1fQ', tokens / 1e6) WHEN tokens > 2e3 THEN CAST(CAST(floor(tokens / 1e3) AS BIGINT) AS VARCHAR) || 'T' WHEN tokens > 1e3 THEN printf('%.1fT', tokens / 1e3) ELSE CAST(CAST(floor(tokens) AS BIGINT) AS VARCHAR) || 'B' END AS label FROM t""")
+def token_budget_grid(spark, d):
+    one = lambda values, name: spark.range(1).select(F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name))
+    grid = runs.iso_budget(one((1e3, 2e3, 5e3, 1e4, 2e4), "gpu_months"), one((1.3, 7, 13, 70, 172, 460, 1110), "params"), 406.4, 410.7, 1.69, 0.34, 0.28)
+    return grid.select("gpu_months", "params", F.round("tokens", 6).alias("tokens"), F.round("loss", 6).alias("loss"), "label")
+
+
+POINTS = "p AS (SELECT l_extendedprice * 1e5 AS n, l_quantity * 1e9 AS d, 1.9e0 + l_discount + l_tax AS loss FROM lineitem)"
+
+
+def scaling_points(spark, d) -> DataFrame:
+    return P.read(spark, d, "lineitem").select((F.col("l_extendedprice") * 1e5).alias("n"), (F.col("l_quantity") * 1e9).alias("d"), (F.lit(1.9) + F.col("l_discount") + F.col("l_tax")).alias("loss"))
+
+
+@query(f"""WITH {POINTS}, r AS (SELECT ln(loss) - ln(exp(ln(406.4e0) - 0.34e0 * ln(n)) + exp(ln(410.7e0) - 0.28e0 * ln(d)) + exp(ln(1.69e0))) AS r FROM p)
+SELECT round(sum(CASE WHEN abs(r) <= 1e-3 THEN 0.5e0 * r * r ELSE 1e-3 * (abs(r) - 0.5e-3) END), 6) AS objective FROM r""")
+def huber_objective(spark, d):
+    import math
+
+    start = (math.log(406.4), math.log(410.7), math.log(1.69), 0.34, 0.28)
+    return runs.scaling_objective(scaling_points(spark, d), start).select(F.round("objective", 6).alias("objective"))
+
+
+@query()
+def sigmoid_fit(spark, d):
+    e = P.read(spark, d, "events").select("event_type", F.col("value").alias("x"), K.sigmoid(F.col("value"), 200.0, 0.02).alias("y"))
+    return fits.sigmoid_fit(e, "event_type").select("event_type", F.round("x0", 3).alias("x0"), F.round("k", 5).alias("k"), "n")
+
+
+@query()
+def scaling_fit(spark, d):
+    import math
+
+    start = (math.log(406.4), math.log(410.7), math.log(1.69), 0.34, 0.28)
+    p, cost = fits.scaling_fit(scaling_points(spark, d), start)
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in zip(("a", "b", "e", "alpha", "beta"), p, strict=True)], F.lit(cost).alias("objective"))
+
+
+# --- models, corpus, look-ups -------------------------------------------------------------------------------------------
+
+
+@query("""WITH m(size, a, h, f, l, k) AS (VALUES (13, 40, 5120, 13824, 40, 40), (70, 64, 8192, 28672, 80, 8), (172, 96, 12288, 38464, 96, 16))
+SELECT 'dense-' || size AS model, round((h * 99487e0 + 2e0 * l * h * h * ((1 + k / (a * 1e0) + 8 * 1.5e0 * f / h) + 1e0 / h)) / 1e9, 5) AS billions FROM m
+UNION ALL SELECT * FROM (VALUES ('embedding', 0.9175e0), ('output', 0.9175e0), ('attention', 5.7567e0), ('dense', 1.8497e0), ('gating', 0.1064e0), ('experts', 656.4631e0), ('experts active', 22.989e0), ('norm', 0.0004e0), ('prediction', 11.5e0), ('total', 677.5113e0), ('active', 32.5372e0))""")
+def parameter_model(spark, d):
+    return models.parameter_counts(spark)
+
+
+@query("SELECT * FROM (VALUES ('tree', 2.3e8), ('P2M', 1.0e8), ('M2M', 3.0e9), ('M2L', 2.8e11), ('L2L', 3.0e9), ('L2P', 1.0e8), ('P2P', 5.4e8), ('total', 2.9e11)) AS t(step, flops)")
+def flop_model(spark, d):
+    two = F.round(F.col("flops") / F.pow(F.lit(10.0), F.floor(F.log10("flops")) - 1)) * F.pow(F.lit(10.0), F.floor(F.log10("flops")) - 1)
+    return models.operation_counts(spark, 100000, 10, 10).select("step", F.round(two, 0).alias("flops"))
+
+
+@query("""WITH a AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)
+SELECT o_orderkey, v AS amount, ((v + 109999) // 110000) * 110000 AS total, (((v + 109999) // 110000) * 110000) / 275e0 AS units, ((v + 109999) // 110000) * 110000 - v AS carry FROM a""")
+def currency_roundup(spark, d):
+    text = F.concat(F.lit("¥ "), F.format_number(F.floor("o_totalprice"), 0))
+    return models.round_up(P.read(spark, d, "orders").select("o_orderkey", text.alias("text")), "text").drop("text")
+
+
+@query("""WITH p AS (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS leaf, split_part(url, '/', 4) AS tag FROM pages), f AS (SELECT * FROM p WHERE page_id > 5 AND tag IS DISTINCT FROM 'fr')
+SELECT max(page_id) AS page_id, leaf, arg_max(url, page_id) AS url FROM f WHERE leaf <> '' GROUP BY leaf""")
+def url_leaf_download_list(spark, d):
+    return models.download_list(P.read(spark, d, "pages").select("page_id", "url", F.get(F.split("url", "/"), F.lit(3)).alias("tag")), 5, "fr")
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END AS split, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS r FROM t WHERE length(text) > 0) SELECT split, doc_id, text FROM r WHERE r <= CASE split WHEN 'train' THEN 1000 ELSE 200 END""")
+def jsonl_sample(spark, d):
+    split = F.when(F.col("doc_id") % 10 == 0, "validation").when(F.col("doc_id") % 10 == 1, "test").otherwise("train")
+    return models.split_sample(P.read(spark, d, "documents").select("doc_id", "text", split.alias("split")), {"train": 1000, "validation": 200, "test": 200})
+
+
+@query("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 3) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def model_lookup(spark, d):
+    nation = P.read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return P.read(spark, d, "customer").join(nation, "c_nationkey").groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 3).alias("balance"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM supplier) SELECT a.s_suppkey AS rank, b.s_suppkey AS sender, b.s_acctbal AS received FROM supplier a, n JOIN supplier b ON b.s_suppkey = (a.s_suppkey + n.n - 1) % n.n")
+def ring_partner(spark, d):
+    ranks = P.read(spark, d, "supplier").select(F.col("s_suppkey").alias("rank"), F.col("s_acctbal").alias("value"))
+    return models.ring(ranks)
+
+
+@query("SELECT event_type, event_id, lag(value) OVER w AS before, value - lag(value) OVER w AS step, row_number() OVER w - 1 AS idx FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
+def indexed_history(spark, d):
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    before = F.lag("value").over(w)
+    return P.read(spark, d, "events").select("event_type", "event_id", before.alias("before"), (F.col("value") - before).alias("step"), (F.row_number().over(w) - 1).cast("long").alias("idx"))
