@@ -151,31 +151,41 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs' ids with fp and component_id: the smallest id that links of 3 bits or fewer can reach.
+    """(doc_id, hash, fp, root, component_id) of each row of docs; component_id: the smallest id that links can reach.
 
-    One row for each row of docs.  Null and empty texts have fingerprint 0 and link like any other; rows of equal text
-    or repeated rows share a fingerprint; null ids are kept, and count only where a component has no other id.
+    Links join fingerprints of 3 differing bits or fewer; root is a fingerprint that names the component, hash one that
+    names the text.  Null and empty texts have fingerprint 0 and link like any other; rows of equal text or repeated rows
+    share a fingerprint; null ids are kept, and count only where a component has no other id.
     """
-    prints = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"))
+    prints = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
+    prints = cut(prints.select("doc_id", F.xxhash64("text").alias("hash"), "fp"))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = cut(connected_components(fingerprint_links(distinct)))
     named = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     lowest = cut(named.groupBy("root").agg(F.min("low").alias("component_id")))
-    named = cut(named.select("fp", "root").join(lowest, "root").select("fp", "component_id"))
-    return prints.join(named, "fp")
+    named = cut(named.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id"))
+    return prints.join(named, "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs less all but one document of each component: the one with the smallest id stays, with all its columns.
+    """docs less all but one row of each component: the one of the smallest id stays, with all its columns.
 
-    A document is known by its id: rows that repeat an id are one document and stay or go together, unless their texts
-    lie in different components; a row goes if its id isn't the smallest of any component that it has a text in.
-    Null counts as an id of its own.
+    Of texts that share that id the one of the least hash stays, and of rows that repeat id and text any one; null is the
+    largest id.
     """
-    found = components(docs, doc_id, text).select("doc_id", F.expr("doc_id <=> component_id").alias("stays"))
-    goes = found.groupBy("doc_id").agg(F.max("stays").alias("stays")).where("not stays").select(F.col("doc_id").alias("__goes"))
-    goes = stored(goes, "duplicates")  # a table of known size, so that the planner may broadcast it if small
-    return docs.join(goes, F.col(doc_id).eqNullSafe(F.col("__goes")), "left_anti")
+    found = components(docs, doc_id, text).groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
+    found = found.withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
+    first = cut(found.groupBy("root").agg(F.min("rank").alias("first")))
+    judged = cut(found.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "n", (F.col("rank") == F.col("first")).alias("stays")))
+    # tables of known size, so that the planner may broadcast them if they are small
+    goes = stored(judged.where("not stays or n > 1").select("__id", "__hash"), "duplicates")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    kept = docs.join(goes, same, "left_anti")
+    repeated = judged.where("stays and n > 1").select("__id", "__hash")
+    if not repeated.isEmpty():
+        again = docs.join(stored(repeated, "repeated"), same, "left_semi").withColumn("__hash", F.xxhash64(text))
+        kept = kept.unionByName(again.dropDuplicates([doc_id, "__hash"]).drop("__hash"))
+    return kept
 
 
 def hex16(c):
