@@ -232,3 +232,57 @@ def treecode(points: DataFrame, leaf: int, theta: float = 0.5) -> tuple[DataFram
     by_point = by_point.select("id", (F.col("qj") * coulomb(spatial.distance2(["x", "y"]))).alias("u"))
     counts = far.agg(F.count("*").alias("n")).select(F.lit("cell").alias("kind"), "n").unionByName(near.agg(F.count("*").alias("n")).select(F.lit("near").alias("kind"), "n"))
     return by_cell.unionByName(by_point).groupBy("id").agg(F.sum("u").alias("u")), counts
+
+
+def line_multipole(points: DataFrame, low: float, width: float, leaf: int, order: int = 7) -> DataFrame:
+    """(id, u) of 1/|x - y| on a line: Taylor moments of the given order, cells within two of each other point by point.
+
+    With D from the source's centre to the target's, the n-th local term is the sum over k of M_k f^(n+k)(D), where
+    f = 1/|D| has the derivatives (-1)^n n! / (|D| D^n).
+    """
+    def cell(level: int) -> Column:
+        return P.grid_index(F.col("x"), 2**level, low, width)
+
+    def centre(c: Column, level: int) -> Column:
+        return low + (c + 0.5) * (width / 2**level)
+
+    out = points.select("id", "x").withColumn("u", F.lit(0.0))
+    window = F.explode(F.sequence(F.lit(-5).cast("long"), F.lit(5).cast("long"))).alias("d")
+    for level in range(2, leaf + 1):
+        at = points.withColumn("c", cell(level))
+        e = centre(F.col("c"), level) - F.col("x")
+        moments = at.groupBy("c").agg(*[F.sum(F.col("q") * F.pow(e, F.lit(k)) / math.factorial(k)).alias(f"M{k}") for k in range(order)])
+        pairs = moments.select("c", window).withColumn("s", F.col("c") + F.col("d"))
+        apart = (F.abs(F.col("d")) > 2) & (F.abs(F.shiftright("s", 1) - F.shiftright("c", 1)) <= 2)
+        far = pairs.where(apart).join(moments.withColumnRenamed("c", "s"), "s").withColumn("D", centre(F.col("c"), level) - centre(F.col("s"), level))
+        local = [sum(((-1) ** (n + k) * math.factorial(n + k) * F.col(f"M{k}") / (F.abs("D") * F.pow("D", F.lit(n + k))) for k in range(order - n)), F.lit(0.0)) for n in range(order)]
+        local = far.groupBy("c").agg(*[F.sum(t).alias(f"L{n}") for n, t in enumerate(local)])
+        here = out.withColumn("c", cell(level)).join(local, "c", "left").withColumn("e", F.col("x") - centre(F.col("c"), level))
+        value = sum((F.col(f"L{n}") * F.pow("e", F.lit(n)) / math.factorial(n) for n in range(order)), F.lit(0.0))
+        out = here.select("id", "x", (F.col("u") + F.coalesce(value, F.lit(0.0))).alias("u"))
+    near = points.select("id", F.col("x").alias("xi"), cell(leaf).alias("c"), F.explode(F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long"))).alias("d")).withColumn("c", F.col("c") + F.col("d"))
+    near = near.join(points.select(F.col("x").alias("xj"), "q", cell(leaf).alias("c")), "c")
+    r2 = (F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj"))
+    near = near.groupBy("id").agg(F.sum(F.col("q") * coulomb(r2)).alias("near"))
+    return out.join(near, "id", "left").select("id", (F.col("u") + F.coalesce("near", F.lit(0.0))).alias("u"))
+
+
+def cube_moments(points: DataFrame, level: int, about_mass: bool = False) -> DataFrame:
+    """(ix, iy, iz, m, d<a>.., q<a><b>..): charge, first and second moments of each cell of the unit cube.
+
+    About the geometric centre (ten terms), or about the mass-weighted one, where the first moments vanish (seven).
+    Pure second moments carry the factor 1/2 of the Taylor sum, mixed ones 1.
+    """
+    n = 2**level
+    axes = "xyz"
+    at = points.select("x", "y", "z", "q", *[P.grid_index(F.col(a), n).alias(f"i{a}") for a in axes])
+    keys = [f"i{a}" for a in axes]
+    raw = at.groupBy(*keys).agg(F.sum("q").alias("m"), *[F.sum(F.col("q") * F.col(a)).alias(f"s{a}") for a in axes], *[F.sum(F.col("q") * F.col(a) * F.col(b)).alias(f"s{a}{b}") for k, a in enumerate(axes) for b in axes[k:]])
+    raw = raw.withColumns({f"c{a}": F.try_divide(f"s{a}", "m") if about_mass else (F.col(f"i{a}") + 0.5) / n for a in axes})
+    first = {} if about_mass else {f"d{a}": F.col("m") * F.col(f"c{a}") - F.col(f"s{a}") for a in axes}
+    second = {}
+    for k, a in enumerate(axes):
+        for b in axes[k:]:
+            moved = F.col(f"s{a}{b}") - F.col(f"c{a}") * F.col(f"s{b}") - F.col(f"c{b}") * F.col(f"s{a}") + F.col("m") * F.col(f"c{a}") * F.col(f"c{b}")
+            second[f"q{a}{b}"] = moved / 2 if a == b else moved
+    return raw.select(*keys, "m", *[f"c{a}" for a in axes], *[c.alias(k) for k, c in (first | second).items()])

@@ -296,6 +296,21 @@ def treecode_counters(spark, d):
     return hierarchy.treecode(charges(spark, d), 4, 0.5)[1]
 
 
+@query()
+def line_fmm_order7(spark, d):
+    line = square(spark, d).select("id", F.col("x"), F.lit(1.0).alias("q"))
+    return hierarchy.line_multipole(line, 0.0, 1.0, 6).select("id", F.round("u", 2).alias("u"))
+
+
+@query(f"""WITH {IT}, c AS (SELECT *, {cell_sql('x', 8)} AS ix, {cell_sql('y', 8)} AS iy, {cell_sql('z', 8)} AS iz FROM it),
+e AS (SELECT *, (ix + 0.5e0) / 8 - x AS dx, (iy + 0.5e0) / 8 - y AS dy, (iz + 0.5e0) / 8 - z AS dz FROM c)
+SELECT ix, iy, iz, CAST(count(*) AS DOUBLE) AS m, round(sum(dx), 9) + 0e0 AS dx, round(sum(dy), 9) + 0e0 AS dy, round(sum(dz), 9) + 0e0 AS dz, round(sum(dx * dx) / 2, 9) AS qxx, round(sum(dx * dy), 9) + 0e0 AS qxy, round(sum(dx * dz), 9) + 0e0 AS qxz,
+round(sum(dy * dy) / 2, 9) AS qyy, round(sum(dy * dz), 9) + 0e0 AS qyz, round(sum(dz * dz) / 2, 9) AS qzz FROM e GROUP BY ix, iy, iz""")
+def cube_moments10(spark, d):
+    m = hierarchy.cube_moments(P.item_points(P.read(spark, d, "lineitem")).withColumn("q", F.lit(1.0)), 3)
+    return m.select("ix", "iy", "iz", "m", *[(F.round(c, 9) + 0.0).alias(c) for c in ("dx", "dy", "dz", "qxx", "qxy", "qxz", "qyy", "qyz", "qzz")])
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 

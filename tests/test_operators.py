@@ -48,6 +48,28 @@ def test_shifted_moments_are_the_parents_moments(charges):
     assert a.keys() == b.keys() and all(abs(a[k][c] - b[k][c]) < 1e-9 for k in a for c in b[k].asDict() if c[0] == "M")
 
 
+def test_line_expansion_error(charges):
+    line = charges.select("id", "x", F.lit(1.0).alias("q"))
+    pairs = spatial.all_pairs(line, line)
+    exact = pairs.groupBy(F.col("idi").alias("id")).agg(F.sum(K.coulomb(spatial.distance2(["x"]))).alias("exact"))
+    assert error(hierarchy.line_multipole(line, 0.0, 1.0, 5), exact) < 1e-3
+
+
+def test_cube_moments_about_mass(charges):
+    pts = charges.withColumn("z", F.col("x") * F.col("y"))
+    m = hierarchy.cube_moments(pts, 1, about_mass=True)
+    assert m.agg(F.sum("m")).first()[0] == charges.count() and not {"dx", "dy", "dz"} & set(m.columns)
+    assert m.where("qxx < 0 or qyy < 0 or qzz < 0 or cx < 0 or cx > 1").count() == 0
+
+
+def test_ranks_and_checksums(spark):
+    from quadrille.operators.cluster import checksum, rank_hosts
+
+    assert [(r["rank"], r["size"]) for r in rank_hosts(spark, 2).orderBy("rank").collect()] == [(0, 2), (1, 2)]
+    df = spark.range(100)
+    assert checksum(df).first() == checksum(df.orderBy(F.desc("id")).repartition(3)).first() != checksum(df.where("id > 0")).first()
+
+
 def test_cells_add_up(charges):
     cells = hierarchy.cells_of_levels(charges, ["x", "y"], 4).groupBy("level").agg(F.sum("n").alias("n")).collect()
     n = charges.count()
