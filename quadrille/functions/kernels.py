@@ -51,3 +51,9 @@ def sigmoid(x: Column, x0: float, k: float) -> Column:
 def huber(residual: Column, delta: float) -> Column:
     a = F.abs(residual)
     return F.when(a <= delta, 0.5 * residual * residual).otherwise(delta * (a - 0.5 * delta))
+
+
+def bessel_i(nu: float, x: np.ndarray, terms: int = 40) -> np.ndarray:
+    """Modified Bessel function of the first kind by its power series."""
+    half = np.asarray(x, float) / 2
+    return sum(half ** (2 * m + nu) / (math.factorial(m) * math.gamma(m + nu + 1)) for m in range(terms))

@@ -74,3 +74,9 @@ def adaptive_level(rows: int, ncrit: int, axes: int) -> int:
 
 def octant(x: Column, y: Column, z: Column, xc: Column, yc: Column, zc: Column) -> Column:
     return (x > xc).cast("int") + 2 * (y > yc).cast("int") + 4 * (z > zc).cast("int")
+
+
+def two_level_bin(x: Column, major: int, minor: int) -> tuple[Column, Column]:
+    """(high, low) of the bin of x in [0, 1) among major * minor bins."""
+    b = grid_index(x, major * minor)
+    return F.floor(b / minor).cast("long"), b % minor

@@ -71,3 +71,9 @@ def wrap_mask(a: Column, width: float) -> Column:
     half = width / 2
     moved = lambda x, k: F.when((x < -half) | (x > half), F.pow(F.lit(2), k).cast("long")).otherwise(F.lit(0).cast("long"))
     return F.aggregate(F.zip_with(a, F.sequence(F.lit(0), F.size(a) - 1), moved), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def unwrap(a: Column, mask: Column, width: float) -> Column:
+    """The components that wrap() moved, put back: a moved component goes a width towards its own sign's other side."""
+    back = lambda x, k: F.when(F.floor(mask / F.pow(F.lit(2), k)) % 2 == 1, F.when(x > 0, x - width).otherwise(x + width)).otherwise(x)
+    return F.zip_with(a, F.sequence(F.lit(0), F.size(a) - 1), back)

@@ -286,3 +286,17 @@ def cube_moments(points: DataFrame, level: int, about_mass: bool = False) -> Dat
             moved = F.col(f"s{a}{b}") - F.col(f"c{a}") * F.col(f"s{b}") - F.col(f"c{b}") * F.col(f"s{a}") + F.col("m") * F.col(f"c{a}") * F.col(f"c{b}")
             second[f"q{a}{b}"] = moved / 2 if a == b else moved
     return raw.select(*keys, "m", *[f"c{a}" for a in axes], *[c.alias(k) for k, c in (first | second).items()])
+
+
+def shift_up_cube(moments: DataFrame, level: int) -> DataFrame:
+    """The ten-term moments of the parents from those of the cells, about the parents' centres."""
+    axes = "xyz"
+    up = moments.withColumns({f"p{a}": F.shiftright(f"i{a}", 1) for a in axes})
+    up = up.withColumns({f"t{a}": (F.col(f"p{a}") + 0.5) / 2 ** (level - 1) - F.col(f"c{a}") for a in axes})
+    out = {"m": F.col("m")} | {f"d{a}": F.col(f"d{a}") + F.col("m") * F.col(f"t{a}") for a in axes}
+    for k, a in enumerate(axes):
+        for b in axes[k:]:
+            moved = F.col(f"t{a}") * F.col(f"d{b}") + F.col(f"t{b}") * F.col(f"d{a}") + F.col("m") * F.col(f"t{a}") * F.col(f"t{b}")
+            out[f"q{a}{b}"] = F.col(f"q{a}{b}") + (moved / 2 if a == b else moved)
+    rows = up.select(*[F.col(f"p{a}").alias(f"i{a}") for a in axes], *[c.alias(n) for n, c in out.items()])
+    return rows.groupBy(*[f"i{a}" for a in axes]).agg(*[F.sum(n).alias(n) for n in out])

@@ -111,3 +111,10 @@ def weighted_bisect(df: DataFrame, axes: list[str], ranks: int, ident: str = "id
         parts = cut_lineage(placed.withColumn("part", F.when(upper & (of(split) > 0), F.col("part") + of(split)).otherwise(F.col("part"))).drop("__pos"))
         live = {p: n for q, r in live.items() for p, n in (((q, r // 2), (q + r // 2, r - r // 2)) if r > 1 else ((q, r),))}
     return parts
+
+
+def dense_keys(df: DataFrame, key: str, group: int = 4096) -> DataFrame:
+    """(key, index): the distinct integer keys numbered from 0 in order, in two levels."""
+    distinct = df.select(key).distinct()
+    numbered = bucket_offsets(distinct, key, group)
+    return numbered.select(key, F.col("offset").cast("long").alias("index"))

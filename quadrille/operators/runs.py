@@ -80,3 +80,40 @@ def scaling_residual(n: Column, d: Column, loss: Column, p: tuple[float, ...]) -
 def scaling_objective(points: DataFrame, p: tuple[float, ...], delta: float = 1e-3) -> DataFrame:
     """One row: sum of Huber residuals of (n, d, loss)."""
     return points.agg(F.sum(huber(scaling_residual(F.col("n"), F.col("d"), F.col("loss"), p), delta)).alias("objective"))
+
+
+def scale(value: Column, low: Column, high: Column) -> Column:
+    return (value - low) / (high - low)
+
+
+def unscale(value: Column, low: Column, high: Column) -> Column:
+    return value * (high - low) + low
+
+
+def in_range(value: Column, low: float, high: float) -> Column:
+    """Open at both ends."""
+    return (value > low) & (value < high)
+
+
+def tokens(steps: Column, batch: Column, length: Column) -> Column:
+    return steps * batch * length
+
+
+def months(params: Column, tokens_: Column) -> Column:
+    """Device months of training params on tokens."""
+    return F.lit(FLOP_PER_PARAM_TOKEN) * params * tokens_ / F.lit(float(FLOP_PER_MONTH))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table; raises if a key of rows isn't there, instead of losing rows."""
+    lost = rows.join(table, key, "left_anti").select(key).first()
+    if lost:
+        raise KeyError(lost[0])
+    return rows.join(table, key)
+
+
+def mean_curve(fitted: DataFrame, grid: DataFrame) -> DataFrame:
+    """(x, y): the mean over tasks (x0, k, low, high) of the fitted sigmoid, in each task's own units, at each x of grid."""
+    pairs = grid.join(fitted, F.lit(True))  # a short grid with a row for each task
+    y = unscale(1 / (1 + F.exp(-F.col("k") * (F.col("x0") - F.col("x")))), F.col("low"), F.col("high"))
+    return pairs.groupBy("x").agg(F.avg(y).alias("y"))

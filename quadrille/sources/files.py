@@ -91,3 +91,47 @@ def rank_report(pairs: DataFrame) -> DataFrame:
     """Lines for ranks 1, 10, 100 and 1000 of closest pairs."""
     text = F.format_string("%5d %10.15e %d %d", F.col("rank").cast("int"), F.sqrt("dist2"), "i", "j")
     return pairs.where(F.col("rank").isin(1, 10, 100, 1000)).select("rank", text.alias("line"))
+
+
+def config_row(spark: SparkSession, settings: dict) -> DataFrame:
+    """A nested configuration as one row of nested structs."""
+    import json
+
+    text = json.dumps(settings)
+    schema = spark.range(1).select(F.schema_of_json(F.lit(text)).alias("s")).first().s
+    return spark.range(1).select(F.from_json(F.lit(text), schema).alias("config")).select("config.*")
+
+
+def free_busy(answers: DataFrame, column: str = "value") -> DataFrame:
+    """(cal, s, e) of JSON answers {"calendars": {id: {"busy": [{"start", "end"}]}}} with RFC 3339 times."""
+    schema = "calendars map<string, struct<busy: array<struct<start: string, end: string>>>>"
+    by_calendar = answers.select(F.explode(F.from_json(column, schema)["calendars"]).alias("cal", "own"))
+    each = by_calendar.select("cal", F.explode("own.busy").alias("b"))
+    return each.select("cal", F.to_timestamp("b.start").alias("s"), F.to_timestamp("b.end").alias("e"))
+
+
+def write_contents(rows: DataFrame, uri: str) -> None:
+    """A file for each (name, content) under a shared folder; empty contents leave none, repeated names the largest content.
+
+    Files are written under the name of the attempt and then renamed, so a repeated task changes nothing.
+    """
+    last = rows.where("length(content) > 0").groupBy("name").agg(F.max("content").alias("content"))
+
+    def put(part) -> None:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(uri)
+        store.create_dir(folder)
+        for r in part:
+            temporary = f"{folder}/.{TaskContext.get().taskAttemptId()}-{r['name']}"
+            with store.open_output_stream(temporary, compression=None) as out:
+                out.write(bytes(r["content"]))
+            store.move(temporary, f"{folder}/{r['name']}")
+
+    last.foreachPartition(put)
+
+
+def missing_columns(rows: DataFrame, *needed: str) -> list[str]:
+    """Which of the columns a run's history doesn't have."""
+    return [c for c in needed if c not in rows.columns]

@@ -85,3 +85,8 @@ def shuffled_keys(spark: SparkSession, n: int, each: int = 10, seed: int = 0) ->
 def indexed_fill(spark: SparkSession, groups: int, size: int) -> DataFrame:
     """(id, value): 10 times the group and the place in it."""
     return spark.range(groups * size).select("id", (10 * F.expr(f"id div {size}") + F.col("id") % size).alias("value"))
+
+
+def exponential_fill(spark: SparkSession, n: int) -> DataFrame:
+    """(id, value): exp(id * pi) as a 4-byte float, infinite where that overflows."""
+    return spark.range(n).select("id", F.exp(F.col("id") * F.pi()).cast("float").alias("value"))

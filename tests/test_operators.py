@@ -223,3 +223,44 @@ def test_all_pairs_includes_every_pair(spark):
 def test_grid_join_is_no_nested_loop(charges):
     plan = spatial.radius_count(charges, 0.05)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scales_look_ups_and_mean_curve(spark):
+    df = spark.createDataFrame([("a", 3.0), ("b", 9.0)], "k string, v double")
+    r = df.select(runs.scale(F.col("v"), F.lit(3.0), F.lit(9.0)).alias("s"), runs.in_range(F.col("v"), 3.0, 10.0).alias("i")).collect()
+    assert [(x.s, x.i) for x in r] == [(0.0, False), (1.0, True)]
+    assert df.select(runs.unscale(F.lit(0.5), F.lit(3.0), F.lit(9.0)).alias("u")).first().u == 6.0
+    assert runs.lookup(df, df.select("k", F.lit(1).alias("w")), "k").count() == 2
+    with pytest.raises(KeyError):
+        runs.lookup(df, df.where("k = 'a'").select("k"), "k").count()
+    fitted = spark.createDataFrame([(2.0, 1.0, 0.0, 1.0), (2.0, 1.0, 1.0, 3.0)], "x0 double, k double, low double, high double")
+    assert abs(runs.mean_curve(fitted, spark.createDataFrame([(2.0,)], "x double")).first().y - 1.25) < 1e-12
+    one = spark.range(1).select(runs.months(F.lit(172e9), F.lit(2e12)).alias("m"), runs.tokens(F.lit(2), F.lit(3), F.lit(4)).alias("t")).first()
+    assert abs(one.m - 2600) < 1e-6 and one.t == 24
+
+
+def test_dense_keys_and_bins(spark):
+    df = spark.createDataFrame([(k,) for k in (9000, 5, 5, 7, 9001)], "k long")
+    assert {r.k: r["index"] for r in ordering.dense_keys(df, "k").collect()} == {5: 0, 7: 1, 9000: 2, 9001: 3}
+    high, low = P.two_level_bin(F.lit(0.77), 4, 5)
+    assert tuple(spark.range(1).select(high, low).first()) == (3, 0)
+
+
+def test_unwrap_undoes_wrap(spark):
+    df = spark.createDataFrame([([0.3, -0.7, 0.6, -0.1],)], "v array<double>")
+    out = df.select(V.unwrap(V.wrap(F.col("v"), 1.0), V.wrap_mask(F.col("v"), 1.0), 1.0).alias("v")).first().v
+    assert np.allclose(out, [0.3, -0.7, 0.6, -0.1])
+
+
+def test_shifted_cube_moments(charges):
+    pts = charges.withColumn("z", F.col("x") * F.col("y"))
+    key = lambda r: (r.ix, r.iy, r.iz)
+    a = {key(r): r for r in hierarchy.shift_up_cube(hierarchy.cube_moments(pts, 2), 2).collect()}
+    b = {key(r): r for r in hierarchy.cube_moments(pts, 1).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k][c] - b[k][c]) < 1e-9 for k in a for c in a[k].asDict())
+
+
+def test_bessel_wronskian():
+    x = np.array([0.5, 1.0, 3.0])
+    w = K.bessel_i(0.5, x) * K.bessel_k(1.5, x) + K.bessel_i(1.5, x) * K.bessel_k(0.5, x)
+    assert np.allclose(w, 1 / x, rtol=1e-5)

@@ -126,3 +126,23 @@ def test_stream_of_a_table_feeds_the_same_operator(spark, tiny, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("event_counts").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.event_type: r.n for r in spark.table("event_counts").collect()} == {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()}
+
+
+def test_config_and_free_busy(spark):
+    row = files.config_row(spark, {"trainer": {"devices": 8, "lr": 0.5}, "name": "a"}).first()
+    assert row.trainer.devices == 8 and row.trainer.lr == 0.5 and row.name == "a"
+    text = '{"calendars": {"c1": {"busy": [{"start": "2024-01-01T00:00:00Z", "end": "2024-01-01T10:00:00+09:00"}]}, "c2": {"busy": []}}}'
+    got = files.free_busy(spark.createDataFrame([(text,)], "value string")).selectExpr("cal", "unix_seconds(s) s", "unix_seconds(e) e").collect()
+    assert [(r.cal, r.e - r.s) for r in got] == [("c1", 3600)]
+    assert files.missing_columns(spark.range(1), "id", "_step") == ["_step"]
+
+
+def test_contents_become_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", bytearray(b"1")), ("a", bytearray(b"2")), ("b", bytearray(b""))], "name string, content binary")
+    files.write_contents(df, f"file://{tmp_path}/out")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"a": b"2"}
+
+
+def test_exponential_fill(spark):
+    rows = generators.exponential_fill(spark, 100).orderBy("id").collect()
+    assert rows[0].value == 1.0 and abs(rows[1].value - 23.140692) < 1e-4 and rows[99].value == float("inf")
