@@ -15,8 +15,9 @@ from .common import ascii_lower, cut, stored
 K, W = 5, 9
 WINDOW = K + W - 1
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows of a benchmark up to which its table is broadcast (some 100 bytes each); a larger one is joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Window and item pairs up to which the benchmark's table is broadcast (some 100 bytes each); a larger one is joined by
+#: a shuffle.
+BROADCAST_PAIRS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -70,7 +71,7 @@ def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(id, hash, n_hit, items) of each different row of docs (id, text) that holds a window of the benchmark."""
     table, short = item_windows(benchmark)
-    if table.count() <= BROADCAST_WINDOWS:
+    if (table.agg(F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST_PAIRS:
         table = F.broadcast(table)
     found = bound(words(F.col(text)), lambda w: windows(w, short))
     each = docs.select("doc_id", F.xxhash64(text).alias("hash"), F.explode(found).alias("x")).select("doc_id", "hash", "x.*")
