@@ -19,24 +19,28 @@ def interpolate(queries: DataFrame, curve: DataFrame, by: list[str], ranges: int
     """queries (by, x) with y of the piecewise-linear curve (by, x, y), constant beyond its ends.
 
     Of points of the curve that share x the largest y counts.  A query without any curve gets null.  Windows run within
-    ranges of x, so that one long curve is many tasks; what a range needs of the ranges around it is a row for each.
+    equal ranges of x, so that one long curve is many tasks; what a range needs of those around it is a row for each.
     """
     ranges = ranges or 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = curve.groupBy(*by, "x").agg(F.max("y").alias("y"))
-    bounds = sorted(set(known.withColumn("__x", F.col("x").cast("double")).approxQuantile("__x", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))))
+    ends = known.agg(F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi")).first()
     line = known.select(*by, "x", "y", F.lit(0).alias("q")).unionByName(queries.select(*by, "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("q")))
-    literal = ", ".join(f"{b!r}D" for b in bounds)
-    line = line.withColumn("__range", F.expr(f"size(filter(array({literal}), b -> b < x))") if bounds else F.lit(0))
+    wide = ((ends.hi - ends.lo) / ranges if ends.lo is not None else 0) or 1.0
+    line = line.withColumn("__range", F.greatest(F.lit(0), F.least(F.lit(ranges), F.floor((F.col("x") - F.lit(ends.lo or 0.0)) / F.lit(wide)).cast("long"))))
     line = line.withColumn("__p", F.when(F.col("q") == 0, F.struct("x", "y")))
     back = Window.partitionBy(*by, "__range").orderBy("x", "q").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*by, "__range").orderBy(F.desc("x"), "q").rowsBetween(Window.unboundedPreceding, 0)
-    asked = line.withColumn("l", F.last("__p", ignorenulls=True).over(back)).withColumn("r", F.last("__p", ignorenulls=True).over(ahead)).where("q = 1")
+    line = line.withColumn("l", F.last("__p", ignorenulls=True).over(back)).withColumn("r", F.last("__p", ignorenulls=True).over(ahead))
+    asked = line.where("q = 1")
     edges = line.groupBy(*by, "__range").agg(F.max("__p").alias("__hi"), F.min("__p").alias("__lo"))
     around = Window.partitionBy(*by).orderBy("__range")
     before = F.last("__hi", ignorenulls=True).over(around.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first("__lo", ignorenulls=True).over(around.rowsBetween(1, Window.unboundedFollowing))
     edges = cut(edges.select(*by, "__range", before.alias("__before"), after.alias("__after")))
-    asked = asked.join(edges, [*by, "__range"]).withColumn("l", F.coalesce("l", "__before")).withColumn("r", F.coalesce("r", "__after"))
+    # null-safe, as keys may be null
+    edges = edges.withColumnsRenamed({c: f"__e_{c}" for c in [*by, "__range"]})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__e_{c}")) for c in [*by, "__range"]])
+    asked = asked.join(edges, same).withColumn("l", F.coalesce("l", "__before")).withColumn("r", F.coalesce("r", "__after"))
     slope = (F.col("r.y") - F.col("l.y")) / F.nullif(F.col("r.x") - F.col("l.x"), F.lit(0))
     y = F.when(F.col("l").isNull(), F.col("r.y")).when(F.col("r").isNull() | (F.col("l.x") == F.col("r.x")), F.col("l.y")).otherwise(F.col("l.y") + slope * (F.col("x") - F.col("l.x")))
     return asked.select(*by, "x", y.alias("y"))
