@@ -177,10 +177,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     found = found.withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
     first = cut(found.groupBy("root").agg(F.min("rank").alias("first")))
     judged = cut(found.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"), "n", (F.col("rank") == F.col("first")).alias("stays")))
-    # tables of known size, so that the planner may broadcast them if they are small
-    goes = stored(judged.where("not stays or n > 1").select("__id", "__hash"), "duplicates")
+    # The list grows with the documents: they meet by a shuffle at every size.
+    goes = judged.where("not stays or n > 1").select("__id", "__hash")
     same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    kept = docs.join(goes, same, "left_anti")
+    kept = docs.join(goes.hint("merge"), same, "left_anti")
     repeated = judged.where("stays and n > 1").select("__id", "__hash")
     if not repeated.isEmpty():
         again = docs.join(stored(repeated, "repeated"), same, "left_semi").withColumn("__hash", F.xxhash64(text))
