@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +43,20 @@ def grams_of(word: str, n: int) -> list[str]:
 class Model:
     """Log-frequency tables: a row of ``scores`` for each known word, and for each unseen word met so far."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts.lang.unique())
+    def __init__(self, counts: pa.Table):
+        langs, grams = (counts.column(c).combine_chunks().dictionary_encode() for c in ("lang", "gram"))
+        self.langs = sorted(langs.dictionary.to_pylist())
+        place = np.array([self.langs.index(x) for x in langs.dictionary.to_pylist()], np.int64)
+        lang, gram = place[langs.indices.to_numpy()], grams.indices.to_numpy()
+        kind, n = counts.column("kind").to_numpy(), counts.column("n").to_numpy()
         self.tables = {}
-        for kind, part in counts.groupby("kind"):  # 0: words; n: n-grams
-            table = part.pivot_table(index="gram", columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=self.langs, fill_value=0)
-            seen = table.to_numpy(float)
-            self.tables[int(kind)] = (dict(zip(table.index, range(len(table)), strict=True)), np.log((seen + 0.5) / (seen.sum(0) + 0.5 * len(seen))))
+        for k in np.unique(kind).tolist():  # 0: words; n: n-grams
+            own = kind == k
+            known, row = np.unique(gram[own], return_inverse=True)
+            seen = np.zeros((len(known), len(self.langs)))
+            seen[row, lang[own]] = n[own]
+            names = grams.dictionary.take(pa.array(known)).to_pylist()
+            self.tables[k] = (dict(zip(names, range(len(names)), strict=True)), np.log((seen + 0.5) / (seen.sum(0) + 0.5 * len(seen))))
         self.reset()
 
     def reset(self) -> None:
@@ -108,7 +116,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = drawn.mapInPandas(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
     most = F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)
-    return Model(counts.where("kind > 0 or n > 1").withColumn("r", F.row_number().over(top)).where(F.col("r") <= most).drop("r").toPandas())
+    return Model(counts.where("kind > 0 or n > 1").withColumn("r", F.row_number().over(top)).where(F.col("r") <= most).drop("r").toArrow())
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", to: str = "language") -> DataFrame:
