@@ -40,7 +40,7 @@ def rule_stacks(rules: list[tuple[str, str, str]]) -> list[dict]:
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     at: dict[str, dict] = {}
-    for verdict, host, path in sorted(rules, reverse=True):  # block is written last, and stays
+    for verdict, host, path in sorted(rules):  # block is written last, and stays
         host = host.lower()
         at.setdefault(reversed_key(host), {})[path] = {"key": reversed_key(host), "path": path, "rule": host + path, "verdict": verdict}
     out, stack = [], []
