@@ -3,48 +3,60 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .runs import scaling_residual
 
-#: Points of one task that the sigmoid fit keeps, as bins of equal width: sums over a bin stand for its points.
-BINS = 1024
+#: Groups up to which the parameters of a round are broadcast to the points; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def sigmoid_fit(points: DataFrame, by: str, rounds: int = 60) -> DataFrame:
     """(by, x0, k, n): least squares of y = 1 / (1 + exp(-k (x0 - x))) for each group, by damped Gauss-Newton.
 
-    Groups are first summed into bins of x, so that one group is a bounded table however many rows it has.
+    Each round is one aggregate over all points of the groups that haven't settled; points without x or y count in n
+    only. The start is the best of a weighted fit of the logits of y and of a few curves at quantiles of x, so that
+    neither far points nor a rising curve lead it astray.
     """
-    box = points.groupBy(by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("__n"))
-    bin_ = F.floor(F.least(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(1 - 1e-9)) * BINS)
-    binned = points.join(box, by).groupBy(by, F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.count("*").alias("w"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    points = points.select(F.col(by).alias("__by"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("__by is not null")
+    usable = points.where("x is not null and y is not null")
+    z = points.withColumn("z", F.expr("case when x is not null and y > 0 and y < 1 then ln(y / (1 - y)) end")).withColumn("w", F.expr("case when z is not null then pow(y * (1 - y), 2) end"))
+    moments = {"w0": "w", "wx": "w * x", "wz": "w * z", "wxx": "w * x * x", "wxz": "w * x * z"}
+    q = F.percentile_approx(F.expr("if(y is null, null, x)"), [0.05, 0.25, 0.5, 0.75, 0.95], 1000)
+    first = z.groupBy("__by").agg(F.count("*").alias("n"), q.alias("q"), F.stddev_pop("x").alias("sd"), *[F.sum(F.expr(e)).alias(c) for c, e in moments.items()])
+    first = first.withColumn("scale", F.expr("if(q[4] > q[0], q[4] - q[0], greatest(sd, 1e-6))")).withColumn("lk", F.expr("-try_divide(w0 * wxz - wx * wz, w0 * wxx - wx * wx)"))
+    starts = [(f"q[{i}]", f"{m} / scale") for i in range(5) for m in (-8, -2, 2, 8)] + [("try_divide(wx, w0) + try_divide(try_divide(wz, w0), lk)", "lk")]
+    first = cut(first.select("__by", "n", F.array(*[F.struct(F.expr(x0).alias("x0"), F.expr(k).alias("k")) for x0, k in starts]).alias("starts")))
+    few = first.count() <= BROADCAST_GROUPS
+    sent = lambda df: F.broadcast(df) if few else df
+    costs = usable.join(sent(first), "__by").groupBy("__by").agg(F.array(*[F.sum(F.expr(f"pow(y - 1 / (1 + exp(-starts[{i}].k * (starts[{i}].x0 - x))), 2)")) for i in range(len(starts))]).alias("costs"))
+    best = F.expr("array_min(filter(zip_with(costs, starts, (c, s) -> struct(c, s.x0, s.k)), t -> t.c is not null))")
+    # Accepted parameters with their cost, normal matrix (a, b; b, c) and gradient (g, h); then the ones to try.
+    state = first.join(costs, "__by", "left").withColumn("best", best).select(
+        "__by", "n", "best.x0", "best.k", F.lit(float("inf")).alias("cost"), *[F.lit(0.0).alias(c) for c in "abcgh"], F.lit(3e-3).alias("damp"),
+        F.col("best.x0").alias("try_x0"), F.col("best.k").alias("try_k"), F.col("best").isNotNull().alias("open"),
+    )
+    state = cut(state)
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = g.x.to_numpy(), g.y.to_numpy(), g.w.to_numpy(float)
-        p, damp = np.array([np.average(x, weights=w), 1.0 / max(x.std(), 1e-6)]), 1e-3
-
-        def residual(q):
-            f = 1 / (1 + np.exp(np.clip(-q[1] * (q[0] - x), -500, 500)))
-            return f, (w * (y - f) ** 2).sum()
-
-        f, best = residual(p)
-        for _ in range(rounds):
-            slope = f * (1 - f)
-            j = np.column_stack([slope * p[1], slope * (p[0] - x)])
-            h, g_ = j.T @ (w[:, None] * j), j.T @ (w * (y - f))
-            step = np.linalg.lstsq(h + damp * np.diag(np.diag(h) + 1e-12), g_, rcond=None)[0]
-            f2, r2 = residual(p + step)
-            if r2 < best:
-                p, f, best, damp = p + step, f2, r2, damp / 3
-            else:
-                damp *= 4
-        return pd.DataFrame({by: [g[by].iloc[0]], "x0": [p[0]], "k": [p[1]], "n": [int(w.sum())]})
-
-    kind = points.schema[by].dataType.simpleString()
-    return binned.groupBy(by).applyInPandas(fit, f"{by} {kind}, x0 double, k double, n long")
+    for _ in range(rounds):
+        tried = state.where("open").select("__by", "try_x0", "try_k")
+        at = usable.join(sent(tried), "__by")
+        at = at.withColumn("f", 1 / (1 + F.exp(-F.col("try_k") * (F.col("try_x0") - F.col("x"))))).withColumn("s", F.expr("f * (1 - f)"))
+        at = at.select("__by", F.expr("y - f").alias("r"), F.expr("s * try_k").alias("u"), F.expr("s * (try_x0 - x)").alias("v"))
+        sums = at.groupBy("__by").agg(*[F.sum(F.expr(e)).alias(f"new_{c}") for c, e in {"cost": "r * r", "a": "u * u", "b": "u * v", "c": "v * v", "g": "u * r", "h": "v * r"}.items()])
+        both = state.join(sums, "__by", "left").withColumn("better", F.expr("coalesce(new_cost < cost, false)"))
+        kept = [F.when(F.col("better"), F.col(new)).otherwise(F.col(c)).alias(c) for c, new in [("x0", "try_x0"), ("k", "try_k"), *((c, f"new_{c}") for c in ("cost", *"abcgh"))]]
+        both = both.select("__by", "n", *kept, F.expr("if(better, damp / 3, damp * 4)").alias("damp"), "open")
+        both = both.withColumn("p", F.expr("a + damp * (a + 1e-12)")).withColumn("q", F.expr("c + damp * (c + 1e-12)")).withColumn("det", F.expr("1 - b * b / (p * q)"))
+        both = both.withColumn("dx", F.expr("try_divide(g / p - b * h / (p * q), det)")).withColumn("dk", F.expr("try_divide(h / q - b * g / (p * q), det)"))
+        settled = "damp <= 1 and abs(dx * k) <= 1e-8 and abs(dk) <= 1e-8 * abs(k) or damp > 1e9"
+        both = both.select(*state.columns[:11], F.expr("x0 + dx").alias("try_x0"), F.expr("k + dk").alias("try_k"), F.expr(f"open and not coalesce({settled}, false)").alias("open"))
+        state = cut(both)
+        if state.where("open").isEmpty():
+            break
+    return state.select(F.col("__by").alias(by), "x0", "k", "n")
 
 
 def scaling_fit(points: DataFrame, start: tuple[float, ...], delta: float = 1e-3, rounds: int = 30) -> tuple[tuple[float, ...], float]:

@@ -187,6 +187,24 @@ def test_sigmoid_fit_recovers(spark):
     assert abs(r.x0 - 2) < 0.01 and abs(r.k - 3) < 0.05 and r.n == 500
 
 
+def test_sigmoid_fit_sees_every_point(spark):
+    """One far point mustn't change the fit of the others; groups settle apart,
+    rising curves too, and points without y only count."""
+    x = F.when(F.col("id") == 0, 1e6).otherwise(F.col("id") * 0.1)
+    df = spark.range(4900).select(F.lit("far").alias("g"), x.alias("x")).withColumn("y", K.sigmoid(F.col("x"), 200.0, 0.02))
+    near = df.where("x < 1e5").select(F.lit("near").alias("g"), "x", K.sigmoid(F.col("x"), 100.0, -0.05).alias("y"))
+    odd = spark.createDataFrame([("near", 5.0, None), ("near", None, 0.5)], "g string, x double, y double")
+    got = {r.g: r for r in fits.sigmoid_fit(df.unionByName(near).unionByName(odd), "g").collect()}
+    assert abs(got["far"].x0 - 200) < 1e-3 and abs(got["far"].k - 0.02) < 1e-6 and got["far"].n == 4900
+    assert abs(got["near"].x0 - 100) < 1e-3 and abs(got["near"].k + 0.05) < 1e-6 and got["near"].n == 4901
+
+
+def test_sigmoid_fit_without_points(spark):
+    df = spark.createDataFrame([("none", None, None), ("one", 3.0, 0.5)], "g string, x double, y double")
+    got = {r.g: r for r in fits.sigmoid_fit(df, "g").collect()}
+    assert got["none"].x0 is None and got["none"].n == 1 and got["one"].x0 == 3 and got["one"].n == 1
+
+
 def test_scaling_fit_lowers_the_objective(spark):
     n, d = np.meshgrid(np.geomspace(1e9, 2e11, 8), np.geomspace(1e10, 1e13, 8))
     loss = 1.8 + 300 / n**0.33 + 500 / d**0.29
