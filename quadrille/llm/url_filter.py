@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, shuffle_partitions, without
 
-#: A rule list is a literal of the caller; beyond this it has to be split into several calls.
+#: Rules of one sweep, which are a literal of the plan; a longer list takes a sweep for each slice of so many.
 MAX_RULES = 100_000
 OUTPUT = ("host", "path", "rule", "verdict")
 
@@ -53,12 +53,20 @@ def rule_stacks(rules: list[tuple[str, str, str]]) -> list[dict]:
     return out
 
 
+def slices(rules: list[tuple[str, str, str]]) -> list[list[tuple[str, str, str]]]:
+    """The rules in lists of MAX_RULES at most; block and allow for the same rule meet before, so that block wins."""
+    once = list({(host.lower(), path): (verdict, host, path) for verdict, host, path in sorted(rules)}.values())
+    return [once[k : k + MAX_RULES] for k in range(0, len(once), MAX_RULES)] or [[]]
+
+
 def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule (null where none fits) and verdict (of the rule, else ``default``).
 
     One row for each row of df, repeated rows too.  Null, empty and malformed URLs get an empty host and path, hence no
     rule.  Columns of df named like one of the new ones are replaced.  The sweep runs in parts dealt by a hash of the
-    row, so a hot host is spread over all of them; each part repeats the rules, whose number is bounded (MAX_RULES).
+    row, so a hot host is spread over all of them; each part repeats the rules of a sweep, whose number is bounded
+    (MAX_RULES). Of the rules that several sweeps find, the longest stays: two that fit one URL are never equally long in
+    host and in path.
     """
     spark: SparkSession = df.sparkSession
     host, path = host_and_path(F.col(url))
@@ -70,10 +78,13 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
     )
     urls = urls.withColumn("__key", F.expr("concat(array_join(reverse(split(host, '[.]')), '.'), '.')"))
     schema = "array<struct<key string, stack array<struct<key string, path string, rule string, verdict string>>>>"
-    starts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rule_stacks(rules))), schema)))
-    starts = starts.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"), F.lit(0).alias("__kind"), F.col("key").alias("__key"), F.col("stack").alias("__stack"))
     sweep = Window.partitionBy("__part").orderBy("__key", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = urls.unionByName(starts, allowMissingColumns=True).withColumn("__stack", F.last("__stack", ignorenulls=True).over(sweep)).where("__kind = 1")
     fits = F.expr("filter(__stack, r -> startswith(__key, r.key) and startswith(path, r.path))")
-    best = F.get(fits, F.lit(0))
-    return swept.withColumn("__best", best).select("__row.*", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    found = F.expr("if(__first is null, null, struct(char_length(__first.rule) as length, char_length(__first.key) as host_length, __first.rule as rule, __first.verdict as verdict))")
+    swept = urls.withColumn("__best", F.lit(None).cast("struct<length int, host_length int, rule string, verdict string>"))
+    for own in slices(rules):
+        starts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rule_stacks(own))), schema)))
+        starts = starts.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"), F.lit(0).alias("__kind"), F.col("key").alias("__key"), F.col("stack").alias("__stack"))
+        swept = swept.unionByName(starts, allowMissingColumns=True).withColumn("__stack", F.last("__stack", ignorenulls=True).over(sweep)).where("__kind = 1")
+        swept = swept.withColumn("__first", F.get(fits, F.lit(0))).withColumn("__best", F.greatest("__best", found)).drop("__stack", "__first")
+    return swept.select("__row.*", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))

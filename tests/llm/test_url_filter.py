@@ -1,5 +1,6 @@
 import itertools
 
+from quadrille.llm import url_filter
 from quadrille.llm.queries import URL_RULES
 from quadrille.llm.url_filter import filter_urls, reversed_key, rule_stacks
 
@@ -37,6 +38,14 @@ def test_nested_rules_and_ties(spark):
     assert got == {u: plain(u, rules) for u in urls}
 
 
+def test_more_rules_than_one_sweep_takes(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
+    rules = [("block", "a", "/x"), ("allow", "b.a", ""), ("block", "c.b.a", ""), ("allow", "a", "/x"), ("block", "A", ""), ("block", "b.a", "/x"), ("allow", "b.a", "/x")]
+    urls = [f"h://{h}{p}" for h in ("a", "b.a", "c.b.a", "z.c.b.a", "ab.a", "b.a.c") for p in ("", "/x", "/xy", "/y")]
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    assert got == {u: plain(u, [(v, h.lower(), p) for v, h, p in rules]) for u in urls}
+
+
 def test_empty_table_and_no_rules(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).collect() == []
     assert [r.verdict for r in filter_urls(spark.createDataFrame([(1, "h://a")], "page_id long, url string"), []).collect()] == ["allow"]
