@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each language that the tables are fitted on (expected number, drawn by a hash of the id);
-#: words and n-grams kept for a language, the most frequent; longest n-gram; scored words kept between documents.
-SAMPLE, WORDS, GRAMS, LONGEST, MEMO = 3000, 40_000, 40_000, 5, 400_000
+#: longest n-gram; scored words kept between documents.
+SAMPLE, LONGEST, MEMO = 3000, 5, 400_000
 #: Words after which more text doesn't make a prediction surer.
 EVIDENCE = 20
 UNDETERMINED = "und"
@@ -114,14 +114,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pd.DataFrame([(lang, kind, g, n) for (lang, kind), c in seen.items() for g, n in c.items()], columns=["lang", "kind", "gram", "n"])
 
     counts = drawn.mapInPandas(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
-    most = F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)
-    return Model(counts.where("kind > 0 or n > 1").withColumn("r", F.row_number().over(top)).where(F.col("r") <= most).drop("r").toArrow())
+    return Model(counts.toArrow())  # every word and n-gram of the sample
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", to: str = "language") -> DataFrame:
     """docs with the struct column ``to``: lang_pred and score; whole texts, one row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))  # bounded by WORDS and GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))  # bounded by SAMPLE
     held: list[Model] = []
 
     @F.pandas_udf("lang_pred string, score double")

@@ -35,6 +35,12 @@ def test_unseen_words_fall_back_to_their_letters(spark):
     assert model.predict("jumping")[0] == "en" and model.predict("gateaux")[0] == "fr"
 
 
+def test_every_word_of_the_sample_is_known(spark):
+    df = spark.createDataFrame([*rows(), (1000, "onceonly", "fr", "x")], "doc_id long, text string, lang string, language string").where("doc_id < 80 or doc_id = 1000")
+    assert df.where((F.col("doc_id") == 1000) & (remainder(F.col("doc_id"), 4) != 2)).count() == 1
+    assert "onceonly" in fit(df).tables[0][0]
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert keep_identified(empty).collect() == []
