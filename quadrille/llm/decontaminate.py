@@ -1,8 +1,8 @@
-"""Benchmark decontamination by winnowing, with DataFrame operations only.
+"""Benchmark decontamination by a hash join on every window of 13 words, with DataFrame operations only.
 
-Each run of W k-gram hashes gives its least one as fingerprint, so that any shared span of K + W - 1 = 13 words shares
-one (Schleimer, Wilkerson, Aiken, 2003).  Documents and items meet on fingerprints; a hit is extended to its whole window
-by the hashes of the k-grams that tile it; windows that hold are merged into spans.
+Documents and items meet on the hash of the k-grams that tile a window and on its least k-gram hash. This is not winnowing
+(Schleimer, Wilkerson, Aiken, 2003): every window is kept, so n_hit is whole without extending hits.  Windows that meet
+are merged into spans.
 """
 
 from __future__ import annotations
