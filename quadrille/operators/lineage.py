@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """A reliable checkpoint in spark.checkpoint.dir, or in the folder of setCheckpointDir().
+
+    Where neither is set, a local session gets a folder of our own; on a cluster that would be each machine's own, so it's
+    an error.
+    """
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(FALLBACK_DIR)
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or FALLBACK_DIR)
     return df.checkpoint()
