@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Copies of one row that a task numbers in one go.
+PIECE = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,17 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the folder of setCheckpointDir().
+
+    Where neither is set, a local session gets FALLBACK_DIR; on a cluster that would be each machine's own, so it's an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = FALLBACK_DIR
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop)
+    store.deleteOnExit(hadoop)
+    return f"{folder}/{what}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,6 +72,20 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def row_hash(df: DataFrame, *salt: int):
+    """64-bit hash of a whole row.  Columns that hold a map, which Spark doesn't hash, count by their JSON."""
+    whole = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*[F.lit(x) for x in salt], *[whole(f) for f in df.schema.fields])
+
+
+def numbered(keys: DataFrame) -> DataFrame:
+    """keys (.., copies) as one row for each copy: piece, and copy within it from 0.  Pieces of a hot key are dealt apart."""
+    few = keys.where(f"copies <= {PIECE}").withColumn("piece", F.lit(0).cast("long")).withColumn("here", F.col("copies").cast("int"))
+    many = keys.where(f"copies > {PIECE}").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {PIECE}"))))
+    many = many.withColumn("here", F.least(F.lit(PIECE), F.col("copies") - F.col("piece") * PIECE).cast("int")).repartition(*keys.columns, "piece")
+    return few.unionByName(many).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("here") - 1))).drop("here")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an edge list (u, v): component is the smallest node that can be reached.
 
