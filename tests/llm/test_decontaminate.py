@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quadrille.llm.decontaminate import clean, item_windows, report
+from quadrille.llm.decontaminate import benchmark_items, clean, fingerprints, item_fingerprints, report, word_hashes
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -68,9 +68,34 @@ def test_empty_tables(spark):
 
 
 def test_every_shared_span_has_a_fingerprint(spark):
-    b = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60)))], "item_id long, text string")
-    table, short = item_windows(b)
-    assert table.count() == 48 and short == []
+    """Any 13 words have a fingerprint that the whole text has at the same place; there are far fewer than windows."""
+    rng = random.Random(1)
+    for letters in ("ab", "abcdefghijkl", "a"):
+        text = [rng.choice(letters) for _ in range(120)]
+        parts = [(0, " ".join(text))] + [(k + 1, " ".join(text[k : k + 13])) for k in range(108)]
+        df = spark.createDataFrame(parts, "item_id long, text string")
+        rows = fingerprints(df.select("item_id", word_hashes(df.text).alias("w"))).collect()
+        whole = {(r.p, r.f) for r in rows if r.item_id == 0}
+        for k in range(108):
+            assert any((r.p + k, r.f) in whole for r in rows if r.item_id == k + 1)
+    df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(2012)))], "item_id long, text string")
+    assert 500 < item_fingerprints(benchmark_items(df)[0]).count() < 650  # of 2000 windows; 2 in W + 1 expected
+
+
+def test_large_benchmarks_meet_by_shuffles(spark, monkeypatch):
+    import quadrille.llm.decontaminate as D
+
+    docs, items = fixture()
+    monkeypatch.setattr(D, "BROADCAST_PRINTS", 0)
+    assert got(spark, docs, items)[0] == plain(docs, items)
+    monkeypatch.setattr(D, "BROADCAST_HASHES", 0)
+    assert got(spark, docs, items)[0] == plain(docs, items)
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3)], "doc_id long, text string, __id int, __hash int, __hit int")
+    kept = clean(docs, spark.createDataFrame([(1, "x y")], "item_id long, text string"))
+    assert kept.columns == docs.columns and kept.collect() == docs.collect()
 
 
 def test_native_plan(spark, tiny):
