@@ -1,13 +1,15 @@
 """SimHash near-dedup over a Gray-order hierarchical index.
 
-Fingerprints within 3 bits agree on one of their four 16-bit blocks, so the index is dealt by (block, its value).
-Inside such a unit the fingerprints are sorted by Gray rank, where neighbours share long bit patterns.  Upper nodes hold
-the pattern (mask and bits) that all fingerprints below share; two nodes differ at least by the bits on which both
-patterns are fixed and disagree, and pairs of nodes beyond the limit are dropped with everything below them.
+The distinct fingerprints are sorted by Gray rank, where neighbours share long bit patterns, and cut into blocks of equal
+size.  Blocks, and groups of blocks up to one root, are the upper nodes of one tree: a node holds the pattern (mask and
+bits) that all fingerprints below it share.  Pairs of nodes descend from the root with the differences met so far; a level
+adds the bits that its two patterns fix and those above left open, and a pair beyond the limit is dropped with everything
+below it.  The upper levels are joins on the parents; a pair of blocks that is left goes down to its leaves in one task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -21,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, stored
 from .local_sets import merge
 
-BITS, BLOCKS, LIMIT = 64, 4, 3
+BITS, LIMIT = 64, 3
 #: Words hashed at a time; fingerprints in a leaf; children of a node; node pairs expanded at a time.
-PIECE, LEAF, FAN, FRONT = 1 << 16, 16, 8, 1 << 16
-#: A unit beyond HOT fingerprints is cut into chunks of CHUNK, and each pair of chunks becomes a unit.
-HOT, CHUNK = 8192, 4096
+PIECE, LEAF, FAN, FRONT = 1 << 16, 2, 2, 1 << 16
+#: Fingerprints of a block, the unit that travels (512 KB); children of a node above the blocks.
+BLOCK, TOP_FAN = 1 << 16, 64
 ONES = np.uint64(0x0101010101010101)
 
 
@@ -65,89 +67,121 @@ def gray_rank(c):
     return c
 
 
-def _patterns(fp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mask, bits) shared by each run of fp that begins at start."""
-    both, any_ = np.bitwise_and.reduceat(fp, start), np.bitwise_or.reduceat(fp, start)
-    return both | ~any_, both
+def from_rank(key: np.ndarray) -> np.ndarray:
+    """Fingerprints of Gray ranks that were stored with the sign bit turned, so that signed order is Gray order."""
+    rank = key.view(np.uint64) ^ np.uint64(1 << 63)
+    return rank ^ rank >> np.uint64(1)
 
 
-def tree_links(fp: np.ndarray, limit: int = LIMIT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of fp (in Gray order) within limit bits, by descending pairs of nodes from the root."""
-    steps = [LEAF]
-    while steps[-1] < len(fp):
-        steps.append(steps[-1] * FAN)
-    levels = [_patterns(fp, np.arange(0, len(fp), s)) for s in steps]
+class Tree:
+    """Patterns (mask, bits) by level over fingerprints in Gray order; level 0 has the leaves, the last level one root."""
 
-    def near(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        mask, bits = levels[level]
-        return np.bitwise_count(mask[a] & mask[b] & (bits[a] ^ bits[b])) <= limit
+    def __init__(self, fp: np.ndarray, levels: int):
+        self.fp, self.masks, self.bits = fp, [], []
+        for k in range(levels):
+            start = np.arange(0, len(fp), LEAF * FAN**k) if not k else np.arange(0, len(self.masks[-1]), FAN)
+            both = np.bitwise_and.reduceat(fp if not k else self.both, start)
+            some = np.bitwise_or.reduceat(fp if not k else self.some, start)
+            self.both, self.some = both, some
+            self.masks.append(both | ~some)
+            self.bits.append(both)
 
-    stack = [(len(steps) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+
+def tree_links(fp: np.ndarray, other: np.ndarray | None = None, limit: int = LIMIT, seen: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i of fp, j of other) within limit bits, both in Gray order; without other, pairs i < j of fp.
+
+    seen counts pairs of nodes and of fingerprints that were looked at, and of nodes that were dropped.
+    """
+    same, levels = other is None, 1
+    while LEAF * FAN ** (levels - 1) < max(len(fp), 0 if same else len(other)):
+        levels += 1
+    one = Tree(fp, levels)
+    two = one if same else Tree(other, levels)
+    root = np.zeros(1, np.int64)
+    stack = [(levels - 1, root, root, *descend(one, two, levels - 1, root, root, np.zeros(1, np.uint64), np.zeros(1, np.uint8)))]
     while stack:
-        level, a, b = stack.pop()
+        level, a, b, mask, diff = stack.pop()
         if len(a) > FRONT:
-            stack += [(level, a[k : k + FRONT], b[k : k + FRONT]) for k in range(0, len(a), FRONT)]
+            stack += [(level, a[k : k + FRONT], b[k : k + FRONT], mask[k : k + FRONT], diff[k : k + FRONT]) for k in range(0, len(a), FRONT)]
             continue
-        fan, size = (LEAF, len(fp)) if level == 0 else (FAN, len(levels[level - 1][0]))
-        grid = np.arange(fan)
-        x = (a[:, None, None] * fan + grid[:, None] + 0 * grid).ravel()
-        y = (b[:, None, None] * fan + 0 * grid[:, None] + grid).ravel()
-        ok = (y < size) & (x < size) & (x < y if level == 0 else x <= y)
-        x, y = x[ok], y[ok]
-        if level == 0:
-            ok = np.bitwise_count(fp[x] ^ fp[y]) <= limit
-            yield x[ok], y[ok]
-        elif (ok := near(level - 1, x, y)).any():
-            stack.append((level - 1, x[ok], y[ok]))
-
-
-def unit_links(unit: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the links within each run of equal unit; fp is in Gray order within a run."""
-    labels = np.arange(len(fp))
-    start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-    size = np.diff(np.r_[start, len(fp)])
-    left = np.repeat(start + size, size) - np.arange(len(fp))  # rows of the run from here on
-    small = np.repeat(size <= 2 * LEAF, size)
-    for d in range(1, 2 * LEAF):  # one leaf pair: no node above it could prune anything
-        at = np.flatnonzero(small & (left > d))
-        if not len(at):
-            break
-        at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= LIMIT]
-        labels = merge(labels, at, at + d)
-    for s, n in zip(start[size > 2 * LEAF], size[size > 2 * LEAF], strict=True):
-        for i, j in tree_links(fp[s : s + n]):
-            labels = merge(labels, s + i, s + j)
-    at = np.flatnonzero(labels != np.arange(len(fp)))
-    return fp[at], fp[labels[at]]
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found(unit, fp):
-        u, v = unit_links(unit, fp)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    unit, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-    for batch in batches:
-        unit = np.concatenate([unit, batch.column(0).to_numpy()])
-        fp = np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
-        if len(unit) and unit[0] != unit[-1]:  # the last run may go on
-            last = int(np.flatnonzero(unit != unit[-1])[-1]) + 1
-            yield found(unit[:last], fp[:last])
-            unit, fp = unit[last:], fp[last:]
-    if len(unit):
-        yield found(unit, fp)
+        fan = FAN if level else LEAF
+        ends = (len(one.masks[level - 1]), len(two.masks[level - 1])) if level else (len(one.fp), len(two.fp))
+        x = (a[:, None] * fan + np.repeat(np.arange(fan), fan)).ravel()
+        y = (b[:, None] * fan + np.tile(np.arange(fan), fan)).ravel()
+        at = (x < ends[0]) & (y < ends[1])
+        if same:
+            at &= x <= y if level else x < y
+        at = np.flatnonzero(at)
+        x, y, up = x[at], y[at], at // (fan * fan)
+        if level:
+            mask, diff = descend(one, two, level - 1, x, y, mask[up], diff[up])
+        else:
+            diff = diff[up] + np.bitwise_count(~mask[up] & (one.fp[x] ^ two.fp[y]))
+        near = np.flatnonzero(diff <= limit)
+        if seen is not None:
+            seen["nodes" if level else "fingerprints"] += len(x)
+            seen["dropped"] += (len(x) - len(near)) * bool(level)
+        if level and len(near):
+            stack.append((level - 1, x[near], y[near], mask[near], diff[near]))
+        elif len(near):
+            yield x[near], y[near]
+
+
+def descend(one: Tree, two: Tree, level: int, x: np.ndarray, y: np.ndarray, mask: np.ndarray, diff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(joint mask, differences so far) of pairs of nodes, from those of the pairs above them: only open bits are new."""
+    joint = one.masks[level][x] & two.masks[level][y]
+    return joint, diff + np.bitwise_count(joint & ~mask & (one.bits[level][x] ^ two.bits[level][y]))
+
+
+def _search(group: pa.Table) -> pa.Table:
+    """Spanning edges of the links between two blocks, or within one."""
+    keys = [from_rank(k.values.to_numpy()) for k in group.column("keys")]
+    one, two = keys[0], keys[1] if len(keys) > 1 else None
+    both, shift = np.concatenate(keys), len(one) if two is not None else 0
+    labels = np.arange(len(both))
+    for i, j in tree_links(one, two):
+        labels = merge(labels, i, j + shift)
+    at = np.flatnonzero(labels != np.arange(len(both)))
+    return pa.table([pa.array(both[at].view(np.int64)), pa.array(both[labels[at]].view(np.int64))], names=["u", "v"])
+
+
+def block_pairs(blocks: DataFrame, count: int) -> DataFrame:
+    """(a, b), a <= b, of the blocks whose patterns leave room for a link: pairs of nodes descend level by level."""
+    both, levels = blocks.select("block", "both", "some"), 0
+    while TOP_FAN**levels < count:
+        levels += 1
+    pairs = blocks.sparkSession.createDataFrame([(0, 0, 0, 0)], "a long, b long, mask long, diff int")
+    for k in reversed(range(levels)):
+        size = TOP_FAN**k
+        nodes = both.groupBy(F.expr(f"block div {size}").alias("id")).agg(F.bit_and("both").alias("both"), F.bit_or("some").alias("some"))
+        nodes = nodes.select("id", F.expr(f"id div {TOP_FAN}").alias("up"), F.expr("both | ~some").alias("mask"), F.col("both").alias("bits"))
+        x, y = (nodes.select(*[F.col(c).alias(f"{side}_{c}") for c in nodes.columns]) for side in "xy")
+        met = pairs.join(x, F.col("a") == F.col("x_up")).join(y, F.col("b") == F.col("y_up")).where("x_id <= y_id")
+        met = met.withColumn("joint", F.expr("x_mask & y_mask")).withColumn("diff", F.expr("diff + bit_count(joint & ~mask & (x_bits ^ y_bits))"))
+        pairs = met.where(F.col("diff") <= LIMIT).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("joint").alias("mask"), "diff")
+    return pairs.select("a", "b")
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """Spanning edges (u, v) of all links among the distinct fingerprints of ``prints`` (fp)."""
-    fp = F.col("fp")
-    turned = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), (F.shiftleft(fp, 16 * b).bitwiseOR(F.shiftrightunsigned(fp, 64 - 16 * b)) if b else fp).alias("turned")) for b in range(BLOCKS)]))
-    keys = prints.select("fp", turned.alias("k")).select("fp", "k.b", gray_rank(F.col("k.turned")).alias("rank"), F.shiftrightunsigned("k.turned", 48).alias("v"))
-    hot = keys.groupBy("b", "v").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("b", "v", F.expr(f"cast(-(-n div {CHUNK}) + 1 as int)").alias("chunks"))
-    keys = keys.join(cut(hot), ["b", "v"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    keys = keys.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks"))).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - F.lit(1).cast("long"))))
-    units = keys.select(F.xxhash64("b", "v", F.least("c", "d"), F.greatest("c", "d")).alias("unit"), "fp", F.col("rank").bitwiseXOR(F.lit(-(2**63))).alias("rank"))
-    return units.repartition("unit").sortWithinPartitions("unit", "rank").select("unit", "fp").mapInArrow(_search, "u long, v long")
+    """Spanning edges (u, v) of all links among the distinct fingerprints of ``prints`` (fp).
+
+    A block goes to every block that its pattern may link with: of N blocks of evenly spread fingerprints those that
+    differ in 3 of the leading log2(N) bits or fewer.
+    """
+    count = prints.count()
+    keys = prints.select(gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(2**63))).alias("key"), "fp")
+    parts = max(1, -(-count // (16 * BLOCK)))
+    placed = keys.repartitionByRange(parts, "key").sortWithinPartitions("key").select("key", "fp", F.monotonically_increasing_id().alias("id"))
+    placed = stored(placed, "ranked")
+    part, nth = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r.part: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}  # a row for a million fingerprints
+    before = np.cumsum([0, *(sizes.get(k, 0) for k in range(max(sizes, default=0)))]).tolist()
+    block = F.floor((F.get(F.lit(before).cast("array<long>"), part.cast("int")) + nth) / F.lit(BLOCK)).alias("block")
+    cells = placed.groupBy(block).agg(F.sort_array(F.collect_list("key")).alias("keys"), F.bit_and("fp").alias("both"), F.bit_or("fp").alias("some"))
+    blocks = stored(cells, "blocks")
+    pairs = stored(block_pairs(blocks, -(-count // BLOCK)), "pairs")
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    return sides.join(blocks.select("block", "keys"), "block").groupBy("a", "b").applyInArrow(_search, "u long, v long")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,7 +189,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     Links join fingerprints of 3 differing bits or fewer; root is a fingerprint that names the component, hash one that
     names the text.  Null and empty texts have fingerprint 0 and link like any other; rows of equal text or repeated rows
-    share a fingerprint; null ids are kept, and count only where a component has no other id.
+    share a fingerprint; null ids are kept, and count only where a component has no other id.  A very long text is hashed
+    whole, in pieces of PIECE words.  Other columns aren't read, whatever their names.  An empty table gives no rows.
     """
     prints = with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
     prints = cut(prints.select("doc_id", F.xxhash64("text").alias("hash"), "fp"))
@@ -171,8 +206,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """docs less all but one row of each component: the one of the smallest id stays, with all its columns.
 
     Of texts that share that id the one of the least hash stays, and of rows that repeat id and text any one; null is the
-    largest id.
+    largest id.  Null, empty and very long texts as in components().  Columns keep their names, those that clash with names
+    used here too.  An empty table gives no rows.
     """
+    if clash := [c for c in docs.columns if c.lower() in ("__id", "__hash")]:
+        kept = dedup(docs.withColumnsRenamed({c: f"{c}_own" for c in clash}), doc_id, text)
+        return kept.withColumnsRenamed({f"{c}_own": c for c in clash})
     found = components(docs, doc_id, text).groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
     found = found.withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
     first = cut(found.groupBy("root").agg(F.min("rank").alias("first")))

@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
 
 from quadrille.llm.common import connected_components
-from quadrille.llm.simhash import CHUNK, HOT, components, dedup, gray_rank, hex16, simhash, tree_links, unit_links
+from quadrille.llm.simhash import components, dedup, gray_rank, hex16, simhash, tree_links
 
 
 def plain(text):
@@ -76,25 +77,36 @@ def test_tree_finds_every_link():
     fp = fp[np.argsort(ranks(fp))]
     got = {(i, j) for a, b in tree_links(fp) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp) <= 3, 1))
-    assert got == set(zip(i.tolist(), j.tolist(), strict=True)) and got
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True))
 
 
-def test_units_stay_apart():
+def test_links_between_two_trees():
     rng = np.random.default_rng(2)
-    fp = near_group(rng, 400, 1)
-    unit = np.sort(rng.integers(0, 3, 400))
-    u, v = unit_links(unit, fp)
-    where = {}
-    for k, f in zip(unit, fp, strict=True):
-        where.setdefault(int(f), set()).add(int(k))
-    assert len(u) and all(where[int(a)] & where[int(b)] for a, b in zip(u, v, strict=True))
+    fp = np.unique(np.concatenate([near_group(rng, 400, 2), rng.integers(0, 2**63, 500, dtype=np.uint64)]))
+    fp = fp[np.argsort(ranks(fp))]
+    for cut in (1, 300, len(fp) - 1):
+        got = {(i, j + cut) for a, b in tree_links(fp[:cut], fp[cut:]) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        i, j = np.nonzero(np.bitwise_count(fp[:cut, None] ^ fp[cut:]) <= 3)
+        assert got == set(zip(i.tolist(), (j + cut).tolist(), strict=True))
+
+
+def test_the_tree_prunes_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fp = np.array(sorted({simhash(r.text) % 2**64 for r in docs.select("text").collect()}), np.uint64)
+    fp = fp[np.argsort(ranks(fp))]
+    seen = Counter()
+    got = {(i, j) for a, b in tree_links(fp, seen=seen) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp) <= 3, 1))
+    assert got == set(zip(i.tolist(), j.tolist(), strict=True))
+    assert seen["nodes"] and seen["dropped"] > 0.1 * seen["nodes"] and seen["fingerprints"] < 0.05 * len(fp) ** 2 / 2
 
 
-def test_hot_units_are_cut_and_lose_no_link(spark, monkeypatch):
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """Many small blocks, three levels of nodes above them, and a group that is larger than a block."""
     import quadrille.llm.simhash as S
 
-    monkeypatch.setattr(S, "HOT", 50)
-    monkeypatch.setattr(S, "CHUNK", 20)
+    monkeypatch.setattr(S, "BLOCK", 20)
+    monkeypatch.setattr(S, "TOP_FAN", 3)
     rng = np.random.default_rng(3)
     fp = np.unique(np.concatenate([near_group(rng, 150, 3), rng.integers(0, 2**63, 50, dtype=np.uint64)]))
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
@@ -104,7 +116,12 @@ def test_hot_units_are_cut_and_lose_no_link(spark, monkeypatch):
     for k, f in zip(want, fp.view(np.int64).tolist(), strict=True):
         groups.setdefault(k, set()).add(found.get(f, f))
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
-    assert HOT > CHUNK
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(2, "some words of text", 1, 2), (1, "some WORDS of text", 3, 4)], "doc_id long, text string, __id int, __hash int")
+    kept = dedup(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "some WORDS of text", 3, 4)]
 
 
 def test_gray_rank_orders_the_gray_code(spark):
