@@ -21,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import cut
 from .langid import remainder
 
 #: crc32(doc_id) mod 7 of documents that nothing is learned from, and of those whose counts train the mixture weights.
 HELD_OUT, DEV = 2, 5
-#: Tokens in a chunk; bytes of text for each bucket; classes of context frequency (by powers of two); EM rounds;
-#: steps of a factor of two that EM rounds relative frequencies to.
-CHUNK, BUCKET_BYTES, CLASSES, ROUNDS, STEPS = 1 << 20, 8 << 20, 48, 60, 4
+#: Tokens in a chunk; bytes of text for each bucket; classes of context frequency (by powers of two); EM rounds at most,
+#: and the change of a weight under which they end; bytes of text for a partition of the cells, which every round reads.
+CHUNK, BUCKET_BYTES, CLASSES, ROUNDS, SETTLED, CELL_BYTES = 1 << 18, 8 << 20, 48, 200, 1e-3, 64 << 20
 BOS, END = np.uint64(1), np.uint64(xxhash.xxh64_intdigest(b"", 7))
 
 
@@ -190,29 +190,40 @@ def context_class(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64) + 1, CLASSES - 1), 0)
 
 
-def learn(cells: list[tuple[int, float, float, float]], uniform: float) -> np.ndarray:
-    """Weights (pair, word, uniform) of each class from cells (class, pair frequency, word frequency, number of tokens).
+def shares(weights: np.ndarray, cells: list[tuple] | DataFrame, uniform: float) -> dict[int, np.ndarray]:
+    """Expected tokens (pair, word, uniform) of each class under ``weights``; class CLASSES is all of them together."""
+    if isinstance(cells, DataFrame):
+        each = cells.select(F.explode(F.array("class", F.lit(CLASSES))).alias("class"), "pair", "word", "n")
+        of = [F.get(F.lit(weights[:, k].tolist()), F.col("class")) for k in range(3)]
+        got = [of[0] * F.col("pair"), of[1] * F.col("word"), of[2] * F.lit(uniform)]
+        sums = each.withColumn("all", got[0] + got[1] + got[2]).groupBy("class").agg(*[F.sum(F.col("n") * g / F.col("all")).alias(f"s{k}") for k, g in enumerate(got)])
+        return {r["class"]: np.array([r.s0, r.s1, r.s2]) for r in sums.collect()}  # CLASSES rows at most
+    found: dict[int, np.ndarray] = {}
+    for level, pair, word, n in cells:
+        for k in (int(level), CLASSES):
+            got = weights[k] * (pair, word, uniform)
+            found[k] = found.get(k, 0) + n * got / got.sum()
+    return found
 
-    A class without tokens takes the weights of all classes together; an unseen context has no use for pairs.
+
+def learn(cells: list[tuple[int, float, float, float]] | DataFrame, uniform: float) -> np.ndarray:
+    """Weights (pair, word, uniform) of each class by EM on cells (class, pair frequency, word frequency, number of tokens).
+
+    A round is one sum over all cells, in Spark where they are a DataFrame.  A class without tokens takes the weights of
+    all classes together; an unseen context has no use for pairs.
     """
-    weights = np.full((CLASSES, 3), 1 / 3)
-    c = np.array(cells, float).reshape(-1, 4)
-    share = np.column_stack([c[:, 1], c[:, 2], np.full(len(c), uniform)])
-
-    def fit(rows: np.ndarray, pairs: bool) -> np.ndarray:
-        w = np.array([1.0 * pairs, 1, 1]) / (2 + pairs)
-        for _ in range(ROUNDS):
-            got = share[rows] * w
-            w = (c[rows, 3][:, None] * got / got.sum(1, keepdims=True)).sum(0)
-            w /= w.sum()
-        return w
-
-    for k in range(CLASSES):
-        own = c[:, 0] == k
-        if len(c):
-            weights[k] = fit(own if own.any() else np.ones(len(c), bool), k > 0)
-        elif not k:
-            weights[k] = (0, 0.5, 0.5)
+    weights, met = np.full((CLASSES + 1, 3), 1 / 3), np.zeros(CLASSES + 1, bool)
+    weights[0] = (0, 0.5, 0.5)
+    for _ in range(ROUNDS):
+        moved = 0.0
+        for k, got in shares(weights, cells, uniform).items():
+            met[k], moved = True, max(moved, np.abs(got / got.sum() - weights[k]).max())
+            weights[k] = got / got.sum()
+        if moved < SETTLED:
+            break
+    weights, spare = weights[:CLASSES], weights[CLASSES]
+    weights[~met[:CLASSES]] = spare
+    weights[0] = (0, *(weights[0, 1:] / weights[0, 1:].sum()))
     low = weights[:, 2] < 1e-6  # an unseen word keeps some probability everywhere
     weights[low] = (weights[low] * (1 - 1e-6)) + np.array([0, 0, 1e-6])
     return weights
@@ -222,12 +233,13 @@ def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
     Null and empty texts are scored as the end mark alone.  Repeated rows and ids are scored each, and counted each.
-    A row without id is scored, but nothing is learned from it.  An empty table gives no rows.
+    A row without id is scored, but nothing is learned from it.  An empty table gives no rows.  A document is never cut:
+    a very long one is a chunk of its own.  Other columns aren't read, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), remainder(F.col("doc_id"), 7).cast("int").alias("part"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_partitions(docs.sparkSession) // 2, -(-size // BUCKET_BYTES))
-    answers = stored(rows.mapInArrow(_ask(buckets), ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer(buckets), ddl(ANSWER)), "counts")
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    answers = cut(rows.mapInArrow(_ask(buckets), ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer(buckets), ddl(ANSWER)))
     known = answers.where("chunk is null").agg(F.sum("distinct"), F.sum("total"), F.sum("total_main")).first()
     distinct, total, total_main = (x or 0 for x in known)
     uniform = 1 / (distinct + 1)
@@ -236,16 +248,15 @@ def score(docs: DataFrame) -> DataFrame:
 
     def tally(group: pa.Table) -> pa.Table:
         x = Counted(group)
-        before, word, pair = x.counts(x.main)
-        level = lambda f: np.where(f > 0, np.rint(STEPS * np.log2(np.maximum(f, 1e-300))), 1).astype(np.int64)
-        cells, n = np.unique(np.column_stack([context_class(before), level(pair / np.maximum(before, 1)), level(word / max(total_main, 1))]), axis=0, return_counts=True)
-        return pa.table({"class": cells[:, 0], "pair": cells[:, 1], "word": cells[:, 2], "n": n})
+        cells, n = np.unique(np.column_stack(x.counts(x.main)).astype(np.int64), axis=0, return_counts=True)
+        return pa.table({"before": cells[:, 0], "word": cells[:, 1], "pair": cells[:, 2], "n": n})
 
     dev = rows.mapInArrow(_payload(True), ddl(CHUNKED)).unionByName(answered.where("chunk like '%-dev-%'"))
-    tallied = dev.groupBy("chunk").applyInArrow(tally, "class long, pair long, word long, n long")
-    cells = tallied.groupBy("class", "pair", "word").agg(F.sum("n").alias("n")).collect()  # CLASSES times a few hundred steps squared at most
-    value = lambda k: 0.0 if k > 0 else 2 ** (k / STEPS)
-    weights = learn([(r["class"], value(r["pair"]), value(r["word"]), r["n"]) for r in cells], uniform)
+    tallied = dev.groupBy("chunk").applyInArrow(tally, "before long, word long, pair long, n long")
+    level = F.when(F.col("before") > 0, F.least(F.floor(F.log2("before")).cast("int") + 1, F.lit(CLASSES - 1))).otherwise(0)
+    exact = tallied.groupBy("before", "pair", "word").agg(F.sum("n").alias("n"))
+    cells = exact.select(level.alias("class"), (F.col("pair") / F.greatest("before", F.lit(1))).alias("pair"), (F.col("word") / F.lit(max(total_main, 1))).alias("word"), "n")
+    weights = learn(cut(cells.coalesce(max(1, -(-size // CELL_BYTES)))), uniform)
 
     def scored(group: pa.Table) -> pa.Table:
         x = Counted(group)

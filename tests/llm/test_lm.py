@@ -91,3 +91,28 @@ def test_weights_favour_what_held_out_tokens_need():
 def test_blobs():
     x = np.array([0, 1, 2**63, 5], np.uint64)
     assert (lm.expand(lm.squeeze(x)) == x).all() and len(lm.expand(lm.squeeze(x[:0]))) == 0
+
+
+def test_em_recomputed(spark, tiny, monkeypatch):
+    """The weights are those of EM over every held-out token, with counts taken from the rest in plain Python."""
+    learned, original = {}, lm.learn
+    monkeypatch.setattr(lm, "learn", lambda cells, uniform: learned.setdefault("w", original(cells, uniform)))
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    lm.score(docs)
+    taught = [(part(r.doc_id), tokens(r.text)) for r in docs.collect() if part(r.doc_id) != 2]
+    main, dev = [t for k, t in taught if k != lm.DEV], [t for k, t in taught if k == lm.DEV]
+    count, pairs = Counter(x for t in main for x in t), Counter(p for t in main for p in zip([None, *t], t, strict=False))
+    context, n, distinct = count + Counter({None: len(main)}), sum(count.values()), len({x for _, t in taught for x in t})
+    rows = []
+    for t in dev:
+        for a, x in zip([None, *t], t, strict=False):
+            c = context[a]
+            rows.append((0 if not c else min(int(math.log2(c)) + 1, lm.CLASSES - 1), pairs[a, x] / max(c, 1), count[x] / n))
+    rows = np.array(rows)
+    for k in set(rows[:, 0].astype(int).tolist()):
+        own = np.column_stack([rows[rows[:, 0] == k, 1:], np.full((rows[:, 0] == k).sum(), 1 / (distinct + 1))])
+        w = np.array([0, 0.5, 0.5]) if k == 0 else np.full(3, 1 / 3)
+        for _ in range(3000):
+            got = own * w
+            w = (got / got.sum(1, keepdims=True)).mean(0)
+        assert np.abs(learned["w"][k] - w).max() < 0.02, (k, learned["w"][k], w)
