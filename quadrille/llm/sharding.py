@@ -2,7 +2,8 @@
 
 Pass one scatters the rows by a seeded hash into many small buckets; pass two shuffles each bucket by Fisher-Yates.
 Buckets in order, each shuffled, are a uniform permutation of the rows (Rao, Sandelius); shards are equal cuts of it.
-The text crosses the network once: the permutation of a bucket needs nothing but its row count.
+Both passes work on keys of the rows; a repeated row is one key with a number for each copy, so that its copies are
+scattered like other rows and no bucket grows.  The texts cross the network once, to meet their places.
 """
 
 from __future__ import annotations
@@ -10,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, without
+from .common import PIECE, fresh_path, numbered, row_hash, stored, without
 
-#: Rows aimed at for one bucket.  Only many repeats of one whole row can make a bucket much larger; such a bucket is
-#: left in the order of its seeded hashes, as equal rows can't be told apart anyway.
-BUCKET_ROWS, LARGE = 256, 16
+#: Rows aimed at for one bucket.
+BUCKET_ROWS = 256
 ADDED = ("shard", "slot")
 
 
@@ -26,36 +26,48 @@ def fisher_yates(count: str, bucket: str, seed: int) -> F.Column:
     return F.expr(f"aggregate(sequence(0, cast({count} as int) - 1), cast(array() as array<int>), {step})")
 
 
+def places(keys: DataFrame, rows: int, seed: int, bucket_rows: int) -> DataFrame:
+    """(h1, h2, piece, copies, pos): the places, 0 .. rows - 1, of the copies of each key."""
+    buckets = max(1, -(-rows // bucket_rows))
+    each = numbered(keys).withColumn("hash", F.xxhash64(F.lit(seed), "h1", "h2", "piece", "copy")).withColumn("bucket", F.pmod(F.col("hash"), F.lit(buckets)))
+    counts = stored(each.groupBy("bucket").agg(F.count("*").alias("count")), "buckets").withColumn("super", F.expr("bucket div 1024"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    supers = counts.groupBy("super").agg(F.sum("count").alias("sum"))  # one row for 262,144 rows
+    supers = supers.select("super", F.coalesce(F.sum("sum").over(before().orderBy("super")), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("count").over(before("super").orderBy("bucket")), F.lit(0))
+    dealt = counts.withColumn("own", own).join(supers, "super").select("bucket", (F.col("base") + F.col("own")).alias("offset"), fisher_yates("count", "bucket", seed).alias("perm"))
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "hash"), "hash", "h1", "h2", "piece", "copy")
+    at = each.withColumn("at", F.row_number().over(order) - 1).join(dealt, "bucket")
+    return at.select("h1", "h2", "piece", "copies", (F.col("offset") + F.get("perm", F.col("at"))).alias("pos"))
+
+
 def assign(docs: DataFrame, shards: int, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs with shard and slot by the law ``rows``: sizes of shards differ by one row at most, slots run from 0.
 
-    Every row is placed once, repeated rows and rows of nulls too; an empty table gives no rows.  Columns of docs named
-    shard or slot are replaced.  The same rows and seed give the same shards, however they are partitioned.
+    Every row is placed once, repeated rows, rows of nulls and rows with maps too; an empty table gives no rows.  Columns of
+    docs named shard or slot are replaced, others keep their names and values.  Texts of any length are one value of a row.
+    The same rows and seed give the same shards, however they are partitioned.  Rows meet their places by two hashes of the
+    whole row; a row that repeats is sent once from each partition.
     """
     keep = without(docs, ADDED)
-    rows = keep.count()
-    buckets = max(1, -(-rows // bucket_rows))
-    row_hash = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in keep.columns])
-    dealt = keep.withColumn("__hash", row_hash).withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(buckets)))
-
-    counts = dealt.groupBy("__bucket").agg(F.count("*").alias("__count")).withColumn("__super", F.expr("__bucket div 1024"))
-    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    supers = counts.groupBy("__super").agg(F.sum("__count").alias("__sum"))  # one row for 262,144 rows
-    supers = supers.select("__super", F.coalesce(F.sum("__sum").over(before().orderBy("__super")), F.lit(0)).alias("__base"))
-    own = F.coalesce(F.sum("__count").over(before("__super").orderBy("__bucket")), F.lit(0))
-    placed = counts.withColumn("__own", own).join(supers, "__super").select(
-        "__bucket", (F.col("__base") + F.col("__own")).alias("__offset"),
-        F.when(F.col("__count") <= LARGE * bucket_rows, fisher_yates("__count", "__bucket", seed)).alias("__perm"),
-    )
-
-    order = Window.partitionBy("__bucket").orderBy(F.xxhash64(F.lit(seed + 1), "__hash"), "__hash")
-    at = dealt.withColumn("__at", F.row_number().over(order) - 1).join(placed, "__bucket")
-    at = at.withColumn("__pos", F.col("__offset") + F.coalesce(F.get("__perm", F.col("__at")), F.col("__at")))
+    keyed = keep.select(row_hash(keep, seed).alias("h1"), row_hash(keep, seed, 1).alias("h2"), F.struct(*[F.col(f"`{c}`") for c in keep.columns]).alias("row"))
+    keys = stored(keyed.groupBy("h1", "h2").agg(F.count("*").alias("copies")), "keys")
+    known = keys.agg(F.sum("copies").alias("rows"), F.max("copies").alias("most")).first()
+    rows = known.rows or 0
+    placed = stored(places(keys, rows, seed, bucket_rows), "places")
+    distinct = keyed.groupBy("h1", "h2").agg(F.first("row").alias("row"))
+    at = distinct.join(placed.where(f"copies <= {PIECE}").select("h1", "h2", "pos").hint("merge"), ["h1", "h2"])
+    if (known.most or 0) > PIECE:  # a hot row goes to as many tasks as it has pieces
+        hot = placed.where(f"copies > {PIECE}").select("h1", "h2", "piece", "pos")
+        few = keys.where(f"copies > {PIECE}").select("h1", "h2", "copies")
+        pieces = keyed.join(few, ["h1", "h2"]).groupBy("h1", "h2", "copies").agg(F.first("row").alias("row"))
+        pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {PIECE}")))).drop("copies")
+        at = at.unionByName(pieces.join(hot.hint("merge"), ["h1", "h2", "piece"]).select("h1", "h2", "row", "pos"))
     q, r = divmod(rows, shards)
     edge = r * (q + 1)
-    at = at.withColumn("shard", F.expr(f"cast(case when __pos < {edge} then __pos div {q + 1} else {r} + (__pos - {edge}) div {max(q, 1)} end as int)"))
-    at = at.withColumn("slot", F.expr(f"__pos - case when shard < {r} then shard * {q + 1}L else {edge}L + (shard - {r}) * {q}L end"))
-    return at.drop("__hash", "__bucket", "__at", "__offset", "__perm", "__pos")
+    at = at.withColumn("shard", F.expr(f"cast(case when pos < {edge} then pos div {q + 1} else {r} + (pos - {edge}) div {max(q, 1)} end as int)"))
+    at = at.withColumn("slot", F.expr(f"pos - case when shard < {r} then shard * {q + 1}L else {edge}L + (shard - {r}) * {q}L end"))
+    return at.select("row.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, seed: int = 7) -> None:
