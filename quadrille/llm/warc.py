@@ -1,9 +1,11 @@
 """Deterministic sharded WARC writer, and a reader.
 
-Records are sorted by page id in shards whose bounds follow from the rows alone; a shard is written as gzip members
-(one a record) into files that roll at a compressed size.  Headers and digests are made anew.  A task writes under a
-temporary name of its own attempt; only files named by the stored manifest are renamed and exist for readers, so a lost,
-repeated or speculative task leaves nothing but a temporary file.
+Records are sorted by page id and digest and cut into shards at bounds that follow from the rows alone; a task writes one
+shard as gzip members (one a record) into files that roll at a compressed size.  Headers and digests are made anew.  A task
+writes under a temporary name of its own attempt; only files named by the stored manifest are renamed and exist for
+readers, so a lost, repeated or speculative task leaves nothing but a temporary file.
+
+Payloads cross the network once.  What is known of copies, found on digests, travels as rows that sort before the payload.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import stored
 
-#: Compressed bytes at which a file is closed; rows that the shard bounds are taken from, those of the least hashes.
-ROLL_BYTES, BOUND_ROWS = 256 << 20, 4096
+#: Compressed bytes at which a file is closed; bytes of payload and headers aimed at for a shard, and shards at most (larger
+#: inputs have larger shards); bound samples taken for each shard; bytes that a record has besides its payload.
+ROLL_BYTES, SHARD_BYTES, SHARDS, SAMPLES, HEAD_BYTES = 256 << 20, 32 << 20, 1 << 16, 16, 600
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, part int, temporary string, name string, records long, bytes long, sha1 string"
@@ -76,11 +79,32 @@ class Roll:
         return {"shard": self.shard, "part": self.part, "temporary": self.temporary, "name": self.name, "records": self.records, "bytes": self.bytes, "sha1": self.digest.hexdigest()}
 
 
-def shard_bounds(pages: DataFrame, shards: int) -> list[int]:
-    """Quantiles of the page ids of the rows with the least hashes: the same rows give the same bounds."""
-    ids = pages.where("page_id is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(BOUND_ROWS).collect()
-    ids = sorted(r.page_id for r in ids)
-    return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
+def shard_bounds(groups: DataFrame, shard_bytes: float) -> list[tuple[int, int]]:
+    """Keys (place, mark) at which shards end.  groups: place, mark, weight, with each key once.
+
+    A key is in the sample if its hash is below its share of bytes: a sample for each SAMPLES-th of a shard, the same for
+    the same rows, SAMPLES * SHARDS keys on the driver at most (as far as hashes are even).
+    """
+    dice = F.pmod(F.xxhash64("place", "mark"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = sorted(tuple(r) for r in groups.where(dice < F.col("weight") * (SAMPLES / shard_bytes)).select("place", "mark").collect())
+    return drawn[SAMPLES::SAMPLES]
+
+
+def shard_of(bounds: list[tuple[int, int]]):
+    """How many of the bounds are at or before (place, mark): a binary search."""
+    if not bounds:
+        return F.lit(0)
+    places, marks = (F.lit([x[k] for x in bounds]) for k in (0, 1))
+
+    def halve(s, _):
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        at = F.get(places, mid)
+        after = (at < F.col("place")) | ((at == F.col("place")) & (F.get(marks, mid) <= F.col("mark")))
+        go_on = s["lo"] < s["hi"]
+        return F.struct(F.when(go_on & after, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go_on & ~after, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
@@ -88,48 +112,53 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
 
     Of records with equal payloads of at least ``least_bytes`` the one of the largest page_id is a response, the others
     revisit it.  Null html is an empty payload, a null url leaves its header out, a null page_id sorts first and is the
-    largest only among nulls.  Of rows that repeat page_id and payload the first is the response.  Other columns are not
-    written.  An empty table gives no file.
+    largest only among nulls.  Of rows that repeat page_id and payload, which share a shard, the first is the response.
+    A record is built whole in memory, so the largest payload must fit a task some five times.  Other columns aren't
+    written, whatever their names.  An empty table gives no file.  shards: how many to aim at, if not by bytes.
     """
     spark: SparkSession = pages.sparkSession
-    shards = shards or shuffle_partitions(spark)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    copies = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(copies.select(F.col("digest").alias("d"), "first"), "copies")
-    rows = rows.join(copies, F.col("digest") == F.col("d"), "left")
-    bounds = shard_bounds(pages.select(F.col("page_id").cast("long").alias("page_id")), shards)
-    if bounds:
-        literal = ", ".join(f"{b}L" for b in bounds)
-        rows = rows.withColumn("shard", F.expr(f"coalesce(size(filter(array({literal}), b -> b <= page_id)), 0)"))
-    else:
-        rows = rows.withColumn("shard", F.lit(0))
-    rows = rows.select("shard", "page_id", "digest", "url", "payload", F.col("d").isNotNull().alias("copied"), "first")
+    page_id = F.col("page_id").cast("long")
+    rows = pages.select(page_id.alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    placed = lambda df: df.withColumns({"place": F.coalesce("page_id", F.lit(-(1 << 63))), "mark": F.xxhash64("digest")})
+    size = F.octet_length("payload")
+    groups = stored(rows.groupBy("page_id", "digest").agg(F.count("*").alias("n"), F.first(size).cast("long").alias("bytes")), "digests")
+    total = groups.agg(F.sum(F.col("n") * (F.col("bytes") + HEAD_BYTES))).first()[0] or 0
+    shard_bytes = total / shards if shards else max(SHARD_BYTES, total / SHARDS)
+    bounds = shard_bounds(placed(groups).withColumn("weight", F.col("n") * (F.col("bytes") + HEAD_BYTES)), shard_bytes or 1)
+    copies = groups.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("n").alias("all")).where("all > 1").select("digest", "first")
+    told = groups.select("page_id", "digest").join(copies, "digest")
+    both = rows.withColumn("kind", F.lit(1)).unionByName(told.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    both = placed(both).withColumn("shard", shard_of(bounds)).select("shard", "page_id", "digest", "kind", "url", "payload", "first")
     store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(f"{folder}/_temporary")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last, nth, done = None, None, 0, []
+        out, last, copied, nth, done = None, None, None, 0, []
         attempt = TaskContext.get().taskAttemptId()
         store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
             for k in range(batch.num_rows):
                 x = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 key = (x["shard"], x["page_id"], x["digest"])
+                if not x["kind"]:
+                    copied, first = key, x["first"]
+                    continue
                 nth, last = (nth + 1 if key == last else 0), key
                 if out and (out.shard != x["shard"] or out.bytes >= roll_bytes):
                     done.append(out.close())
                     out = Roll(store, folder, x["shard"], out.part + 1 if out.shard == x["shard"] else 0, attempt)
                 out = out or Roll(store, folder, x["shard"], 0, attempt)
-                revisit = x["copied"] and (x["page_id"] != x["first"] or nth > 0)
-                out.add(record(x["page_id"], nth, x["url"], x["payload"], x["first"] if revisit else None, revisit))
+                revisit = copied == key and (x["page_id"] != first or nth > 0)
+                out.add(record(x["page_id"], nth, x["url"], x["payload"], first if revisit else None, revisit))
         if out:
             done.append(out.close())
         names = ["shard", "part", "temporary", "name", "records", "bytes", "sha1"]
         types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([d[n] for d in done], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    manifest = stored(rows.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url").mapInArrow(write, MANIFEST), "manifest")
+    dealt = both.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    manifest = stored(dealt.mapInArrow(write, MANIFEST), "manifest")
 
     def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
@@ -186,5 +215,5 @@ def read_warc(manifest: DataFrame, path: str) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = manifest.repartition(max(1, min(manifest.count(), 4 * shuffle_partitions(manifest.sparkSession))), "name")
+    files = manifest.select("name").repartition(max(1, manifest.count()))
     return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
