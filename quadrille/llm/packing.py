@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import PIECE, numbered, stored
+
 #: Permitted lengths; the cost of a bin is its length and OVERHEAD; pieces packed together, which bounds a task's memory.
 LENGTHS, OVERHEAD, GROUP = (512, 1024, 2048, 4096, 8192), 32, 4096
 ADDED = "doc_id long, piece long, start long, n_tokens long, bin_id string, bin_size long, bin_used long, bin_offset long"
@@ -66,13 +68,16 @@ def best_fit(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: in
 def pack(docs: DataFrame, n_tokens: Column, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, group: int = GROUP) -> DataFrame:
     """(doc_id, piece, start, n_tokens, bin_id, bin_size, bin_used, bin_offset): where each piece of each row lies.
 
-    A row longer than the largest length is cut into pieces of that length and a rest; every token has one place.  A row
-    of no (or null) tokens comes back once, with null bin columns.  Repeated rows and null ids are packed like others:
-    they are counted, numbered and dealt apart.  Pieces are dealt to groups by a hash, and each group is packed alone.
+    A row longer than the largest length, however long, is cut into pieces of that length and a rest; every token has one
+    place.  A row of no (or null) tokens comes back once, with null bin columns.  Repeated rows and null ids are packed like
+    others: they are counted, numbered and dealt apart.  Pieces are dealt to groups by a hash, and each group is packed
+    alone; of pieces of equal size the one of the smaller id goes first, and of bins with equal room the one opened last is
+    filled.  Other columns aren't read, whatever their names.  An empty table gives no rows.
     """
     longest = max(lengths)
     counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("copies"))
-    each = counts.select("doc_id", "n", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    counts = stored(counts, "counts")  # the texts are read once
+    each = numbered(counts).select("doc_id", "n", (F.col("piece") * PIECE + F.col("copy")).alias("copy"))
     empty = each.where("n = 0").selectExpr("doc_id", "0L piece", "0L start", "0L n_tokens", "cast(null as string) bin_id", "cast(null as long) bin_size", "cast(null as long) bin_used", "cast(null as long) bin_offset")
     pieces = each.where("n > 0").select("doc_id", "n", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {longest}"))).alias("piece"))
     pieces = pieces.select("doc_id", "copy", "piece", (F.col("piece") * longest).alias("start"), F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("long").alias("size"))
