@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, shuffle_partitions
 from .local_sets import merge
 
-#: Classes aimed at for a tile, and the most tiles (beyond, tiles grow: 1e9 vectors make tiles of about 1e6);
+#: Classes aimed at for a tile, and the most tiles of the tree (larger ones are dealt in chunks of TILE classes by a hash);
 #: rows that the basis and the tile bounds are fitted on (any basis gives the same links);
-#: leading dimensions of each step; dimensions that the tree and the boxes look at; rows of a tile compared at a time.
-TILE, TILES, BASIS_ROWS, STEPS, AXES, ROWS = 8192, 1024, 8192, (16, 32), 8, 512
+#: leading dimensions of each step; dimensions that the tree and the boxes look at; rows of a tile compared at a time;
+#: share of a block's pairs up to which they go on one by one.
+TILE, TILES, BASIS_ROWS, STEPS, AXES, ROWS, SINGLE = 8192, 1024, 8192, (16, 32), 8, 256, 0.05
 SLACK = 1e-9
 
 
@@ -60,28 +61,33 @@ class Basis:
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, basis: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of a and b (of length one) with cosine >= least; of one set, i < j."""
+    """Index pairs of rows of a and b (of length one) with cosine >= least; of one set, i < j.
+
+    Products of the leading dimensions add up step by step; after each the pairs that cannot reach the threshold, even if
+    the rest of the two vectors were parallel, stop.  A step works on the whole block while many of its pairs are left, and
+    on single pairs from then on; the products and the bounds are the same.
+    """
     ra, rb = a @ basis, b @ basis
-    sa, sb = ([np.sqrt((r[:, k:] ** 2).sum(1)) for k in STEPS] for r in (ra, rb))
-    exact = lambda i, j: np.einsum("ij,ij->i", a[i], b[j])
+    edges = [0, *(k for k in STEPS if k < a.shape[1]), a.shape[1]]
+    rest = [[np.sqrt((r[:, k:] ** 2).sum(1)) for k in edges] for r in (ra, rb)]
     for s in range(0, len(a), ROWS):
-        rows = slice(s, s + ROWS)
-        bound = ra[rows, : STEPS[0]] @ rb[:, : STEPS[0]].T
-        i, j = np.nonzero(bound + np.outer(sa[0][rows], sb[0]) >= least - SLACK)
-        i += s
-        if same:
-            i, j = i[i < j], j[i < j]
-        if len(i) > 0.05 * bound.size:  # most of the block is near: one product of all dimensions is the faster way
-            full = a[rows] @ b.T
-            cos = full[i - s, j]
-        else:
-            cos = (ra[i, : STEPS[1]] * rb[j, : STEPS[1]]).sum(1)
-            go = cos + sa[1][i] * sb[1][j] >= least - SLACK
-            i, j = i[go], j[go]
-            cos = exact(i, j)
-        sure, edge = cos >= least + SLACK, np.abs(cos - least) < SLACK
-        if edge.any():
-            sure[edge] = exact(i[edge], j[edge]) >= least
+        block, pairs = np.zeros((min(ROWS, len(a) - s), len(b))), None
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False), 1):
+            if pairs is None:
+                block += ra[s : s + ROWS, lo:hi] @ rb[:, lo:hi].T
+                i, j = np.nonzero(block + np.outer(rest[0][k][s : s + ROWS], rest[1][k]) >= least - SLACK)
+                if len(i) <= SINGLE * block.size or hi == edges[-1]:
+                    pairs = i + s, j, block[i, j]
+                    if same:
+                        pairs = tuple(x[i + s < j] for x in pairs)
+            else:
+                i, j, cos = pairs
+                cos = cos + (ra[i, lo:hi] * rb[j, lo:hi]).sum(1)
+                go = cos + rest[0][k][i] * rest[1][k][j] >= least - SLACK
+                pairs = i[go], j[go], cos[go]
+        i, j, cos = pairs
+        sure, edge = cos >= least + SLACK, np.flatnonzero(cos < least + SLACK)
+        sure[edge] = np.einsum("ij,ij->i", a[i[edge]], b[j[edge]]) >= least
         yield i[sure], j[sure]
 
 
@@ -90,7 +96,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_i
 
     Null, zero and empty vectors and those with a null, NaN or infinite component link with nothing, and are a component
     each.  Vectors of different lengths compare as if the shorter ended in zeros.  Equal vectors and repeated rows link
-    with each other as any two rows do.  A null id counts only where its component has no other.
+    with each other as any two rows do.  A null id counts only where its component has no other.  Other columns aren't read,
+    whatever their names.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
@@ -102,8 +109,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_i
     if not size.n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = size.width
-    sample = classes.orderBy(F.xxhash64("rep")).limit(BASIS_ROWS).select("v").toPandas()
-    basis = Basis(unit(padded(sample.v, width)), min(TILES, max(-(-size.n // TILE), math.isqrt(shuffle_partitions(spark)))))
+    drawn = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * min(1, BASIS_ROWS / size.n)))
+    sample = classes.where(drawn).select("rep", "v").toPandas().sort_values("rep")  # BASIS_ROWS, about
+    vectors_of = unit(padded(sample.v, width)) if len(sample) else np.eye(width)
+    basis = Basis(vectors_of, min(TILES, max(-(-size.n // TILE), math.isqrt(shuffle_partitions(spark)))))
 
     def tiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -112,14 +121,26 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_i
 
     tiles = cut(classes.select("rep", "weight", "v").mapInPandas(tiled, "rep long, weight long, v array<double>, tile long, lead array<double>"))
     axes = range(min(AXES, width))
-    boxes = tiles.groupBy("tile").agg(F.array(*[F.min(F.get("lead", F.lit(k))) for k in axes]).alias("lo"), F.array(*[F.max(F.get("lead", F.lit(k))) for k in axes]).alias("hi")).collect()
-    tile, lo, hi = (np.array([getattr(x, k) for x in boxes]) for k in ("tile", "lo", "hi"))
-    live = []
-    for k, t in enumerate(tile):  # two points of length one with that cosine are at most sqrt(2 - 2 * least) apart
-        gap = np.maximum(0, np.maximum(lo - hi[k], lo[k] - hi))
-        live += [(int(t), int(u)) for u in tile[(tile >= t) & ((gap**2).sum(1) <= 2 - 2 * least + SLACK)]]
-    sides = spark.createDataFrame([(t, f"{a}-{b}", t == a) for a, b in live for t in {a, b}], "tile long, pair string, first boolean")
-    dealt = tiles.select("rep", "weight", "v", "tile").join(sides, "tile").drop("tile")
+    boxes = tiles.groupBy("tile").agg(F.array(*[F.min(F.get("lead", F.lit(k))) for k in axes]).alias("lo"), F.array(*[F.max(F.get("lead", F.lit(k))) for k in axes]).alias("hi"), F.count("*").alias("n")).collect()  # TILES at most
+    tile, lo, hi, n = (np.array([x[k] for x in boxes]) for k in ("tile", "lo", "hi", "n"))
+    chunks = dict(zip(tile.tolist(), (-(-n // TILE)).tolist(), strict=True))
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(t, u) of tiles that may hold a link: two points of length one with that cosine are at most sqrt(2 - 2 * least) apart."""
+        for x in batches:
+            for t in x.id:
+                k = int(np.flatnonzero(tile == t)[0])
+                gap = np.maximum(0, np.maximum(lo - hi[k], lo[k] - hi))
+                yield pd.DataFrame({"t": t, "u": tile[(tile >= t) & ((gap**2).sum(1) <= 2 - 2 * least + SLACK)]})
+
+    chunks_of = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv]), F.col(c)), F.lit(1))
+    some = spark.createDataFrame([(x,) for x in chunks], "id long")
+    live = cut(some.mapInPandas(partners, "t long, u long"))
+    live = live.withColumn("i", F.explode(F.sequence(F.lit(0), chunks_of("t") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), chunks_of("u") - 1)))
+    live = live.where("t < u or i <= j").withColumn("pair", F.concat_ws("-", "t", "i", "u", "j"))
+    side = "array(struct(t as tile, i as chunk, true as first), struct(u as tile, j as chunk, false as first))"
+    sides = live.select("pair", F.explode(F.expr(f"if(t = u and i = j, slice({side}, 1, 1), {side})")).alias("x")).select("pair", "x.*")
+    dealt = tiles.select("rep", "weight", "v", "tile", F.pmod(F.xxhash64("rep"), chunks_of("tile")).cast("int").alias("chunk")).join(sides, ["tile", "chunk"]).drop("tile", "chunk")
 
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         a, b = (x[x["first"]], x[~x["first"]])

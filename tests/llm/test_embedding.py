@@ -62,3 +62,28 @@ def test_one_hot_vector(spark):
     rows = [(k, [1.0, 0.0, 0.5]) for k in range(3000)] + [(k, [float(k), 1.0, -2.0]) for k in range(3000, 3010)]
     out = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("vec_id < 3000")
     assert out.where("n_links = 2999 and component_id = 0").count() == 3000
+
+
+def test_large_tiles_are_dealt_in_chunks(spark, tiny, monkeypatch):
+    import quadrille.llm.embedding as E
+
+    df = spark.read.parquet(f"{tiny}/embeddings.parquet")
+    want = sorted(map(tuple, near_duplicates(df, 0.25).collect()))
+    monkeypatch.setattr(E, "TILE", 40)
+    monkeypatch.setattr(E, "TILES", 4)
+    assert sorted(map(tuple, near_duplicates(df, 0.25).collect())) == want and sum(r[1] for r in want)
+
+
+def test_every_step_prunes_or_keeps_right():
+    from quadrille.llm.embedding import close_pairs, unit
+
+    rng = np.random.default_rng(5)
+    for spread in (0.01, 0.3, 3.0):  # nearly all pairs, some, none
+        x = unit(rng.normal(size=40)[None] + spread * rng.normal(size=(300, 40)))
+        basis = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+        got = {(i, j) for a, b in close_pairs(x, x, basis, 0.9, True) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+        assert got == set(zip(i.tolist(), j.tolist(), strict=True))
+        got = {(i, j) for a, b in close_pairs(x[:120], x[120:], basis, 0.9, False) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+        i, j = np.nonzero(x[:120] @ x[120:].T >= 0.9)
+        assert got == set(zip(i.tolist(), j.tolist(), strict=True))
