@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, shuffle_partitions, without
+from .common import LOWER, UPPER, row_hash, shuffle_partitions, without
 
 #: Rules of one sweep, which are a literal of the plan; a longer list takes a sweep for each slice of so many.
 MAX_RULES = 100_000
@@ -28,6 +28,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def lowered(host: str) -> str:
+    """A-Z lowered, as in URLs."""
+    return host.translate(str.maketrans(UPPER, LOWER))
+
+
 def reversed_key(host: str) -> str:
     return "".join(f"{x}." for x in reversed(host.split(".")))
 
@@ -41,7 +46,7 @@ def rule_stacks(rules: list[tuple[str, str, str]]) -> list[dict]:
         raise ValueError(f"more than {MAX_RULES} rules")
     at: dict[str, dict] = {}
     for verdict, host, path in sorted(rules):  # block is written last, and stays
-        host = host.lower()
+        host = lowered(host)
         at.setdefault(reversed_key(host), {})[path] = {"key": reversed_key(host), "path": path, "rule": host + path, "verdict": verdict}
     out, stack = [], []
     for key in sorted(at, key=lambda k: k.encode()):
@@ -55,15 +60,15 @@ def rule_stacks(rules: list[tuple[str, str, str]]) -> list[dict]:
 
 def slices(rules: list[tuple[str, str, str]]) -> list[list[tuple[str, str, str]]]:
     """The rules in lists of MAX_RULES at most; block and allow for the same rule meet before, so that block wins."""
-    once = list({(host.lower(), path): (verdict, host, path) for verdict, host, path in sorted(rules)}.values())
+    once = list({(lowered(host), path): (verdict, host, path) for verdict, host, path in sorted(rules)}.values())
     return [once[k : k + MAX_RULES] for k in range(0, len(once), MAX_RULES)] or [[]]
 
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule (null where none fits) and verdict (of the rule, else ``default``).
 
-    One row for each row of df, repeated rows too.  Null, empty and malformed URLs get an empty host and path, hence no
-    rule.  Columns of df named like one of the new ones are replaced.  The sweep runs in parts dealt by a hash of the
+    One row for each row of df, repeated rows too; an empty table gives none.  Null, empty and malformed URLs get an empty
+    host and path, hence no rule; URLs of any length are matched whole.  Columns of df named like one of the new ones are replaced.  The sweep runs in parts dealt by a hash of the
     row, so a hot host is spread over all of them; each part repeats the rules of a sweep, whose number is bounded
     (MAX_RULES). Of the rules that several sweeps find, the longest stays: two that fit one URL are never equally long in
     host and in path.
@@ -73,7 +78,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
     parts = 4 * shuffle_partitions(spark)
     keep = without(df, OUTPUT).columns
     urls = df.select(
-        F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keep]), F.lit(parts)).cast("int").alias("__part"), F.lit(1).alias("__kind"),
+        F.pmod(row_hash(df.select([F.col(f"`{c}`") for c in keep])), F.lit(parts)).cast("int").alias("__part"), F.lit(1).alias("__kind"),
         host.alias("host"), path.alias("path"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"),
     )
     urls = urls.withColumn("__key", F.expr("concat(array_join(reverse(split(host, '[.]')), '.'), '.')"))
@@ -83,8 +88,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], url: str = "ur
     found = F.expr("if(__first is null, null, struct(char_length(__first.rule) as length, char_length(__first.key) as host_length, __first.rule as rule, __first.verdict as verdict))")
     swept = urls.withColumn("__best", F.lit(None).cast("struct<length int, host_length int, rule string, verdict string>"))
     for own in slices(rules):
-        starts = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rule_stacks(own))), schema)))
-        starts = starts.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"), F.lit(0).alias("__kind"), F.col("key").alias("__key"), F.col("stack").alias("__stack"))
+        starts = spark.range(parts).select(F.col("id").cast("int").alias("__part"), F.lit(0).alias("__kind"), F.inline(F.from_json(F.lit(json.dumps(rule_stacks(own))), schema)).alias("__key", "__stack"))
         swept = swept.unionByName(starts, allowMissingColumns=True).withColumn("__stack", F.last("__stack", ignorenulls=True).over(sweep)).where("__kind = 1")
         swept = swept.withColumn("__first", F.get(fits, F.lit(0))).withColumn("__best", F.greatest("__best", found)).drop("__stack", "__first")
     return swept.select("__row.*", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
