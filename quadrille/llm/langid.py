@@ -93,7 +93,12 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Tables from a bounded sample of rows with text and lang whose crc32(doc_id) mod 4 isn't 2; rows without an id teach nothing."""
+    """Tables from a bounded sample of rows with text and lang whose crc32(doc_id) mod 4 isn't 2.
+
+    Rows without an id, a text or a lang teach nothing; repeated rows and ids teach each, an empty text no words, a very long
+    one all its words.  An empty table, or one without labels, gives a model without languages.  Other columns aren't read,
+    whatever their names.
+    """
     taught = docs.where("lang is not null and text is not null and doc_id is not null").where(remainder(F.col("doc_id"), 4) != 2)
     sizes = {r.lang: r["count"] for r in taught.groupBy("lang").count().collect()}  # one row for each language
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, sample / n)]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
@@ -118,7 +123,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", to: str = "language") -> DataFrame:
-    """docs with the struct column ``to``: lang_pred and score; whole texts, one row for each row of docs."""
+    """docs with the struct column ``to``: lang_pred and score; whole texts, one row for each row of docs.
+
+    Null and empty texts, those without a letter, and all texts under a model without languages are ``und`` with score 0.
+    Of languages that are equally likely the first by name is taken.  A column of docs named as ``to`` is replaced; repeated
+    rows and rows without an id are predicted like others; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))  # bounded by SAMPLE
     held: list[Model] = []
 
@@ -135,6 +145,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", to: str = "langua
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs whose language can be told with a probability of ``least``; texts that are null or have no letter go."""
+    """docs whose language can be told with a probability of ``least``, with all their columns.
+
+    Texts that are null or have no letter go; so does everything where nothing was labelled.  Repeated rows stay or go
+    together.  Learning and ties as in fit() and predict().
+    """
     own = "__language"
+    while own in {c.lower() for c in docs.columns}:
+        own += "_"
     return predict(docs, fit(docs), to=own).where(f"{own}.lang_pred <> '{UNDETERMINED}' and {own}.score >= {least}").drop(own)

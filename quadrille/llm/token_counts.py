@@ -60,6 +60,8 @@ def section_tokens(docs: DataFrame, vocabulary: str, text: str = "text", rule: s
 
     n_tokens is a double: whole for the rules start and end, shares for split; over a document it sums to the number of
     tokens.  Null and empty texts have one empty section.  Ids may be null or repeated; repeated rows are each counted.
+    A very long text is encoded whole in one task.  A token's only tie, bytes in two sections, is settled by the rule.  Other
+    columns aren't read, whatever their names; an empty table gives no rows.
     The vocabulary file is read on the driver, and sent out (about 1 MB).
     """
     if rule not in RULES:

@@ -1,3 +1,8 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from quadrille.llm.langid import fit, keep_identified, predict, remainder
@@ -54,3 +59,57 @@ def test_lang_is_never_an_input_of_held_out_rows(spark):
     lied = df.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang")))
     a, b = ({(r.doc_id, r.language) for r in predict(x.drop("language"), fit(x)).collect()} for x in (df, lied))
     assert a == b
+
+
+def plain_predictions(rows):
+    """op5 in plain Python: (doc_id, held_out, lang_pred, score) from dictionaries of counts."""
+    part = lambda i: zlib.crc32(str(i).encode()) % 4
+    words = lambda t: [w for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+    grams = lambda w, n: [f"<{w}>"[k : k + n] for k in range(len(w) + 3 - n)]
+    langs = sorted({r.lang for r in rows if r.lang is not None and r.text is not None and part(r.doc_id) != 2})
+    seen = {(lang, n): Counter() for lang in langs for n in range(6)}
+    for r in rows:
+        if r.lang is not None and r.text is not None and part(r.doc_id) != 2:
+            for w in words(r.text):
+                seen[r.lang, 0][w] += 1
+                for n in range(1, 6):
+                    seen[r.lang, n].update(grams(w, n))
+    known = [set().union(*(seen[lang, n] for lang in langs)) for n in range(6)]
+    total = {k: sum(c.values()) for k, c in seen.items()}
+    log = lambda lang, n, x: math.log((seen[lang, n][x] + 0.5) / (total[lang, n] + 0.5 * len(known[n])))
+    memo = {}
+
+    def score(w):
+        if w not in memo:
+            if w in known[0]:
+                memo[w] = [log(lang, 0, w) for lang in langs]
+            else:
+                found = next((g for n in range(5, 0, -1) if (g := [(n, x) for x in grams(w, n) if x in known[n]])), [])
+                memo[w] = [sum(log(lang, n, x) for n, x in found) / max(len(found), 1) for lang in langs]
+        return memo[w]
+
+    out = {}
+    for r in rows:
+        w = words(r.text)
+        if not w:
+            out[r.doc_id] = (part(r.doc_id) == 2, "und", 0.0)
+            continue
+        sums = [sum(x) * min(1, 20 / len(w)) for x in zip(*map(score, w), strict=True)]
+        odds = [math.exp(x - max(sums)) for x in sums]
+        out[r.doc_id] = (part(r.doc_id) == 2, langs[odds.index(max(odds))], max(odds) / sum(odds))
+    return out
+
+
+def test_against_plain_counts(spark, tiny):
+    rows = spark.read.parquet(f"{tiny}/documents.parquet").collect()
+    want, got = plain_predictions(rows), op5_language_id(spark, tiny).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        held_out, lang, score = want[r.doc_id]
+        assert (r.held_out, r.lang_pred) == (held_out, lang) and abs(r.score - score) < 1e-9
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(*r[:3], 7) for r in rows()], "doc_id long, text string, lang string, __language int")
+    kept = keep_identified(df)
+    assert kept.columns == df.columns and {r["__language"] for r in kept.collect()} == {7}

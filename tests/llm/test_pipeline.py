@@ -36,3 +36,25 @@ def test_queries_are_registered(spark, tiny):
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
     assert op4_decontamination(spark, tiny).count() == 200
+
+
+def odd_documents(spark, tiny):
+    """Documents with nulls, empty and very long texts, repeats and columns of clashing names."""
+    item = spark.read.parquet(f"{tiny}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first().text
+    long = " ".join(f"word{k} the house and that man" for k in range(20_000))
+    told = [(k, f"the {w} in the house and that man was {w}ing with the {w}", "en", f"s{k}", 1, 9, 9, 9, 9) for k, w in enumerate(["cat", "dog", "bird", "fish", "horse"] * 2)]
+    odd = [(None, "the quite other text of no id and that is all in the house", None), (50, None, "en"), (51, "", "en"), (52, "12 !", None), (53, long, "en"), (54, f"the house {item}", "en")]
+    return spark.createDataFrame(told + [(*x, None, None, 9, 9, 9, 9) for x in odd + odd[-2:]], "doc_id long, text string, lang string, source string, n_chars long, __id int, __hash int, __hit int, __language int")
+
+
+def test_stages_on_odd_rows(spark, tiny):
+    stage, docs = dict(corpus_pipeline.STAGES), odd_documents(spark, tiny)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=repr)
+    told = stage["language_id"](spark, docs, tiny)
+    assert told.columns == docs.columns and ids(told) == sorted([*range(10), 53, 53, 54, 54, None], key=repr)
+    one = stage["simhash_dedup"](spark, docs, tiny)
+    assert one.columns == docs.columns and ids(one) == sorted([0, 1, 2, 3, 4, 50, 52, 53, 54, None], key=repr)
+    clean = stage["decontamination"](spark, docs, tiny)
+    assert clean.columns == docs.columns and ids(clean) == sorted([*range(10), 50, 51, 52, 53, 53, None], key=repr)
+    packed = stage["best_fit_packing"](spark, docs, tiny)
+    assert packed.where("bin_id is null").count() == 2 and packed.where("doc_id = 53").agg({"n_tokens": "sum"}).first()[0] == 2 * (20_000 * 6 + 1)
