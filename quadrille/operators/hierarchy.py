@@ -47,13 +47,20 @@ def near_field(points: DataFrame, level: int, kernel) -> DataFrame:
     return a.join(b, ["cx", "cy"]).groupBy("id").agg(F.sum(F.col("q") * kernel(r2)).alias("near"))
 
 
-def interaction_list(cells: DataFrame, level: int) -> DataFrame:
-    """cells (ix, iy) with (jx, jy) of the cells whose parents are adjacent to theirs, but that aren't adjacent."""
+def interaction_list(cells: DataFrame) -> DataFrame:
+    """cells (level, ix, iy) with (jx, jy) of the cells whose parents are adjacent to theirs, but that aren't adjacent."""
     wide = [(dx, dy) for dx in range(-3, 4) for dy in range(-3, 4)]
     j = cells.select("*", spatial.offsets(wide)).withColumn("jx", F.col("ix") + F.col("o.dx")).withColumn("jy", F.col("iy") + F.col("o.dy")).drop("o")
     apart = F.greatest(F.abs(F.col("jx") - F.col("ix")), F.abs(F.col("jy") - F.col("iy"))) > 1
     adjacent = F.greatest(F.abs(F.shiftright("jx", 1) - F.shiftright("ix", 1)), F.abs(F.shiftright("jy", 1) - F.shiftright("iy", 1))) <= 1
-    return j.where(apart & adjacent & F.col("jx").between(0, 2**level - 1) & F.col("jy").between(0, 2**level - 1))
+    last = F.expr("shiftleft(1L, level) - 1")
+    return j.where(apart & adjacent & F.col("jx").between(F.lit(0), last) & F.col("jy").between(F.lit(0), last))
+
+
+def with_ancestors(cells: DataFrame, leaf: int, keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
+    """cells of the leaf level, once for each level from 2 on, with the place p<key> of the ancestor there (or the cell itself)."""
+    each = cells.withColumn("level", F.explode(F.sequence(F.lit(2), F.lit(leaf))))
+    return each.withColumns({f"p{k}": F.expr(f"shiftright({k}, {leaf} - level)") for k in keys})
 
 
 def single_level(points: DataFrame, level: int) -> DataFrame:
@@ -68,198 +75,273 @@ def single_level(points: DataFrame, level: int) -> DataFrame:
     return own.join(far, ["ix", "iy"], "left").join(near, "id", "left").select("id", (F.coalesce("far", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))).alias("u"))
 
 
-def multilevel(points: DataFrame, leaf: int) -> DataFrame:
-    """(id, u) of 1/r with charges and local values of order 0 on levels 2 .. leaf."""
-    out = points.select("id", "x", "y").withColumn("u", F.lit(0.0))
-    for level in range(2, leaf + 1):
-        m = charged(points, level)
-        r = F.sqrt(((F.col("ix") - F.col("jx")) * (F.col("ix") - F.col("jx")) + (F.col("iy") - F.col("jy")) * (F.col("iy") - F.col("jy"))).cast("double")) / 2**level
-        sources = m.select(F.col("ix").alias("jx"), F.col("iy").alias("jy"), "q")
-        local = interaction_list(m.select("ix", "iy"), level).join(sources, ["jx", "jy"]).groupBy("ix", "iy").agg(F.sum(F.col("q") / r).alias("far"))
-        at = out.withColumn("ix", P.grid_index(F.col("x"), 2**level)).withColumn("iy", P.grid_index(F.col("y"), 2**level))
-        out = at.join(local, ["ix", "iy"], "left").withColumn("u", F.col("u") + F.coalesce("far", F.lit(0.0))).select("id", "x", "y", "u")
-    return out.join(near_field(points, leaf, coulomb), "id", "left").select("id", (F.col("u") + F.coalesce("near", F.lit(0.0))).alias("u"))
+def leaf_level(points: DataFrame, axes: int, ncrit: int = 64) -> int:
+    """The level at which a cell holds some ncrit points, so that near fields don't grow with the number of points; 2 at least."""
+    return max(2, P.adaptive_level(points.count(), ncrit, axes))
+
+
+def multilevel(points: DataFrame, leaf: int | None = None) -> DataFrame:
+    """(id, u) of 1/r with charges and local values of order 0 on levels 2 .. leaf (by the number of points, if not given).
+
+    Charges are summed up from the leaves to all their ancestors, local values are handed down from there to the leaves, and
+    points meet the sum once.
+    """
+    leaf = leaf or leaf_level(points, 2)
+    leaves = cut(charged(points, leaf))
+    charge = with_ancestors(leaves, leaf).groupBy("level", F.col("pix").alias("ix"), F.col("piy").alias("iy")).agg(F.sum("q").alias("q"))
+    r = F.sqrt(((F.col("ix") - F.col("jx")) * (F.col("ix") - F.col("jx")) + (F.col("iy") - F.col("jy")) * (F.col("iy") - F.col("jy"))).cast("double")) / F.pow(F.lit(2.0), F.col("level"))
+    sources = charge.select("level", F.col("ix").alias("jx"), F.col("iy").alias("jy"), "q")
+    far = interaction_list(charge.select("level", "ix", "iy")).join(sources, ["level", "jx", "jy"]).groupBy("level", F.col("ix").alias("pix"), F.col("iy").alias("piy")).agg(F.sum(F.col("q") / r).alias("far"))
+    local = with_ancestors(leaves.select("ix", "iy"), leaf).join(far, ["level", "pix", "piy"]).groupBy("ix", "iy").agg(F.sum("far").alias("far"))
+    own = points.select("id", P.grid_index(F.col("x"), 2**leaf).alias("ix"), P.grid_index(F.col("y"), 2**leaf).alias("iy"))
+    out = own.join(local, ["ix", "iy"], "left").join(near_field(points, leaf, coulomb), "id", "left")
+    return out.select("id", (F.coalesce("far", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))).alias("u"))
 
 
 class Complex:
-    """A complex number as two columns."""
+    """A complex number as two SQL expressions."""
 
-    def __init__(self, re: Column, im: Column):
+    def __init__(self, re: str, im: str):
         self.re, self.im = re, im
 
     def __add__(self, o: Complex) -> Complex:
-        return Complex(self.re + o.re, self.im + o.im)
+        return Complex(f"{self.re} + {o.re}", f"{self.im} + {o.im}")
 
     def __mul__(self, o: Complex) -> Complex:
-        return Complex(self.re * o.re - self.im * o.im, self.re * o.im + self.im * o.re)
+        a, b, c, d = (f"({x})" for x in (self.re, self.im, o.re, o.im))
+        return Complex(f"{a} * {c} - {b} * {d}", f"{a} * {d} + {b} * {c}")
 
     def scaled(self, f: float) -> Complex:
-        return Complex(self.re * F.lit(f), self.im * F.lit(f))
-
-    def inverse(self) -> Complex:
-        n = self.re * self.re + self.im * self.im
-        return Complex(self.re / n, -self.im / n)
-
-    def log(self) -> Complex:
-        return Complex(0.5 * F.log(self.re * self.re + self.im * self.im), F.atan2(self.im, self.re))
+        return Complex(f"({self.re}) * {float(f)!r}D", f"({self.im}) * {float(f)!r}D")
 
     @staticmethod
     def of(name: str) -> Complex:
-        return Complex(F.col(f"{name}r"), F.col(f"{name}i"))
+        return Complex(f"{name}r", f"{name}i")
+
+    def named(self, name: str) -> list[str]:
+        return [f"{self.re} AS {name}r", f"{self.im} AS {name}i"]
 
-    def named(self, name: str) -> dict[str, Column]:
-        return {f"{name}r": self.re, f"{name}i": self.im}
+
+ZERO = Complex("0D", "0D")
 
 
 def with_powers(df: DataFrame, name: str, upto: int) -> DataFrame:
     """Columns of the powers name0 .. name<upto> of the complex column name, each from the one before."""
-    df = df.withColumns(Complex(F.lit(1.0), F.lit(0.0)).named(f"{name}0"))
+    df = df.selectExpr("*", *Complex("1D", "0D").named(f"{name}0"))
     for k in range(1, upto + 1):
-        df = df.withColumns((Complex.of(f"{name}{k - 1}") * Complex.of(name)).named(f"{name}{k}"))
+        df = df.selectExpr("*", *(Complex.of(f"{name}{k - 1}") * Complex.of(name)).named(f"{name}{k}"))
     return df
 
 
+def parts(name: str, order: int) -> list[str]:
+    return [f"{name}{k}{p}" for k in range(order) for p in "ri"]
+
+
+def totals(df: DataFrame, keys: list[str], terms: dict[str, Complex]) -> DataFrame:
+    """Sums of complex terms by keys."""
+    each = df.selectExpr(*keys, *(c for n, t in terms.items() for c in t.named(n)))
+    return each.groupBy(*keys).agg(*[F.sum(f"{n}{p}").alias(f"{n}{p}") for n in terms for p in "ri"])
+
+
 def complex_moments(points: DataFrame, level: int, order: int) -> DataFrame:
     """(ix, iy, M0.., M<order-1>): sums of q (z - centre)^n / n! over each cell."""
     n = 2**level
     at = points.withColumn("ix", P.grid_index(F.col("x"), n)).withColumn("iy", P.grid_index(F.col("y"), n))
-    at = at.withColumns(Complex(F.col("x") - (F.col("ix") + 0.5) / n, F.col("y") - (F.col("iy") + 0.5) / n).named("d"))
-    at = with_powers(at, "d", order - 1)
-    return at.groupBy("ix", "iy").agg(*[F.sum(F.col("q") * F.col(f"d{k}{p}") / math.factorial(k)).alias(f"M{k}{p}") for k in range(order) for p in "ri"])
+    at = with_powers(at.selectExpr("*", *Complex(f"x - (ix + 0.5D) / {n}", f"y - (iy + 0.5D) / {n}").named("d")), "d", order - 1)
+    return totals(at, ["ix", "iy"], {f"M{k}": Complex(f"q * d{k}r / {math.factorial(k)}", f"q * d{k}i / {math.factorial(k)}") for k in range(order)})
+
+
+def moved_up(df: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """Sums by keys of moments moved by z (old centre less the new one): M_k += sum over n of M_(k-n) z^n / n!."""
+    terms = {}
+    for k in range(order):
+        terms[f"M{k}"] = ZERO
+        for n in range(k + 1):
+            terms[f"M{k}"] += (Complex.of(f"M{k - n}") * Complex.of(f"z{n}")).scaled(1 / math.factorial(n))
+    return totals(with_powers(df, "z", order - 1), keys, terms)
 
 
 def shift_up(moments: DataFrame, level: int, order: int) -> DataFrame:
-    """The moments of the parents from those of the cells: M_k += sum over n of M_(k-n) Z^n / n!, Z = child - parent."""
+    """The moments of the parents from those of the cells."""
     up = moments.withColumn("px", F.shiftright("ix", 1)).withColumn("py", F.shiftright("iy", 1))
-    z = Complex((F.col("ix") + 0.5) / 2**level - (F.col("px") + 0.5) / 2 ** (level - 1), (F.col("iy") + 0.5) / 2**level - (F.col("py") + 0.5) / 2 ** (level - 1))
-    up = with_powers(up.withColumns(z.named("z")), "z", order - 1)
-    total = {}
+    z = Complex(f"(ix + 0.5D) / {2**level} - (px + 0.5D) / {2 ** (level - 1)}", f"(iy + 0.5D) / {2**level} - (py + 0.5D) / {2 ** (level - 1)}")
+    return moved_up(up.selectExpr("*", *z.named("z")), ["px", "py"], order).withColumnsRenamed({"px": "ix", "py": "iy"})
+
+
+def to_local(moments: DataFrame, order: int) -> DataFrame:
+    """(level, ix, iy, L0.., L<order-1>): derivatives at each cell's centre of the field of its interaction list."""
+    sources = moments.withColumnsRenamed({"ix": "jx", "iy": "jy"})
+    pairs = interaction_list(moments.select("level", "ix", "iy")).join(sources, ["level", "jx", "jy"])
+    pairs = pairs.selectExpr("*", "(ix - jx) / pow(2D, level) AS Zr", "(iy - jy) / pow(2D, level) AS Zi").selectExpr("*", "Zr * Zr + Zi * Zi AS Z2")
+    pairs = with_powers(pairs.selectExpr("*", "Zr / Z2 AS wr", "-Zi / Z2 AS wi", "0.5D * ln(Z2) AS logr", "atan2(Zi, Zr) AS logi"), "w", 2 * order - 1)
+    terms = {}
     for k in range(order):
-        s = Complex(F.lit(0.0), F.lit(0.0))
-        for n in range(k + 1):
-            s = s + (Complex.of(f"M{k - n}") * Complex.of(f"z{n}")).scaled(1 / math.factorial(n))
-        total |= s.named(f"S{k}")
-    return up.select("px", "py", *[c.alias(n) for n, c in total.items()]).groupBy(F.col("px").alias("ix"), F.col("py").alias("iy")).agg(*[F.sum(f"S{k}{p}").alias(f"M{k}{p}") for k in range(order) for p in "ri"])
+        s = ZERO if k else (Complex.of("M0") * Complex.of("log")).scaled(-1)
+        for j in range(0 if k else 1, order):
+            s = s + (Complex.of(f"M{j}") * Complex.of(f"w{k + j}")).scaled((-1) ** k * math.factorial(k + j - 1))
+        terms[f"L{k}"] = s
+    return totals(pairs, ["level", "ix", "iy"], terms)
 
 
-def complex_multipole(points: DataFrame, leaf: int, order: int = 6) -> DataFrame:
-    """(id, u) of -log r: complex expansions of the given order, moments shifted up level by level, near points direct.
+def moved_down(df: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """Sums by keys of local expansions moved by z (new centre less the old one): L_k = sum over n of L_(k+n) z^n / n!."""
+    terms = {}
+    for k in range(order):
+        terms[f"L{k}"] = ZERO
+        for n in range(order - k):
+            terms[f"L{k}"] += (Complex.of(f"L{k + n}") * Complex.of(f"z{n}")).scaled(1 / math.factorial(n))
+    return totals(with_powers(df, "z", order - 1), keys, terms)
 
-    The local expansion of each level is evaluated at the points: polynomials, which shifting down would leave the same.
+
+def complex_multipole(points: DataFrame, leaf: int | None = None, order: int = 6) -> DataFrame:
+    """(id, u) of -log r: complex expansions of the given order, near points direct.
+
+    The leaves' moments are shifted up to all ancestors, the local expansions of all levels down to the leaves (shifting
+    polynomials is exact, so one move is as good as one for each level), and points meet the expansion of their leaf only.
+    The leaf level follows the number of points, if it isn't given.
     """
-    moments = {leaf: complex_moments(points, leaf, order)}
-    for level in range(leaf, 2, -1):
-        moments[level] = cut(moments[level])
-        moments[level - 1] = shift_up(moments[level], level, order)
-    out = points.select("id", "x", "y").withColumn("u", F.lit(0.0))
-    for level in range(2, leaf + 1):
-        m, n = moments[level], 2**level
-        sources = m.withColumnsRenamed({"ix": "jx", "iy": "jy"})
-        pairs = interaction_list(m.select("ix", "iy"), level).join(sources, ["jx", "jy"])
-        z = Complex((F.col("ix") - F.col("jx")) / n, (F.col("iy") - F.col("jy")) / n)
-        pairs = pairs.withColumns(z.named("Z"))
-        pairs = with_powers(pairs.withColumns(Complex.of("Z").inverse().named("w")), "w", 2 * order - 1)
-        terms = {}
-        for k in range(order):
-            s = (Complex.of("M0") * Complex.of("Z").log()).scaled(-1) if k == 0 else Complex(F.lit(0.0), F.lit(0.0))
-            for j in range(1 if k == 0 else 0, order):
-                s = s + (Complex.of(f"M{j}") * Complex.of(f"w{k + j}")).scaled((-1) ** k * math.factorial(k + j - 1))
-            terms |= s.named(f"T{k}")
-        local = pairs.select("ix", "iy", *[c.alias(t) for t, c in terms.items()]).groupBy("ix", "iy").agg(*[F.sum(f"T{k}{p}").alias(f"L{k}{p}") for k in range(order) for p in "ri"])
-        at = out.withColumn("ix", P.grid_index(F.col("x"), n)).withColumn("iy", P.grid_index(F.col("y"), n)).join(local, ["ix", "iy"], "left")
-        at = at.withColumns(Complex(F.col("x") - (F.col("ix") + 0.5) / n, F.col("y") - (F.col("iy") + 0.5) / n).named("d"))
-        at = with_powers(at, "d", order - 1)
-        value = sum(((Complex.of(f"L{k}") * Complex.of(f"d{k}")).re / math.factorial(k) for k in range(1, order)), F.col("L0r"))
-        out = at.withColumn("u", F.col("u") + F.coalesce(value, F.lit(0.0))).select("id", "x", "y", "u")
-    return out.join(near_field(points, leaf, log_kernel), "id", "left").select("id", (F.col("u") + F.coalesce("near", F.lit(0.0))).alias("u"))
+    leaf = leaf or leaf_level(points, 2)
+    n = 2**leaf
+    leaves = cut(complex_moments(points, leaf, order))
+    off = lambda i, sign: f"{sign} * ((i{i} + 0.5D) / {n} - (pi{i} + 0.5D) / pow(2D, level))"
+    up = with_ancestors(leaves, leaf).selectExpr("level", "pix", "piy", *parts("M", order), f"{off('x', 1)} AS zr", f"{off('y', 1)} AS zi")
+    moments = cut(moved_up(up, ["level", "pix", "piy"], order).withColumnsRenamed({"pix": "ix", "piy": "iy"}))
+    local = to_local(moments, order).withColumnsRenamed({"ix": "pix", "iy": "piy"})
+    down = with_ancestors(leaves.select("ix", "iy"), leaf).join(local, ["level", "pix", "piy"]).selectExpr("ix", "iy", *parts("L", order), f"{off('x', 1)} AS zr", f"{off('y', 1)} AS zi")
+    local = moved_down(down, ["ix", "iy"], order)
+    at = points.select("id", "x", "y", P.grid_index(F.col("x"), n).alias("ix"), P.grid_index(F.col("y"), n).alias("iy")).join(local, ["ix", "iy"], "left")
+    at = with_powers(at.selectExpr("*", *Complex(f"x - (ix + 0.5D) / {n}", f"y - (iy + 0.5D) / {n}").named("d")), "d", order - 1)
+    value = " + ".join(["L0r", *(f"({(Complex.of(f'L{k}') * Complex.of(f'd{k}')).re}) / {math.factorial(k)}" for k in range(1, order))])
+    out = at.selectExpr("id", f"coalesce({value}, 0D) AS far")
+    return out.join(near_field(points, leaf, log_kernel), "id", "left").select("id", (F.col("far") + F.coalesce("near", F.lit(0.0))).alias("u"))
+
+
+def raw_sums(points: DataFrame, axes: list[str], level: int) -> DataFrame:
+    """(i<axis>.., n, m, w, ..): counts, sums of q, |q| and of their products with coordinates, and bounds of each cell."""
+    q, w = F.col("q"), F.abs("q")
+    sums = {"n": F.count("*"), "m": F.sum(q), "w": F.sum(w)}
+    for k, a in enumerate(axes):
+        sums |= {f"w{a}": F.sum(w * F.col(a)), f"s{a}": F.sum(q * F.col(a)), f"lo{a}": F.min(a), f"hi{a}": F.max(a)}
+        sums |= {f"s{a}{b}": F.sum(q * F.col(a) * F.col(b)) for b in axes[k:]}
+    at = points.withColumns({f"i{a}": P.grid_index(F.col(a), 2**level) for a in axes})
+    return at.groupBy(*[f"i{a}" for a in axes]).agg(*[c.alias(n) for n, c in sums.items()])
 
 
-def leaf_moments(points: DataFrame, level: int) -> DataFrame:
-    """(ix, iy, n, m, xc, yc, qxx, qxy, qyy, radius): second moments about the mass-weighted centre of each cell.
+def sums_above(raw: DataFrame, axes: list[str]) -> DataFrame:
+    """The sums of the parents."""
+    keys = [f"i{a}" for a in axes]
+    of = lambda n: F.min(n) if n.startswith("lo") else F.max(n) if n.startswith("hi") else F.sum(n)
+    up = raw.withColumns({k: F.shiftright(k, 1) for k in keys})
+    return up.groupBy(*keys).agg(*[of(n).alias(n) for n in raw.columns if n not in keys])
 
-    qxx and qyy carry the factor 1/2 of the Taylor sum; qxy, which occurs twice there, carries 1.
+
+def centred(raw: DataFrame, axes: list[str]) -> DataFrame:
+    """(i<axis>.., n, m, <axis>c, d<axis>, q<axis><axis>, radius) about the centre that is weighted by |q|.
+
+    Pure second moments carry the factor 1/2 of the Taylor sum, mixed ones, which occur twice there, 1.  First moments
+    vanish where all charges have one sign.  A cell of no charge at all has the centre of its bounds.
     """
-    n = 2**level
-    at = points.withColumn("ix", P.grid_index(F.col("x"), n)).withColumn("iy", P.grid_index(F.col("y"), n))
-    x, y, q = F.col("x"), F.col("y"), F.col("q")
-    s = at.groupBy("ix", "iy").agg(F.count("*").alias("n"), F.sum("q").alias("m"), F.sum(q * x).alias("sx"), F.sum(q * y).alias("sy"), F.sum(q * x * x).alias("sxx"), F.sum(q * x * y).alias("sxy"), F.sum(q * y * y).alias("syy"), *[f(a).alias(f"{k}{a}") for a in "xy" for f, k in ((F.min, "lo"), (F.max, "hi"))])
-    s = s.withColumn("xc", F.try_divide("sx", "m")).withColumn("yc", F.try_divide("sy", "m"))
-    far = lambda a: F.greatest(F.col(f"hi{a}") - F.col(f"{a}c"), F.col(f"{a}c") - F.col(f"lo{a}"))
-    return s.select(
-        "ix", "iy", "n", "m", "xc", "yc", ((F.col("sxx") - F.col("m") * F.col("xc") * F.col("xc")) / 2).alias("qxx"), (F.col("sxy") - F.col("m") * F.col("xc") * F.col("yc")).alias("qxy"),
-        ((F.col("syy") - F.col("m") * F.col("yc") * F.col("yc")) / 2).alias("qyy"), F.sqrt(far("x") * far("x") + far("y") * far("y")).alias("radius"),
-    )
+    c = raw.withColumns({f"{a}c": F.coalesce(F.try_divide(f"w{a}", "w"), (F.col(f"lo{a}") + F.col(f"hi{a}")) / 2) for a in axes})
+    col, second = F.col, {}
+    for k, a in enumerate(axes):
+        for b in axes[k:]:
+            moved = col(f"s{a}{b}") - col(f"{a}c") * col(f"s{b}") - col(f"{b}c") * col(f"s{a}") + col("m") * col(f"{a}c") * col(f"{b}c")
+            second[f"q{a}{b}"] = moved / 2 if a == b else moved
+    first = {f"d{a}": col(f"s{a}") - col("m") * col(f"{a}c") for a in axes}
+    reach = [F.greatest(col(f"hi{a}") - col(f"{a}c"), col(f"{a}c") - col(f"lo{a}")) for a in axes]
+    return c.select(*[f"i{a}" for a in axes], "n", "m", *[f"{a}c" for a in axes], *[x.alias(n) for n, x in (first | second).items()], F.sqrt(sum((r * r for r in reach[1:]), reach[0] * reach[0])).alias("radius"))
+
+
+def leaf_moments(points: DataFrame, level: int) -> DataFrame:
+    """(ix, iy, n, m, xc, yc, dx, dy, qxx, qxy, qyy, radius) of each cell of the unit square."""
+    return centred(raw_sums(points, ["x", "y"], level), ["x", "y"])
 
 
-def treecode(points: DataFrame, leaf: int, theta: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """((id, u) of 1/r, (kind, n) of the pairs of cells): each leaf walks the tree from the root.
+def treecode(points: DataFrame, leaf: int | None = None, theta: float = 0.5, axes: tuple[str, ...] = ("x", "y")) -> tuple[DataFrame, DataFrame]:
+    """((id, u) of 1/r, (kind, n) of the pairs of cells): each leaf walks the tree from the root, in two or three dimensions.
 
     A cell whose radius is less than theta times its distance from every point of the leaf acts by its moments; else its
-    children are looked at, and leaves that are too near act point by point.
+    children are looked at, and leaves that are too near act point by point.  The leaf level follows the number of points,
+    if it isn't given.
     """
-    tree = None
-    for level in range(leaf + 1):
-        t = leaf_moments(points, level).withColumn("level", F.lit(level))
-        tree = t if tree is None else tree.unionByName(t)
-    tree = cut(tree)
-    targets = tree.where(F.col("level") == leaf).select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("xc").alias("x0"), F.col("yc").alias("y0"), F.col("radius").alias("tr"))
-    front = targets.select("*", F.lit(0).cast("long").alias("ix"), F.lit(0).cast("long").alias("iy"))
+    axes, leaf = list(axes), leaf or leaf_level(points, len(axes))
+    keys, targets_of = [f"i{a}" for a in axes], [f"t{a}" for a in axes]
+    raw, tree = {leaf: cut(raw_sums(points, axes, leaf))}, {}
+    for level in range(leaf, -1, -1):
+        tree[level] = centred(raw[level], axes)
+        if level:
+            raw[level - 1] = cut(sums_above(raw[level], axes))
+    moments = [c for c in tree[leaf].columns if c not in (*keys, "n", "radius")]
+    aim = [f"{a}0" for a in axes]
+    front = tree[leaf].select(*[F.col(k).alias(t) for k, t in zip(keys, targets_of, strict=True)], *[F.col(f"{a}c").alias(f"{a}0") for a in axes], F.col("radius").alias("tr"), *[F.lit(0).cast("long").alias(k) for k in keys])
+    kids = [()]
+    for _ in axes:
+        kids = [(*k, o) for k in kids for o in (0, 1)]
     accepted, near = [], None
     for level in range(leaf + 1):
-        at = front.join(tree.where(F.col("level") == level), ["ix", "iy"])
-        d = F.sqrt((F.col("xc") - F.col("x0")) * (F.col("xc") - F.col("x0")) + (F.col("yc") - F.col("y0")) * (F.col("yc") - F.col("y0"))) - F.col("tr")
+        at = front.join(tree[level], keys)
+        gap = [F.col(f"{a}c") - F.col(f"{a}0") for a in axes]
+        d = F.sqrt(sum((g * g for g in gap[1:]), gap[0] * gap[0])) - F.col("tr")
         at = cut(at.withColumn("far", F.col("radius") < F.lit(theta) * d))
-        accepted.append(at.where("far").select("tx", "ty", "m", "xc", "yc", "qxx", "qxy", "qyy"))
-        rest = at.where("not far").select("tx", "ty", "x0", "y0", "tr", "ix", "iy")
+        accepted.append(at.where("far").select(*targets_of, *moments))
+        rest = at.where("not far").select(*targets_of, *aim, "tr", *keys)
         if level == leaf:
-            near = rest.select("tx", "ty", "ix", "iy")
+            near = rest.select(*targets_of, *keys)
         else:
-            kids = spatial.offsets([(0, 0), (0, 1), (1, 0), (1, 1)])
-            front = rest.select("tx", "ty", "x0", "y0", "tr", "ix", "iy", kids).select("tx", "ty", "x0", "y0", "tr", (2 * F.col("ix") + F.col("o.dx")).alias("ix"), (2 * F.col("iy") + F.col("o.dy")).alias("iy"))
+            front = rest.select("*", spatial.offsets(kids)).select(*targets_of, *aim, "tr", *[(2 * F.col(k) + F.col(f"o.d{a}")).alias(k) for k, a in zip(keys, axes, strict=True)])
     far = accepted[0]
     for a in accepted[1:]:
         far = far.unionByName(a)
-    n = 2**leaf
-    own = points.select("id", "x", "y", "q", P.grid_index(F.col("x"), n).alias("tx"), P.grid_index(F.col("y"), n).alias("ty"))
-    x, y = F.col("x") - F.col("xc"), F.col("y") - F.col("yc")
-    inv = F.col("inv")
-    by_cell = own.join(far, ["tx", "ty"]).withColumn("dx", x).withColumn("dy", y).withColumn("inv", 1 / F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    dx, dy, i3, i5 = F.col("dx"), F.col("dy"), inv * inv * inv, inv * inv * inv * inv * inv
-    phi = F.col("m") * inv + F.col("qxx") * (3 * dx * dx * i5 - i3) + F.col("qxy") * 3 * dx * dy * i5 + F.col("qyy") * (3 * dy * dy * i5 - i3)
+    own = points.select("id", *axes, "q", *[P.grid_index(F.col(a), 2**leaf).alias(f"t{a}") for a in axes])
+    by_cell = own.join(far, targets_of).withColumns({f"r{a}": F.col(a) - F.col(f"{a}c") for a in axes})
+    r2 = sum((F.col(f"r{a}") * F.col(f"r{a}") for a in axes[1:]), F.col(f"r{axes[0]}") * F.col(f"r{axes[0]}"))
+    by_cell = by_cell.withColumn("i1", 1 / F.sqrt(r2)).withColumn("i3", F.col("i1") * F.col("i1") * F.col("i1")).withColumn("i5", F.col("i3") * F.col("i1") * F.col("i1"))
+    phi = F.col("m") * F.col("i1")
+    for k, a in enumerate(axes):
+        phi = phi + F.col(f"d{a}") * F.col(f"r{a}") * F.col("i3")
+        for b in axes[k:]:
+            term = 3 * F.col(f"r{a}") * F.col(f"r{b}") * F.col("i5")
+            phi = phi + F.col(f"q{a}{b}") * (term - F.col("i3") if a == b else term)
     by_cell = by_cell.select("id", phi.alias("u"))
-    sources = own.select(F.col("tx").alias("ix"), F.col("ty").alias("iy"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("q").alias("qj"))
-    by_point = own.withColumnsRenamed({"x": "xi", "y": "yi"}).join(near, ["tx", "ty"]).join(sources, ["ix", "iy"])
-    by_point = by_point.select("id", (F.col("qj") * coulomb(spatial.distance2(["x", "y"]))).alias("u"))
+    sources = own.select(*[F.col(f"t{a}").alias(f"i{a}") for a in axes], *[F.col(a).alias(f"{a}j") for a in axes], F.col("q").alias("qj"))
+    by_point = own.withColumnsRenamed({a: f"{a}i" for a in axes}).join(near, targets_of).join(sources, keys)
+    by_point = by_point.select("id", (F.col("qj") * coulomb(spatial.distance2(axes))).alias("u"))
     counts = far.agg(F.count("*").alias("n")).select(F.lit("cell").alias("kind"), "n").unionByName(near.agg(F.count("*").alias("n")).select(F.lit("near").alias("kind"), "n"))
     return by_cell.unionByName(by_point).groupBy("id").agg(F.sum("u").alias("u")), counts
 
 
-def line_multipole(points: DataFrame, low: float, width: float, leaf: int, order: int = 7) -> DataFrame:
+def line_multipole(points: DataFrame, low: float, width: float, leaf: int | None = None, order: int = 7) -> DataFrame:
     """(id, u) of 1/|x - y| on a line: Taylor moments of the given order, cells within two of each other point by point.
 
     With D from the source's centre to the target's, the n-th local term is the sum over k of M_k f^(n+k)(D), where
-    f = 1/|D| has the derivatives (-1)^n n! / (|D| D^n).
+    f = 1/|D| has the derivatives (-1)^n n! / (|D| D^n).  Moments are shifted up from the leaves to all ancestors, local
+    terms of all levels down to the leaves.  The leaf level follows the number of points, if it isn't given.
     """
+    leaf = leaf or leaf_level(points, 1, 16)
+    fact = math.factorial
+
     def cell(level: int) -> Column:
         return P.grid_index(F.col("x"), 2**level, low, width)
 
-    def centre(c: Column, level: int) -> Column:
-        return low + (c + 0.5) * (width / 2**level)
-
-    out = points.select("id", "x").withColumn("u", F.lit(0.0))
-    window = F.explode(F.sequence(F.lit(-5).cast("long"), F.lit(5).cast("long"))).alias("d")
-    for level in range(2, leaf + 1):
-        at = points.withColumn("c", cell(level))
-        e = centre(F.col("c"), level) - F.col("x")
-        moments = at.groupBy("c").agg(*[F.sum(F.col("q") * F.pow(e, F.lit(k)) / math.factorial(k)).alias(f"M{k}") for k in range(order)])
-        pairs = moments.select("c", window).withColumn("s", F.col("c") + F.col("d"))
-        apart = (F.abs(F.col("d")) > 2) & (F.abs(F.shiftright("s", 1) - F.shiftright("c", 1)) <= 2)
-        far = pairs.where(apart).join(moments.withColumnRenamed("c", "s"), "s").withColumn("D", centre(F.col("c"), level) - centre(F.col("s"), level))
-        local = [sum(((-1) ** (n + k) * math.factorial(n + k) * F.col(f"M{k}") / (F.abs("D") * F.pow("D", F.lit(n + k))) for k in range(order - n)), F.lit(0.0)) for n in range(order)]
-        local = far.groupBy("c").agg(*[F.sum(t).alias(f"L{n}") for n, t in enumerate(local)])
-        here = out.withColumn("c", cell(level)).join(local, "c", "left").withColumn("e", F.col("x") - centre(F.col("c"), level))
-        value = sum((F.col(f"L{n}") * F.pow("e", F.lit(n)) / math.factorial(n) for n in range(order)), F.lit(0.0))
-        out = here.select("id", "x", (F.col("u") + F.coalesce(value, F.lit(0.0))).alias("u"))
+    def centre(c: str, level) -> str:
+        return f"({float(low)!r}D + ({c} + 0.5D) * ({float(width)!r}D / pow(2D, {level})))"
+
+    own = points.withColumn("c", cell(leaf)).selectExpr("*", f"{centre('c', leaf)} - x AS e")
+    leaves = cut(own.groupBy("c").agg(*[F.sum(F.col("q") * F.pow("e", F.lit(k)) / fact(k)).alias(f"M{k}") for k in range(order)]))
+    above = with_ancestors(leaves, leaf, ("c",)).selectExpr("*", f"{centre('pc', 'level')} - {centre('c', leaf)} AS t")
+    up = [" + ".join(f"M{k - j} * pow(t, {j}) / {fact(j)}" for j in range(k + 1)) + f" AS U{k}" for k in range(order)]
+    moments = above.selectExpr("level", "pc", *up).groupBy("level", F.col("pc").alias("c")).agg(*[F.sum(f"U{k}").alias(f"M{k}") for k in range(order)])
+    moments = cut(moments)
+    pairs = moments.selectExpr("level", "c", "explode(sequence(-5L, 5L)) AS d").selectExpr("level", "c", "d", "c + d AS s")
+    apart = "abs(d) > 2 AND abs(shiftright(s, 1) - shiftright(c, 1)) <= 2"
+    far = pairs.where(apart).join(moments.withColumnRenamed("c", "s"), ["level", "s"]).selectExpr("*", f"{centre('c', 'level')} - {centre('s', 'level')} AS gap")
+    terms = [" + ".join(f"{(-1) ** (n + k) * fact(n + k)} * M{k} / (abs(gap) * pow(gap, {n + k}))" for k in range(order - n)) + f" AS L{n}" for n in range(order)]
+    local = far.selectExpr("level", "c AS pc", *terms).groupBy("level", "pc").agg(*[F.sum(f"L{n}").alias(f"L{n}") for n in range(order)])
+    down = with_ancestors(leaves.select("c"), leaf, ("c",)).join(local, ["level", "pc"]).selectExpr("*", f"{centre('c', leaf)} - {centre('pc', 'level')} AS t")
+    low_terms = [" + ".join(f"L{k} * pow(t, {k - n}) / {fact(k - n)}" for k in range(n, order)) + f" AS K{n}" for n in range(order)]
+    at_leaf = down.selectExpr("c", *low_terms).groupBy("c").agg(*[F.sum(f"K{n}").alias(f"L{n}") for n in range(order)])
+    here = points.select("id", "x", cell(leaf).alias("c")).join(at_leaf, "c", "left").selectExpr("*", f"x - {centre('c', leaf)} AS e")
+    out = here.selectExpr("id", f"coalesce({' + '.join(f'L{n} * pow(e, {n}) / {fact(n)}' for n in range(order))}, 0D) AS u")
     near = points.select("id", F.col("x").alias("xi"), cell(leaf).alias("c"), F.explode(F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long"))).alias("d")).withColumn("c", F.col("c") + F.col("d"))
     near = near.join(points.select(F.col("x").alias("xj"), "q", cell(leaf).alias("c")), "c")
     r2 = (F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj"))

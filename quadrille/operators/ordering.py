@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut as cut_lineage
 
 
-def ranked(df: DataFrame, lead: Column, ties: list[str], to: str = "pos", buckets: int | None = None) -> DataFrame:
-    """df with ``to``: its 0-based position by (lead, ties).
+def ranked(df: DataFrame, lead: Column, ties: list[str], to: str = "pos", buckets: int | None = None, by: str | None = None) -> DataFrame:
+    """df with ``to``: its 0-based position by (lead, ties); with ``by``, a column of few values, by (by, lead, ties).
 
-    Rows are dealt to ranges of lead by approximate quantiles (any bounds give the same positions), numbered within
-    their range, and moved up by the rows of the ranges below.
+    Rows are dealt to ranges of lead by approximate quantiles of its double (any bounds give the same positions), numbered
+    within their range by lead itself, and moved up by the rows of the ranges below.  Many equal leads share a range.  Nulls
+    come first.
     """
     spark = df.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    led = df.withColumn("__lead", lead.cast("double"))
-    bounds = sorted(set(led.approxQuantile("__lead", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
+    led = df.withColumn("__lead", lead).withColumn("__rough", F.col("__lead").cast("double"))
+    bounds = sorted(set(led.approxQuantile("__rough", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
     literal = ", ".join(f"{b!r}D" for b in bounds)
-    led = led.withColumn("__range", F.expr(f"size(filter(array({literal}), b -> b < __lead))") if bounds else F.lit(0))
-    base, up = {}, 0
-    for r in led.groupBy("__range").count().orderBy("__range").collect():  # a row for each range
-        base[r["__range"]] = up
-        up += r["count"]
-    start = F.create_map(*[F.lit(x) for k, v in base.items() for x in (k, v)]) if base else F.create_map(F.lit(0), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy("__lead", *ties)) - 1
-    return led.withColumn(to, (within + F.element_at(start, F.col("__range"))).cast("long")).drop("__lead", "__range")
+    led = led.withColumn("__range", F.expr(f"coalesce(size(filter(array({literal}), b -> b < __rough)), -1)") if bounds else F.lit(0))
+    group = [by, "__range"] if by else ["__range"]
+    sizes = led.groupBy(*group).count().orderBy(*group).collect()  # a row for each range, of each value
+    before = [0, *accumulate(r["count"] for r in sizes)]
+    starts = spark.createDataFrame([(*[r[c] for c in group], n) for r, n in zip(sizes, before, strict=False)], led.select(*group, F.lit(0).cast("long").alias("__start")).schema)
+    within = F.row_number().over(Window.partitionBy(*group).orderBy("__lead", *ties)) - 1
+    placed = led.withColumn("__within", within).withColumnsRenamed({c: f"__{c}_" for c in group})
+    same = [F.col(f"__{c}_").eqNullSafe(F.col(c)) for c in group]
+    at = placed.join(F.broadcast(starts), reduce(lambda a, b: a & b, same)).drop(*group).withColumnsRenamed({f"__{c}_": c for c in group})
+    return at.select(*df.columns, (F.col("__within") + F.col("__start")).alias(to))
 
 
 def bucket_offsets(df: DataFrame, key: str, group: int = 4096) -> DataFrame:
     """(key, n, offset): histogram of an integer key and its exclusive prefix sum, in two levels."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("__g", F.floor(F.col(key) / group))
+    counts = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("__g", (F.col(key) - F.pmod(F.col(key), F.lit(group))).cast("long"))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     groups = counts.groupBy("__g").agg(F.sum("n").alias("__sum"))
     groups = groups.select("__g", F.coalesce(F.sum("__sum").over(before().orderBy("__g")), F.lit(0)).alias("__base"))
@@ -39,6 +45,15 @@ def bucket_offsets(df: DataFrame, key: str, group: int = 4096) -> DataFrame:
     return counts.withColumn("__own", own).join(groups, "__g").select(key, "n", (F.col("__own") + F.col("__base")).alias("offset"))
 
 
+def median(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, pos, median): of each of a few groups the value at position n div 2 in its order."""
+    sizes = df.groupBy(by).count().orderBy(by).collect()  # a row for each group
+    at = {up + r["count"] // 2: r["count"] // 2 for r, up in zip(sizes, [0, *accumulate(r["count"] for r in sizes)], strict=False)}
+    placed = ranked(df.select(by, value), F.col(value), [], "__pos", by=by).where(F.col("__pos").isin(list(at)))
+    own = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in at.items() for x in kv]), F.col("__pos")) if at else F.lit(0).cast("long")
+    return placed.select(by, own.alias("pos"), F.col(value).alias("median"))
+
+
 def runs(df: DataFrame, by: str, order: str, key: str) -> DataFrame:
     """(by, run, key, n, first): runs of an equal key in the order of each partition."""
     w = Window.partitionBy(by).orderBy(order)
@@ -49,19 +64,15 @@ def runs(df: DataFrame, by: str, order: str, key: str) -> DataFrame:
 
 
 def bisect(df: DataFrame, axes: list[str], levels: int, ident: str = "id") -> DataFrame:
-    """df with ``part``: halved at the median of the axis level mod dimensions, ``levels`` times.
-
-    Coordinates lie in [0, 1), so that part + coordinate orders all parts at once.
-    """
+    """df with ``part``: halved at the median of the axis level mod dimensions, ``levels`` times; any coordinates."""
     parts = df.withColumn("part", F.lit(0).cast("long"))
     for level in range(levels):
-        axis = axes[level % len(axes)]
         sizes = parts.groupBy("part").agg(F.count("*").alias("__n"))
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sizes.select("part", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))  # 2^level rows
-        placed = ranked(parts, F.col("part") + F.col(axis), [ident], "__pos").join(offsets, "part")
-        upper = (F.col("__pos") - F.col("__base") >= F.floor(F.col("__n") / 2)).cast("long")
-        parts = cut_lineage(placed.withColumn("part", 2 * F.col("part") + upper).drop("__pos", "__n", "__base"))
+        placed = ranked(parts, F.col(axes[level % len(axes)]), [ident], "__pos", by="part").join(offsets, "part")
+        upper = (F.col("__pos") - F.col("__base") >= F.expr("__n div 2")).cast("long")
+        parts = cut_lineage(placed.withColumn("part", 2 * F.col("part") + upper).select(*parts.columns))
     return parts
 
 
@@ -104,9 +115,8 @@ def weighted_bisect(df: DataFrame, axes: list[str], ranks: int, ident: str = "id
         def of(table):
             return F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), F.col("part"))
 
-        order = {p: i for i, p in enumerate(sorted(axis))}
         value = F.coalesce(*[F.when(of(axis) == k, F.col(a)) for k, a in enumerate(axes)])
-        placed = ranked(parts, of(order) + value, [ident], "__pos")
+        placed = ranked(parts, value, [ident], "__pos", by="part")
         upper = F.col("__pos") - of(base) >= of(cut)
         parts = cut_lineage(placed.withColumn("part", F.when(upper & (of(split) > 0), F.col("part") + of(split)).otherwise(F.col("part"))).drop("__pos"))
         live = {p: n for q, r in live.items() for p, n in (((q, r // 2), (q + r // 2, r - r // 2)) if r > 1 else ((q, r),))}

@@ -58,16 +58,55 @@ def closest_pairs(points: DataFrame, k: int = 1000, reach: float = 27.0) -> Data
     return rows.select(F.posexplode("all").alias("rank", "p")).select((F.col("rank") + 1).alias("rank"), "p.i", "p.j", "p.dist2")
 
 
-def all_pairs(targets: DataFrame, sources: DataFrame, blocks: int | None = None) -> DataFrame:
+def all_pairs(targets: DataFrame, sources: DataFrame, blocks: int | None = None, block_rows: int = 8192) -> DataFrame:
     """Each target (suffix i) with each source (suffix j).
 
-    Targets are dealt to blocks and sources sent to every block, so a task holds one block of targets and streams the
-    sources; nothing is broadcast, and sums over sources are partial before they move.
+    Both sides are dealt to blocks, and each block of targets meets each block of sources in a merge join on the two
+    numbers: a task holds one block of sources at a time, of some block_rows rows, and what it sorts can spill.  Nothing is
+    broadcast, and sums over sources are partial before they move.
     """
     blocks = blocks or int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = targets.select([F.col(c).alias(f"{c}i") for c in targets.columns]).withColumn("block", F.pmod(F.xxhash64("idi"), F.lit(blocks)))
-    s = sources.select([F.col(c).alias(f"{c}j") for c in sources.columns]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return t.join(s.hint("shuffle_hash"), "block").drop("block")
+    others = max(1, -(-sources.count() // block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    t = targets.select([F.col(c).alias(f"{c}i") for c in targets.columns]).withColumn("block", F.pmod(F.xxhash64("idi"), F.lit(blocks))).withColumn("other", every(others))
+    s = sources.select([F.col(c).alias(f"{c}j") for c in sources.columns]).withColumn("other", F.pmod(F.xxhash64("idj"), F.lit(others))).withColumn("block", every(blocks))
+    return t.join(s.hint("merge"), ["block", "other"]).drop("block", "other")
+
+
+def triangle_pairs(points: DataFrame, block_rows: int = 8192) -> DataFrame:
+    """Each pair of points once, idi < idj: of the pairs of blocks only those on and above the diagonal meet."""
+    n = max(1, -(-points.count() // block_rows))
+    here = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+    upto = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    t = here.select([F.col(c).alias(f"{c}i") for c in points.columns] + ["block"]).withColumn("other", upto).where("block <= other")
+    s = here.select([F.col(c).alias(f"{c}j") for c in points.columns] + [F.col("block").alias("other")]).withColumn("block", upto).where("block <= other")
+    met = t.join(s.hint("merge"), ["block", "other"]).where("block < other or idi < idj").drop("block", "other")
+    up = F.col("idi") < F.col("idj")
+    return met.select(*[F.when(up, F.col(f"{c}{a}")).otherwise(F.col(f"{c}{b}")).alias(f"{c}{a}") for a, b in ("ij", "ji") for c in points.columns])
+
+
+def cube_pairs(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Pairs (i, j, r2) of points (id, axes..) closer than radius (strictly), in the box that the right side spans.
+
+    Cells of the radius are counted from the low corner of the data; the left side is sent to its own cell and to those
+    around it, 27 in three dimensions.
+    """
+    low = right.agg(*[F.min(a).alias(a) for a in axes]).first()
+    stencil = [()]
+    for _ in axes:
+        stencil = [(*s, k) for s in stencil for k in (-1, 0, 1)]
+    around = F.explode(F.array(*[F.struct(*[F.lit(k).cast("long").alias(f"o{a}") for k, a in zip(s, axes, strict=True)]) for s in stencil])).alias("o")
+    cell = lambda a: F.floor((F.col(a) - F.lit(low[a])) / F.lit(float(radius))).cast("long")
+    a = left.select(F.col("id").alias("i"), *[F.col(x).alias(f"{x}i") for x in axes], *[cell(x).alias(f"c{x}") for x in axes], around)
+    a = a.select("i", *[f"{x}i" for x in axes], *[(F.col(f"c{x}") + F.col(f"o.o{x}")).alias(f"c{x}") for x in axes])
+    b = right.select(F.col("id").alias("j"), *[F.col(x).alias(f"{x}j") for x in axes], *[cell(x).alias(f"c{x}") for x in axes])
+    return a.join(b, [f"c{x}" for x in axes]).withColumn("r2", distance2(list(axes))).where(F.col("r2") < radius * radius).select("i", "j", "r2")
+
+
+def boxed_cells(points: DataFrame, axes: list[str], cells: int) -> DataFrame:
+    """points with c<axis>: the cell among ``cells`` along each axis of the cube of half width r0 about the data's centre."""
+    box = bounding_box(points, axes).first()
+    return points.withColumns({f"c{a}": F.floor((F.col(a) - F.lit(box[f"mid_{a}"]) + F.lit(box.r0)) / F.lit(2 * (box.r0 or 1)) * cells).cast("long") for a in axes})
 
 
 def distance2(axes: list[str]) -> Column:
