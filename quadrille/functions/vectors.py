@@ -52,10 +52,52 @@ def absolute(a: Column) -> Column:
 
 
 def greater(a: Column, b: Column) -> Column:
-    """Element-wise a > b as an array of booleans; the other comparisons follow by swapping or negating."""
+    """Element-wise a > b as an array of booleans."""
     return F.zip_with(a, b, lambda x, y: x > y)
 
 
+def greater_equal(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x >= y)
+
+
+def less(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x < y)
+
+
+def less_equal(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x <= y)
+
+
+def equal(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x == y)
+
+
+def differs(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x != y)
+
+
+def both(a: Column, b: Column) -> Column:
+    """Element-wise and of booleans."""
+    return F.zip_with(a, b, lambda x, y: x & y)
+
+
+def either(a: Column, b: Column) -> Column:
+    """Element-wise or of booleans."""
+    return F.zip_with(a, b, lambda x, y: x | y)
+
+
+def chosen(mask: Column, a: Column, b: Column) -> Column:
+    """a where the mask holds, else b."""
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.zip_with(mask, pairs, lambda m, p: F.when(m, p["x"]).otherwise(p["y"]))
+
+
+def mask_bits(mask: Column) -> Column:
+    """The mask, of 64 elements at most, as a number: bit k is element k."""
+    shifted = F.zip_with(mask, F.lit([1 << k if k < 63 else -(1 << 63) for k in range(64)]), lambda m, bit: F.when(m, bit).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(shifted, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
 def reciprocal_sqrt(a: Column) -> Column:
     return F.transform(a, lambda x: 1 / F.sqrt(x))
 
@@ -67,13 +109,12 @@ def wrap(a: Column, width: float) -> Column:
 
 
 def wrap_mask(a: Column, width: float) -> Column:
-    """Bit k is set where wrap() moves component k."""
+    """Bit k is set where wrap() moves component k, of 64 at most."""
     half = width / 2
-    moved = lambda x, k: F.when((x < -half) | (x > half), F.pow(F.lit(2), k).cast("long")).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.zip_with(a, F.sequence(F.lit(0), F.size(a) - 1), moved), F.lit(0).cast("long"), lambda s, x: s + x)
+    return mask_bits(F.transform(a, lambda x: (x < -half) | (x > half)))
 
 
 def unwrap(a: Column, mask: Column, width: float) -> Column:
     """The components that wrap() moved, put back: a moved component goes a width towards its own sign's other side."""
-    back = lambda x, k: F.when(F.floor(mask / F.pow(F.lit(2), k)) % 2 == 1, F.when(x > 0, x - width).otherwise(x + width)).otherwise(x)
+    back = lambda x, k: F.when(F.getbit(mask, k) == 1, F.when(x > 0, x - width).otherwise(x + width)).otherwise(x)
     return F.zip_with(a, F.sequence(F.lit(0), F.size(a) - 1), back)

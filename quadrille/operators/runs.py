@@ -128,6 +128,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.join(table, key)
 
 
+def group_fetch(rows: DataFrame, key: str, value, order: list[str]) -> DataFrame:
+    """The rows of one group, in order; raises if there is none."""
+    own = rows.where(F.col(key) == F.lit(value))
+    if own.isEmpty():
+        raise KeyError(value)
+    return own.orderBy(*order)
+
+
 def mean_curve(fitted: DataFrame, grid: DataFrame) -> DataFrame:
     """(x, y): the mean over tasks (x0, k, low, high) of the fitted sigmoid, in each task's own units, at each x of grid."""
     blocks = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))

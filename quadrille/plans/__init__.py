@@ -1 +1,3 @@
 
+
+from . import catalogue, checks  # noqa: F401

@@ -199,10 +199,13 @@ def force_direct_3d(spark, d):
     return f.select("id", F.round("p", 6).alias("p"), *[(F.round(f"a{a}", 5) + 0.0).alias(f"a{a}") for a in "xyz"])
 
 
-@query("SELECT round(sqrt(sum((floor(p_retailprice) - p_retailprice) * (floor(p_retailprice) - p_retailprice)) / sum(p_retailprice * p_retailprice)), 9) AS error FROM part")
+@query(f"""WITH {SQ}, m AS (SELECT *, 1 / sqrt((x + 1) * (x + 1) + (y + 1) * (y + 1)) AS b, 1 / sqrt((floor(x * 8) / 8 + 1.0625e0) * (floor(x * 8) / 8 + 1.0625e0) + (floor(y * 8) / 8 + 1.0625e0) * (floor(y * 8) / 8 + 1.0625e0)) AS a FROM sq)
+SELECT round(sqrt(sum((a - b) * (a - b)) / sum(b * b)), 9) AS error FROM m""")
 def relative_l2(spark, d):
-    t = part(spark, d).select(F.floor("p_retailprice").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
-    return spatial.relative_l2(t, "a", "b").select(F.round("error", 9).alias("error"))
+    """The error of a field that is taken at the centres of cells."""
+    middle = lambda c: F.floor(F.col(c) * 8) / 8 + 1.0625
+    fields = square(spark, d).select((1 / F.sqrt(middle("x") * middle("x") + middle("y") * middle("y"))).alias("a"), (1 / F.sqrt((F.col("x") + 1) * (F.col("x") + 1) + (F.col("y") + 1) * (F.col("y") + 1))).alias("b"))
+    return spatial.relative_l2(fields, "a", "b").select(F.round("error", 9).alias("error"))
 
 
 @query(f"""WITH {SQ}, j AS (SELECT count(*) AS m, sum(1 / (sqrt(x * x + y * y) + 1)) AS unused FROM sq), i AS (SELECT id, x + 2 AS x, y FROM sq),
@@ -282,7 +285,19 @@ def treecode_theta(spark, d):
     return hierarchy.treecode(charges(spark, d))[0].select("id", F.round("u", 4).alias("u"))
 
 
-@query()
+def _walk_sql(leaf: int, theta: float) -> str:
+    """Pairs of cells that a walk from the root accepts or leaves to single points."""
+    n = 2**leaf
+    tree = f"""k AS (SELECT x, y, {cell_sql('x', n)} AS fx, {cell_sql('y', n)} AS fy FROM sq), e AS (SELECT l, x, y, fx >> ({leaf} - l) AS ix, fy >> ({leaf} - l) AS iy FROM k, (SELECT CAST(unnest(range(0, {leaf + 1})) AS INTEGER) AS l)),
+c AS (SELECT l, ix, iy, avg(x) AS xc, avg(y) AS yc, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM e GROUP BY l, ix, iy),
+t AS (SELECT l, ix, iy, xc, yc, sqrt(power(greatest(hx - xc, xc - lx), 2) + power(greatest(hy - yc, yc - ly), 2)) AS r FROM c)"""
+    far = f"b.r < {theta}e0 * (sqrt((b.xc - a.xc) * (b.xc - a.xc) + (b.yc - a.yc) * (b.yc - a.yc)) - a.r)"
+    walk = f"""w(l, tx, ty, ix, iy, far) AS (SELECT 0, a.ix, a.iy, b.ix, b.iy, {far} FROM t a, t b WHERE a.l = {leaf} AND b.l = 0
+UNION ALL SELECT b.l, w.tx, w.ty, b.ix, b.iy, {far} FROM w JOIN t a ON a.l = {leaf} AND a.ix = w.tx AND a.iy = w.ty JOIN t b ON b.l = w.l + 1 AND b.ix >> 1 = w.ix AND b.iy >> 1 = w.iy WHERE NOT w.far)"""
+    return f"WITH RECURSIVE {SQ}, {tree}, {walk} SELECT CASE WHEN far THEN 'cell' ELSE 'near' END AS kind, count(*) AS n FROM w WHERE far OR l = {leaf} GROUP BY 1"
+
+
+@query(_walk_sql(4, 0.5))
 def treecode_counters(spark, d):
     return hierarchy.treecode(charges(spark, d), 4, 0.5)[1]
 
@@ -340,12 +355,12 @@ def vector_norms(spark, d):
     return vectors(spark, d).select("id", (F.round(V.total(v), 6) + 0.0).alias("s"), F.round(V.norm2(v), 6).alias("n2"), F.array_min(v).alias("lo"), F.array_max(v).alias("hi"), F.round(V.total(V.absolute(v)), 6).alias("l1"))
 
 
-@query(f"""WITH {VE}, w AS (SELECT id, list_transform(v[1:3], lambda x: CASE WHEN x < -0.1e0 THEN x + 0.2e0 WHEN x > 0.1e0 THEN x - 0.2e0 ELSE x END) AS w, list_transform(v[1:3], lambda x: abs(x) > 0.1e0) AS m FROM v)
-SELECT id, w[1] AS x, w[2] AS y, w[3] AS z, CAST(m[1] AS BIGINT) + 2 * CAST(m[2] AS BIGINT) + 4 * CAST(m[3] AS BIGINT) AS mask FROM w""")
+@query(f"""WITH {VE}, w AS (SELECT id, list_transform(v, lambda x: CASE WHEN x < -0.1e0 THEN x + 0.2e0 WHEN x > 0.1e0 THEN x - 0.2e0 ELSE x END) AS w, list_transform(v, lambda x: CAST(abs(x) > 0.1e0 AS BIGINT)) AS m FROM v)
+SELECT id, round(list_sum(w), 6) + 0e0 AS s, list_min(w) AS lo, list_max(w) AS hi, CAST(list_sum(list_transform(m[1:32], lambda x, k: x << (k - 1))) AS BIGINT) AS first, CAST(list_sum(list_transform(m[33:64], lambda x, k: x << (k - 1))) AS BIGINT) AS last FROM w""")
 def periodic_wrap(spark, d):
-    lead = F.slice("v", 1, 3)
-    w = vectors(spark, d).select("id", V.wrap(lead, 0.2).alias("w"), V.wrap_mask(lead, 0.2).alias("mask"))
-    return w.select("id", *[F.get("w", F.lit(k)).alias(a) for k, a in enumerate("xyz")], "mask")
+    w = vectors(spark, d).select("id", V.wrap(F.col("v"), 0.2).alias("w"), V.wrap_mask(F.col("v"), 0.2).alias("mask"))
+    first, last = F.col("mask").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned("mask", 32)
+    return w.select("id", (F.round(V.total(F.col("w")), 6) + 0.0).alias("s"), F.array_min("w").alias("lo"), F.array_max("w").alias("hi"), first.alias("first"), last.alias("last"))
 
 
 @query("SELECT l_orderkey AS i, p_size AS j, round(sum(l_quantity * p_retailprice), 4) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
@@ -543,7 +558,7 @@ def jsonl_sample(spark, d):
 @query("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 3) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def model_lookup(spark, d):
     nation = P.read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return P.read(spark, d, "customer").join(nation, "c_nationkey").groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 3).alias("balance"))
+    return runs.lookup(P.read(spark, d, "customer"), nation, "c_nationkey").groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 3).alias("balance"))
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM supplier) SELECT a.s_suppkey AS rank, b.s_suppkey AS sender, b.s_acctbal AS received FROM supplier a, n JOIN supplier b ON b.s_suppkey = (a.s_suppkey + n.n - 1) % n.n")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import ranked
+
 MODELS = "position long, name string, developer string, experimental boolean, max_sequence_length long, batch_size long, iteration_offset long, approx_model_size long"
 SCORES = "position long, model string, iteration long, AVG double, EL double, FA double, HE double, MC double, MR double, MT double, NLI double, QA double, RC double, SUM double"
 LOSS = "position long, steps long, loss double"
@@ -23,7 +26,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_run_losses(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Loss files of several runs; the run is the file's name without its ending."""
     rows = spark.read.schema(LOSS).option("header", True).csv(paths)
-    return rows.withColumn("model", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("model", F.regexp_extract(name, r"^(.*)\.csv$", 1))
 
 
 def read_tsv(spark: SparkSession, path: str, columns: int) -> DataFrame:
@@ -33,8 +37,16 @@ def read_tsv(spark: SparkSession, path: str, columns: int) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with ``index``: their position by an explicit order."""
-    return rows.withColumn("index", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """rows with ``index``: their position by an explicit order, the first column of which leads (numbers or dates)."""
+    first = F.col(order[0])
+    lead = first.cast("timestamp").cast("double") if dict(rows.dtypes)[order[0]] in ("date", "timestamp", "timestamp_ntz") else first
+    return ranked(rows, lead, list(order), "index") if dict(rows.dtypes)[order[0]] != "string" else _numbered_strings(rows, list(order))
+
+
+def _numbered_strings(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The same by a string: ranges by its first six bytes, which order it roughly."""
+    rough = F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(order[0]), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    return ranked(rows, rough, order, "index")
 
 
 def read_numbers(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -47,9 +59,65 @@ def write_numbers(rows: DataFrame, path: str, columns: list[str], form: str = "%
     rows.select(F.format_string(form * len(columns), *columns).alias("value")).write.text(path)
 
 
+def ascii_json(text: Column) -> Column:
+    """A JSON string of text in which everything beyond ASCII is a \\u escape, in UTF-16 units."""
+    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    units = F.regexp_replace(F.hex(F.encode(quoted, "UTF-16BE")), "(....)", "$1 ")
+    each = F.transform(F.filter(F.split(units, " "), lambda u: u != ""), lambda u: F.when(u < "0080", F.decode(F.unhex(F.substring(u, 3, 2)), "US-ASCII")).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    return F.when(F.octet_length(quoted) == F.char_length(quoted), quoted).otherwise(F.array_join(each, ""))
+
+
 def write_jsonl(rows: DataFrame, path: str, text: str = "text") -> None:
-    """{"text": ..} a line, in UTF-8."""
-    rows.select(F.col(text).alias("text")).write.json(path)
+    """{"text": ".."} a line, escaped to ASCII; null texts are left out."""
+    rows.where(F.col(text).isNotNull()).select(F.concat(F.lit('{"text": '), ascii_json(F.col(text)), F.lit("}")).alias("value")).write.text(path)
+
+
+def read_yaml(path: str) -> dict:
+    """A configuration file of nested keys, lists of scalars and scalars, two or more spaces a level, with # comments.
+
+    That is the part of YAML that configurations use; anchors, block texts and inline collections raise an error.
+    """
+    def scalar(text: str):
+        if text in ("", "null", "~"):
+            return None
+        if text[0] in "{[&*|>":
+            raise ValueError(f"not supported: {text}")
+        if text[0] in "'\"":
+            return text[1:-1]
+        for kind in (int, float):
+            try:
+                return kind(text)
+            except ValueError:
+                pass
+        return {"true": True, "false": False}.get(text.lower(), text)
+
+    with open(path, encoding="utf-8") as file:
+        lines = [(len(x) - len(x.lstrip()), x.strip()) for x in (re.sub(r"(^|\s)#.*$", "", line).rstrip() for line in file) if x.strip() and x.strip() != "---"]
+
+    def block(at: int, indent: int):
+        if lines[at][1].startswith("-"):
+            out = []
+            while at < len(lines) and lines[at][0] == indent and lines[at][1].startswith("-"):
+                out.append(scalar(lines[at][1][1:].strip()))
+                at += 1
+            return out, at
+        out = {}
+        while at < len(lines) and lines[at][0] == indent:
+            key, colon, rest = lines[at][1].partition(":")
+            if not colon:
+                raise ValueError(f"not a key: {key}")
+            at += 1
+            deeper = at < len(lines) and (lines[at][0] > indent or (lines[at][0] == indent and lines[at][1].startswith("-")))
+            if not rest.strip() and deeper:
+                out[key.strip()], at = block(at, lines[at][0])
+            else:
+                out[key.strip()] = scalar(rest.strip())
+        return out, at
+
+    found, at = block(0, lines[0][0]) if lines else ({}, 0)
+    if at < len(lines):
+        raise ValueError(f"wrong indentation: {lines[at][1]}")
+    return found
 
 
 def write_index_csv(rows: DataFrame, path: str, *order: str) -> None:

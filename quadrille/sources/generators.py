@@ -25,23 +25,28 @@ def lcg_state(seed: int, n: int) -> int:
     return x
 
 
+def lcg_run(seed: int, first: int, count: int) -> np.ndarray:
+    """States first + 1 .. first + count: runs of doubling length, each the one before moved on by its length."""
+    low = np.uint64(M - 1)
+    states, a, c = np.array([lcg_state(seed, first + 1)], np.uint64), A, C
+    while len(states) < count:  # products wrap at 2^64, of which 2^48 is a divisor
+        states = np.concatenate([states, (states * np.uint64(a) + np.uint64(c)) & low])
+        a, c = a * a % M, (a + 1) * c % M
+    return states[:count]
+
+
 def drand48(spark: SparkSession, n: int, columns: list[str], seed: int = 0) -> DataFrame:
     """(id, columns..): the doubles of the 48-bit generator, row by row."""
     width = len(columns)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out, state, last = [], None, None
-            for i in x.id:
-                if last is None or i != last + 1:
-                    state = lcg_state(seed, int(i) * width)
-                row = []
-                for _ in range(width):
-                    state = (A * state + C) % M
-                    row.append(state / M)
-                out.append((i, *row))
-                last = i
-            yield pd.DataFrame(out, columns=["id", *columns])
+            ids = x.id.to_numpy()
+            breaks = [0, *(np.flatnonzero(np.diff(ids) != 1) + 1).tolist(), len(ids)]
+            for lo, hi in zip(breaks, breaks[1:], strict=False):
+                if hi > lo:
+                    u = lcg_run(seed, int(ids[lo]) * width, (hi - lo) * width).reshape(-1, width) / M
+                    yield pd.DataFrame({"id": ids[lo:hi]} | {c: u[:, k] for k, c in enumerate(columns)})
 
     return spark.range(n).mapInPandas(fill, "id long, " + ", ".join(f"{c} double" for c in columns))
 
