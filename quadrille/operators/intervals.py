@@ -5,24 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import beside, same, with_range
+
+
+def merged(busy: DataFrame, by: str = "cal") -> DataFrame:
+    """(by, g, s, e): intervals (s, e) of each calendar merged where they overlap or touch, numbered by g from 1.
+
+    Windows run within ranges of the starts, so that one busy calendar is many tasks; a range takes the latest end and the
+    number of merged intervals of those before it.
+    """
+    rows = with_range(busy.select(by, "s", "e"), F.col("s").cast("double"))
+    ahead = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(by, "__range").agg(F.max("e").alias("__end")).withColumn("__open", F.max("__end").over(ahead)).drop("__end")
+    w = Window.partitionBy(by, "__range").orderBy("s", "e")
+    opened = F.greatest(F.col("__open"), F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    flagged = beside(rows, ends, [by, "__range"]).withColumn("__new", F.when(F.col("s") <= opened, 0).otherwise(1))
+    pieces = flagged.withColumn("__own", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(by, "__range", "__own").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    offsets = pieces.groupBy(by, "__range").agg(F.max("__own").alias("__most")).withColumn("__passed", F.coalesce(F.sum("__most").over(ahead), F.lit(0))).drop("__most")
+    each = beside(pieces, offsets, [by, "__range"]).withColumn("g", F.col("__own") + F.col("__passed"))
+    return each.groupBy(by, "g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+
 
 def union(busy: DataFrame, by: str = "cal") -> DataFrame:
     """(by, s, e): intervals (s, e) of each calendar merged where they overlap or touch."""
-    before = Window.partitionBy(by).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = F.max("e").over(before)
-    flagged = busy.select(by, "s", "e", F.when(F.col("s") <= open_, 0).otherwise(1).alias("new"))
-    upto = Window.partitionBy(by).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn("g", F.sum("new").over(upto)).groupBy(by, "g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("g")
+    return merged(busy, by).drop("g")
 
 
 def gaps(busy: DataFrame, calendars: DataFrame, start: str, end: str, by: str = "cal") -> DataFrame:
     """(by, s, e): what the intervals leave free of [start, end); all of it for a calendar without any."""
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    merged = union(busy, by).where((F.col("e") > lo) & (F.col("s") < hi))
-    edges = merged.select(by, "s", "e").unionByName(calendars.select(by).distinct().select(by, hi.alias("s"), hi.alias("e")))
-    w = Window.partitionBy(by).orderBy("s", "e")
-    free = edges.select(by, F.coalesce(F.lag("e").over(w), lo).alias("a"), F.least("s", hi).alias("b"))
-    return free.where("a < b").select(by, F.col("a").alias("s"), F.col("b").alias("e"))
+    held = merged(busy, by).where((F.col("e") > lo) & (F.col("s") < hi))
+    # Between the end of one and the start of the next, by number; where one of the two is missing, up to the edge.
+    ends = held.select(F.col(by).alias("__by"), (F.col("g") + 1).alias("__g"), F.col("e").alias("a"))
+    met = held.select(by, "g", F.col("s").alias("b")).join(ends, same([by, "g"], ["__by", "__g"]), "full")
+    free = met.select(F.when(F.col("g").isNull(), F.col("__by")).otherwise(F.col(by)).alias(by), F.coalesce("a", lo).alias("s"), F.least("b", hi).alias("e"))
+    known = held.select(F.col(by).alias("__by")).distinct()
+    idle = calendars.select(by).distinct().join(known, same([by], ["__by"]), "left_anti").select(by, lo.alias("s"), hi.alias("e"))
+    return free.unionByName(idle).where("s < e")
 
 
 def free_slots(free: DataFrame, holidays: DataFrame, by: str = "cal", zone: str = "Asia/Tokyo", opens: str = "09:00", closes: str = "20:30", least_minutes: int = 30) -> DataFrame:

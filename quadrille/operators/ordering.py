@@ -11,6 +11,26 @@ from pyspark.sql import functions as F
 from .lineage import cut as cut_lineage
 
 
+def with_range(df: DataFrame, rough: Column, buckets: int | None = None) -> DataFrame:
+    """df with ``__range``: equal parts of the rows by approximate quantiles of rough; equal values share one, nulls are -1."""
+    buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    led = df.withColumn("__rough", rough)
+    bounds = sorted(set(led.approxQuantile("__rough", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
+    literal = ", ".join(f"{b!r}D" for b in bounds)
+    return led.withColumn("__range", F.expr(f"coalesce(size(filter(array({literal}), b -> b < __rough)), -1)") if bounds else F.lit(0)).drop("__rough")
+
+
+def same(left: list[str], right: list[str]) -> Column:
+    """Equality of keys in which nulls are equal."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
+
+
+def beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of other, which has a row for each value of the keys, nulls too."""
+    own = [f"__{k}_" for k in keys]
+    return df.join(other.withColumnsRenamed(dict(zip(keys, own, strict=True))), same(keys, own)).drop(*own)
+
+
 def ranked(df: DataFrame, lead: Column, ties: list[str], to: str = "pos", buckets: int | None = None, by: str | None = None) -> DataFrame:
     """df with ``to``: its 0-based position by (lead, ties); with ``by``, a column of few values, by (by, lead, ties).
 
@@ -18,20 +38,14 @@ def ranked(df: DataFrame, lead: Column, ties: list[str], to: str = "pos", bucket
     within their range by lead itself, and moved up by the rows of the ranges below.  Many equal leads share a range.  Nulls
     come first.
     """
-    spark = df.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    led = df.withColumn("__lead", lead).withColumn("__rough", F.col("__lead").cast("double"))
-    bounds = sorted(set(led.approxQuantile("__rough", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
-    literal = ", ".join(f"{b!r}D" for b in bounds)
-    led = led.withColumn("__range", F.expr(f"coalesce(size(filter(array({literal}), b -> b < __rough)), -1)") if bounds else F.lit(0))
+    led = df.withColumn("__lead", lead)
+    led = with_range(led, F.col("__lead").cast("double"), buckets)
     group = [by, "__range"] if by else ["__range"]
     sizes = led.groupBy(*group).count().orderBy(*group).collect()  # a row for each range, of each value
     before = [0, *accumulate(r["count"] for r in sizes)]
-    starts = spark.createDataFrame([(*[r[c] for c in group], n) for r, n in zip(sizes, before, strict=False)], led.select(*group, F.lit(0).cast("long").alias("__start")).schema)
+    starts = df.sparkSession.createDataFrame([(*[r[c] for c in group], n) for r, n in zip(sizes, before, strict=False)], led.select(*group, F.lit(0).cast("long").alias("__start")).schema)
     within = F.row_number().over(Window.partitionBy(*group).orderBy("__lead", *ties)) - 1
-    placed = led.withColumn("__within", within).withColumnsRenamed({c: f"__{c}_" for c in group})
-    same = [F.col(f"__{c}_").eqNullSafe(F.col(c)) for c in group]
-    at = placed.join(F.broadcast(starts), reduce(lambda a, b: a & b, same)).drop(*group).withColumnsRenamed({f"__{c}_": c for c in group})
+    at = beside(led.withColumn("__within", within), F.broadcast(starts), group)
     return at.select(*df.columns, (F.col("__within") + F.col("__start")).alias(to))
 
 
@@ -55,12 +69,23 @@ def median(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def runs(df: DataFrame, by: str, order: str, key: str) -> DataFrame:
-    """(by, run, key, n, first): runs of an equal key in the order of each partition."""
-    w = Window.partitionBy(by).orderBy(order)
-    flag = F.coalesce((F.col(key) != F.lag(key).over(w)).cast("int"), F.lit(0))
-    flagged = df.withColumn("__new", flag)
-    numbered = flagged.withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(by, "run", key).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    """(by, run, key, n, first): runs of an equal key in the order of each partition.
+
+    Windows run within ranges of the order (a number or a time), so that one long partition is many tasks; a range takes the
+    last key and the number of runs of those before it.
+    """
+    rows = with_range(df.select(by, order, key), F.col(order).cast("double"))
+    ahead = Window.partitionBy(by).orderBy("__range")
+    last = rows.groupBy(by, "__range").agg(F.max_by(key, order).alias("__last")).withColumn("__before", F.lag("__last").over(ahead)).drop("__last")
+    w = Window.partitionBy(by, "__range").orderBy(order)
+    before = F.when(F.row_number().over(w) == 1, F.col("__before")).otherwise(F.lag(key).over(w))
+    flagged = beside(rows, last, [by, "__range"]).withColumn("__new", F.coalesce((F.col(key) != before).cast("int"), F.lit(0)))
+    numbered = flagged.withColumn("__own", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = numbered.groupBy(by, "__range", "__own", key).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    passed = F.coalesce(F.sum("__most").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = pieces.groupBy(by, "__range").agg(F.max("__own").alias("__most")).withColumn("__passed", passed).drop("__most")
+    each = beside(pieces, offsets, [by, "__range"]).withColumn("run", F.col("__own") + F.col("__passed"))
+    return each.groupBy(by, "run", key).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def bisect(df: DataFrame, axes: list[str], levels: int, ident: str = "id") -> DataFrame:

@@ -275,6 +275,23 @@ def order_free_checksum(spark, d):
     return cluster.checksum(events).select("n", (F.col("sum") == F.lit(other["sum"])).alias("same"))
 
 
+# --- kernels in numpy ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS id, round(sqrt(pi() / (2 * p_size)) * exp(-p_size) * 1e9, 3) AS k, round(sqrt(2 / (pi() * (p_size % 7 + 1e0))) * (exp(p_size % 7 + 1e0) - exp(-(p_size % 7 + 1e0))) / 2, 6) AS i, round(exp(-p_size / 20e0), 6) AS matern FROM part WHERE p_size <= 20")
+def bessel_halves(spark, d):
+    """Bessel functions of order 1/2 and the Matern covariance of nu = 1/2, which have closed forms."""
+    @F.pandas_udf("k double, i double, matern double")
+    def of(size):
+        import pandas as pd
+
+        x = size.to_numpy().astype(float)
+        return pd.DataFrame({"k": K.bessel_k(0.5, x), "i": K.bessel_i(0.5, x % 7 + 1), "matern": K.matern(0.5, x / 10, 2.0)})
+
+    rows = part(spark, d).where("p_size <= 20").select("p_partkey", of("p_size").alias("f"))
+    return rows.select(F.col("p_partkey").alias("id"), F.round(F.col("f.k") * 1e9, 3).alias("k"), F.round("f.i", 6).alias("i"), F.round("f.matern", 6).alias("matern"))
+
+
 # --- hierarchies against exact sums -------------------------------------------------------------------------------------
 
 
