@@ -1,6 +1,8 @@
 """Goldens, error bounds and properties of operators that no SQL stands beside."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -282,3 +284,89 @@ def test_bessel_wronskian():
     x = np.array([0.5, 1.0, 3.0])
     w = K.bessel_i(0.5, x) * K.bessel_k(1.5, x) + K.bessel_i(1.5, x) * K.bessel_k(0.5, x)
     assert np.allclose(w, 1 / x, rtol=1e-5)
+
+
+def test_ranks_of_big_and_odd_keys(spark):
+    rows = [((1 << 60) + k, k % 3) for k in range(50)] + [(None, 0), (-(1 << 61), 1)]
+    df = spark.createDataFrame(rows, "k long, g long")
+    got = [r.k for r in ordering.ranked(df, F.col("k"), [], buckets=5).orderBy("pos").collect()]
+    assert got == [None, -(1 << 61), *((1 << 60) + k for k in range(50))]
+    by = {(r.g, r.k): r.pos for r in ordering.ranked(df.where("k > 0"), F.col("k"), [], buckets=3, by="g").collect()}
+    assert [key for key, _ in sorted(by.items(), key=lambda x: x[1])] == sorted(by)
+
+
+def test_medians_of_any_values(spark):
+    rows = [(g, v) for g, values in {"a": [-5.0, 2e6, 7e9], "b": [1.0, -1e12], None: [3.0]}.items() for v in values]
+    got = {(r.g, r.pos, r.median) for r in ordering.median(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got == {("a", 1, 2e6), ("b", 1, 1.0), (None, 0, 3.0)}
+
+
+def test_bisection_outside_the_unit_box(spark):
+    df = spark.createDataFrame([(k, 1e6 * (k * 37 % 64) - 3e7, -float(k * 11 % 64)) for k in range(64)], "id long, x double, y double")
+    rows = ordering.bisect(df, ["x", "y"], 2).collect()
+    assert sorted(Counter(r.part for r in rows).items()) == [(k, 16) for k in range(4)]
+    assert max(r.x for r in rows if r.part < 2) < min(r.x for r in rows if r.part > 1)
+    parts = Counter(r.part for r in ordering.weighted_bisect(df, ["x", "y"], 3).collect())
+    assert sorted(parts.values()) == [21, 21, 22]
+
+
+def test_offsets_of_big_and_negative_keys(spark):
+    keys = [-5, -5, -1, 0, 3, (1 << 55) + 1, (1 << 55) + 1, (1 << 55) + 2]
+    got = {r.k: (r.n, r.offset) for r in ordering.bucket_offsets(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 2).collect()}
+    assert got == {-5: (2, 0), -1: (1, 2), 0: (1, 3), 3: (1, 4), (1 << 55) + 1: (2, 5), (1 << 55) + 2: (1, 7)}
+
+
+def test_all_pairs_in_many_blocks(spark):
+    df = spark.range(100).select("id", F.col("id").cast("double").alias("x"))
+    assert spatial.all_pairs(df, df, blocks=3, block_rows=17).select("idi", "idj").distinct().count() == 10_000
+    pairs = spatial.triangle_pairs(df, block_rows=17)
+    assert pairs.where("idi >= idj").count() == 0 and pairs.select("idi", "idj").distinct().count() == pairs.count() == 4950
+    assert pairs.where("xi <> idi or xj <> idj").count() == 0
+
+
+def test_neutral_cells(spark):
+    """Charges of both signs, some cells neutral: the tree code has centres and dipoles for them."""
+    rng = random.Random(3)
+    rows = [(k, rng.random(), rng.random(), rng.random(), (-1.0) ** k) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, q double")
+    m = hierarchy.leaf_moments(df, 0).first()
+    assert m.m == 0 and 0.4 < m.xc < 0.6 and abs(m.dx) > 0
+    for axes in ("xy", "xyz"):
+        at = {r[0]: r for r in rows}
+        dist = lambda a, b, axes=axes: math.sqrt(sum((a["0xyz".index(c)] - b["0xyz".index(c)]) ** 2 for c in axes))
+        exact = {i: sum(b[4] / dist(a, b) for b in rows if b[0] != i) for i, a in at.items()}
+        got = {r.id: r.u for r in hierarchy.treecode(df, 2, 0.4, tuple(axes))[0].collect()}
+        scale = math.sqrt(sum(v * v for v in exact.values()))
+        assert math.sqrt(sum((got[i] - v) ** 2 for i, v in exact.items())) / scale < 0.01
+
+
+def test_busy_calendar_in_many_ranges(spark):
+    """One hot calendar, a null one, long intervals that cover many ranges."""
+    rng = random.Random(4)
+    rows = [("hot", a, a + rng.choice([1, 5, 40])) for a in (rng.randrange(5000) for _ in range(600))] + [("hot", 1000, 2500), (None, 3, 9), (None, 9, 11), ("one", 5, 6)]
+    df = spark.createDataFrame(rows, "cal string, s long, e long").select("cal", F.timestamp_seconds("s").alias("s"), F.timestamp_seconds("e").alias("e"))
+    want = []
+    for cal in ("hot", None, "one"):
+        last = None
+        for a, b in sorted((a, b) for c, a, b in rows if c == cal):
+            if last and a <= last[2]:
+                last[2] = max(last[2], b)
+            else:
+                last = [cal, a, b]
+                want.append(last)
+    got = [[r.cal, r.s, r.e] for r in intervals.union(df).select("cal", F.unix_seconds("s").alias("s"), F.unix_seconds("e").alias("e")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 20
+
+
+def test_runs_in_many_ranges(spark):
+    rng = random.Random(5)
+    rows = [(by, k, rng.choice(["a", "a", "b", None])) for by in (1, None) for k in range(400)]
+    want = {}
+    for by in (1, None):
+        run, last = 0, None
+        for k, (_, o, key) in enumerate(r for r in rows if r[0] == by):
+            run += k > 0 and key is not None and last is not None and key != last
+            last = key
+            want.setdefault((by, run, key), []).append(o)
+    got = {(r.by, r.run, r.key): (r.n, r.first) for r in ordering.runs(spark.createDataFrame(rows, "by long, at long, key string"), "by", "at", "key").collect()}
+    assert got == {k: (len(v), min(v)) for k, v in want.items()}

@@ -3,6 +3,7 @@ import random
 import socket
 import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from quadrille.sources import files, generators
@@ -146,3 +147,39 @@ def test_contents_become_files(spark, tmp_path):
 def test_exponential_fill(spark):
     rows = generators.exponential_fill(spark, 100).orderBy("id").collect()
     assert rows[0].value == 1.0 and abs(rows[1].value - 23.140692) < 1e-4 and rows[99].value == float("inf")
+
+
+def test_yaml(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("# run\nmodel:\n  name: 'gpt'  # small\n  layers: 24\n  sizes:\n    - 1\n    - 2.5\noptim:\n  lr: 3.0e-4\n  mixed: true\nnone:\nlast: text with spaces\n")
+    assert files.read_yaml(str(path)) == {"model": {"name": "gpt", "layers": 24, "sizes": [1, 2.5]}, "optim": {"lr": 3e-4, "mixed": True}, "none": None, "last": "text with spaces"}
+    path.write_text("a: {b: 1}\n")
+    with pytest.raises(ValueError):
+        files.read_yaml(str(path))
+    path.write_text("")
+    assert files.read_yaml(str(path)) == {}
+
+
+def test_lines_of_ascii_json(spark, tmp_path):
+    import json
+
+    texts = ["plain", "é ß 漢 🙂  ", "quote \" back \\ tab\t line\n", "", "}", "\x01"]
+    files.write_jsonl(spark.createDataFrame([(t,) for t in [*texts, None]], "text string"), str(tmp_path / "a"))
+    lines = [x for f in sorted((tmp_path / "a").glob("part-*")) for x in f.read_text().splitlines()]
+    assert sorted(json.loads(x)["text"] for x in lines) == sorted(texts) and all(x.isascii() for x in lines)
+
+
+def test_positions_by_strings(spark):
+    words = ["b", "a", "é", "", "aaaaaaaab", "aaaaaaaaa", "Z", "z" * 20]
+    got = [r.w for r in files.numbered(spark.createDataFrame([(w,) for w in words], "w string"), "w").orderBy("index").collect()]
+    assert got == sorted(words, key=lambda w: w.encode())
+
+
+def test_generator_runs(spark):
+    from quadrille.sources import generators as G
+
+    x, plain = (7 << 16) + 0x330E, []
+    for _ in range(1000):
+        x = (G.A * x + G.C) % G.M
+        plain.append(x)
+    assert G.lcg_run(7, 0, 1000).tolist() == plain and G.lcg_run(7, 300, 50).tolist() == plain[300:350]
