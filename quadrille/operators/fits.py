@@ -59,7 +59,7 @@ def sigmoid_fit(points: DataFrame, by: str, rounds: int = 60) -> DataFrame:
     return state.select(F.col("__by").alias(by), "x0", "k", "n")
 
 
-def scaling_fit(points: DataFrame, start: tuple[float, ...], delta: float = 1e-3, rounds: int = 30) -> tuple[tuple[float, ...], float]:
+def scaling_fit(points: DataFrame, start: tuple[float, ...], delta: float = 1e-3, rounds: int = 100) -> tuple[tuple[float, ...], float]:
     """Five parameters of the scaling law and the objective there: each round is one aggregate of residual and slopes.
 
     Huber loss by iteratively reweighted Gauss-Newton (weight delta / |r| beyond delta) with a step-halving search.

@@ -504,8 +504,9 @@ def huber_objective(spark, d):
     return runs.scaling_objective(scaling_points(spark, d), start).select(F.round("objective", 6).alias("objective"))
 
 
-@query()
+@query("SELECT event_type, 200e0 AS x0, 0.02e0 AS k, count(*) AS n FROM events GROUP BY 1")
 def sigmoid_fit(spark, d):
+    """The points lie on the sigmoid of x0 = 200 and k = 0.02, which is therefore the least-squares answer."""
     e = P.read(spark, d, "events").select("event_type", F.col("value").alias("x"), K.sigmoid(F.col("value"), 200.0, 0.02).alias("y"))
     return fits.sigmoid_fit(e, "event_type").select("event_type", F.round("x0", 3).alias("x0"), F.round("k", 5).alias("k"), "n")
 

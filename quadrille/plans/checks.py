@@ -3,15 +3,17 @@ hierarchies, each with its SQL."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import points as P
 from ..functions import vectors as V
-from ..operators import cluster, hierarchy, ordering, runs, spatial
+from ..operators import cluster, fits, hierarchy, ordering, runs, spatial
 from ..operators.lineage import fresh_path
 from ..sources import files, generators
-from .catalogue import BUSY, CU, SQ, VE, busy, cell_sql, charges, part, query, square, vectors
+from .catalogue import BUSY, CU, POINTS, SQ, VE, busy, cell_sql, charges, part, query, scaling_points, square, vectors
 
 # --- sources and sinks as round trips -----------------------------------------------------------------------------------
 
@@ -260,6 +262,18 @@ def mean_of_curves(spark, d):
     return runs.mean_curve(fitted, spark.range(50).select(F.col("id").cast("double").alias("x"))).select("x", F.round("y", 9).alias("y"))
 
 
+@query(f"""WITH {POINTS}, r AS (SELECT ln(loss) - ln(exp(ln(406.4e0) - 0.34e0 * ln(n)) + exp(ln(410.7e0) - 0.28e0 * ln(d)) + exp(ln(1.69e0))) AS r FROM p)
+SELECT round(sum(CASE WHEN abs(r) <= 1e-3 THEN 0.5e0 * r * r ELSE 1e-3 * (abs(r) - 0.5e-3) END), 6) AS at_start, TRUE AS less, TRUE AS lowest FROM r""")
+def scaling_fit_optimum(spark, d):
+    """The objective at the start, whether the fit has less, and whether no step of a parameter to either side has less still."""
+    start = (math.log(406.4), math.log(410.7), math.log(1.69), 0.34, 0.28)
+    points = scaling_points(spark, d)
+    p, _ = fits.scaling_fit(points, start)
+    tried = [start, tuple(p)] + [tuple(x + step * (k == j) for j, x in enumerate(p)) for k in range(5) for step in (-1e-3, 1e-3)]
+    at = points.agg(*[F.sum(K.huber(runs.scaling_residual(F.col("n"), F.col("d"), F.col("loss"), t), 1e-3)).alias(f"o{k}") for k, t in enumerate(tried)])
+    return at.select(F.round("o0", 6).alias("at_start"), (F.col("o1") < F.col("o0")).alias("less"), (F.least(*[f"o{k}" for k in range(2, 12)]) >= F.col("o1") * (1 - 1e-6)).alias("lowest"))
+
+
 # --- cluster ------------------------------------------------------------------------------------------------------------
 
 
