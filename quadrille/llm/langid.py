@@ -41,7 +41,7 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log-frequency tables: a row of ``scores`` for each known word, and for each unseen word met so far."""
+    """Log-frequency tables of words and n-grams, and a row of ``scores`` for each unseen word met so far."""
 
     def __init__(self, counts: pa.Table):
         langs, grams = (counts.column(c).combine_chunks().dictionary_encode() for c in ("lang", "gram"))
@@ -60,8 +60,9 @@ class Model:
         self.reset()
 
     def reset(self) -> None:
-        known, logs = self.tables.get(0, ({}, np.zeros((0, len(self.langs)))))
-        self.rows, self.scores = dict(known), np.concatenate([logs, np.zeros((len(logs) + 1024, len(self.langs)))])
+        """Forget the unseen words met so far; known words are looked up where they are."""
+        self.known, self.logs = self.tables.get(0, ({}, np.zeros((0, len(self.langs)))))
+        self.met, self.scores = {}, np.zeros((1024, len(self.langs)))
 
     def backoff(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
@@ -71,22 +72,28 @@ class Model:
         return np.zeros(len(self.langs))
 
     def row(self, word: str) -> int:
-        if (k := self.rows.get(word)) is None:
-            k = self.rows[word] = len(self.rows)
+        """Of an unseen word, in ``scores``."""
+        if (k := self.met.get(word)) is None:
+            k = self.met[word] = len(self.met)
             if k >= len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.scores[k] = self.backoff(word)
         return k
 
+    def total(self, words: list[str]) -> np.ndarray:
+        rows = [self.known.get(w) for w in words]
+        unseen = [self.row(w) for w, k in zip(words, rows, strict=True) if k is None]
+        seen = [k for k in rows if k is not None]
+        return (self.logs[seen].sum(0) if seen else 0) + (self.scores[unseen].sum(0) if unseen else 0)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, probability); ``und`` and 0 for a text without letters, or where nothing was learned."""
         words = words_of(text)
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        if len(self.rows) > len(self.tables.get(0, ({},))[0]) + MEMO:
+        if len(self.met) > MEMO:
             self.reset()
-        rows = [self.row(w) for w in words]
-        total = self.scores[rows].sum(0) * min(1.0, EVIDENCE / len(rows))
+        total = self.total(words) * min(1.0, EVIDENCE / len(words))
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
