@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import beside, same, with_range
+from .ordering import same, with_range
 
 
 def merged(busy: DataFrame, by: str = "cal") -> DataFrame:
@@ -14,16 +14,18 @@ def merged(busy: DataFrame, by: str = "cal") -> DataFrame:
     Windows run within ranges of the starts, so that one busy calendar is many tasks; a range takes the latest end and the
     number of merged intervals of those before it.
     """
-    rows = with_range(busy.select(by, "s", "e"), F.col("s").cast("double"))
-    ahead = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(by, "__range").agg(F.max("e").alias("__end")).withColumn("__open", F.max("__end").over(ahead)).drop("__end")
-    w = Window.partitionBy(by, "__range").orderBy("s", "e")
+    # A struct is never null, and equal to one of the same null: plain joins and windows on it share their partitioning.
+    rows = with_range(busy.select(F.struct(by).alias("__key"), "s", "e"), F.col("s").cast("double"))
+    keys = ["__key", "__range"]
+    ahead = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys).agg(F.max("e").alias("__end")).select(*keys, F.max("__end").over(ahead).alias("__open"))
+    w = Window.partitionBy(*keys).orderBy("s", "e")
     opened = F.greatest(F.col("__open"), F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    flagged = beside(rows, ends, [by, "__range"]).withColumn("__new", F.when(F.col("s") <= opened, 0).otherwise(1))
-    pieces = flagged.withColumn("__own", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(by, "__range", "__own").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    offsets = pieces.groupBy(by, "__range").agg(F.max("__own").alias("__most")).withColumn("__passed", F.coalesce(F.sum("__most").over(ahead), F.lit(0))).drop("__most")
-    each = beside(pieces, offsets, [by, "__range"]).withColumn("g", F.col("__own") + F.col("__passed"))
-    return each.groupBy(by, "g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    flagged = rows.join(ends, keys).withColumn("__new", F.when(F.col("s") <= opened, 0).otherwise(1))
+    pieces = flagged.withColumn("__own", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "__own").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    offsets = pieces.groupBy(*keys).agg(F.max("__own").alias("__most")).select(*keys, F.coalesce(F.sum("__most").over(ahead), F.lit(0)).alias("__passed"))
+    each = pieces.join(offsets, keys).withColumn("g", F.col("__own") + F.col("__passed"))
+    return each.groupBy("__key", "g").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(F.col("__key")[by].alias(by), "g", "s", "e")
 
 
 def union(busy: DataFrame, by: str = "cal") -> DataFrame:

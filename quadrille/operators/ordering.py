@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 from .lineage import cut as cut_lineage
 
 
+def search(count: int, passed) -> Column:
+    """How many of ``count`` sorted bounds lie before a row, by a binary search: passed(k) tells whether bound k does."""
+    steps = [1 << k for k in reversed(range(count.bit_length()))]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= count) & passed(at + step - 1), at + step).otherwise(at))
+
+
 def with_range(df: DataFrame, rough: Column, buckets: int | None = None) -> DataFrame:
     """df with ``__range``: equal parts of the rows by approximate quantiles of rough; equal values share one, nulls are -1."""
     buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     led = df.withColumn("__rough", rough)
     bounds = sorted(set(led.approxQuantile("__rough", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets))))
-    literal = ", ".join(f"{b!r}D" for b in bounds)
-    return led.withColumn("__range", F.expr(f"coalesce(size(filter(array({literal}), b -> b < __rough)), -1)") if bounds else F.lit(0)).drop("__rough")
+    at = search(len(bounds), lambda k: F.get(F.lit(bounds), k) < F.col("__rough"))
+    return led.withColumn("__range", F.when(F.col("__rough").isNull(), -1).otherwise(at)).drop("__rough")
 
 
 def same(left: list[str], right: list[str]) -> Column:
@@ -72,20 +80,21 @@ def runs(df: DataFrame, by: str, order: str, key: str) -> DataFrame:
     """(by, run, key, n, first): runs of an equal key in the order of each partition.
 
     Windows run within ranges of the order (a number or a time), so that one long partition is many tasks; a range takes the
-    last key and the number of runs of those before it.
+    last key and the number of runs of those before it.  Null is a partition of its own.
     """
-    rows = with_range(df.select(by, order, key), F.col(order).cast("double"))
-    ahead = Window.partitionBy(by).orderBy("__range")
-    last = rows.groupBy(by, "__range").agg(F.max_by(key, order).alias("__last")).withColumn("__before", F.lag("__last").over(ahead)).drop("__last")
-    w = Window.partitionBy(by, "__range").orderBy(order)
+    rows = with_range(df.select(F.struct(by).alias("__key"), order, key), F.col(order).cast("double"))
+    keys = ["__key", "__range"]
+    ahead = Window.partitionBy("__key").orderBy("__range")
+    last = rows.groupBy(*keys).agg(F.max_by(key, order).alias("__last")).select(*keys, F.lag("__last").over(ahead).alias("__before"))
+    w = Window.partitionBy(*keys).orderBy(order)
     before = F.when(F.row_number().over(w) == 1, F.col("__before")).otherwise(F.lag(key).over(w))
-    flagged = beside(rows, last, [by, "__range"]).withColumn("__new", F.coalesce((F.col(key) != before).cast("int"), F.lit(0)))
+    flagged = rows.join(last, keys).withColumn("__new", F.coalesce((F.col(key) != before).cast("int"), F.lit(0)))
     numbered = flagged.withColumn("__own", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = numbered.groupBy(by, "__range", "__own", key).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    pieces = numbered.groupBy(*keys, "__own", key).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     passed = F.coalesce(F.sum("__most").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = pieces.groupBy(by, "__range").agg(F.max("__own").alias("__most")).withColumn("__passed", passed).drop("__most")
-    each = beside(pieces, offsets, [by, "__range"]).withColumn("run", F.col("__own") + F.col("__passed"))
-    return each.groupBy(by, "run", key).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    offsets = pieces.groupBy(*keys).agg(F.max("__own").alias("__most")).select(*keys, passed.alias("__passed"))
+    each = pieces.join(offsets, keys).withColumn("run", F.col("__own") + F.col("__passed"))
+    return each.groupBy("__key", "run", key).agg(F.sum("n").alias("n"), F.min("first").alias("first")).select(F.col("__key")[by].alias(by), "run", key, "n", "first")
 
 
 def bisect(df: DataFrame, axes: list[str], levels: int, ident: str = "id") -> DataFrame:
