@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import search
 from .common import stored
 
 #: Compressed bytes at which a file is closed; bytes of payload and headers aimed at for a shard, and shards at most (larger
@@ -91,20 +92,9 @@ def shard_bounds(groups: DataFrame, shard_bytes: float) -> list[tuple[int, int]]
 
 
 def shard_of(bounds: list[tuple[int, int]]):
-    """How many of the bounds are at or before (place, mark): a binary search."""
-    if not bounds:
-        return F.lit(0)
-    places, marks = (F.lit([x[k] for x in bounds]) for k in (0, 1))
-
-    def halve(s, _):
-        mid = F.shiftright(s["lo"] + s["hi"], 1)
-        at = F.get(places, mid)
-        after = (at < F.col("place")) | ((at == F.col("place")) & (F.get(marks, mid) <= F.col("mark")))
-        go_on = s["lo"] < s["hi"]
-        return F.struct(F.when(go_on & after, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go_on & ~after, mid).otherwise(s["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
+    """How many of the bounds are at or before (place, mark)."""
+    places, marks = (F.lit([x[k] for x in bounds]) if bounds else None for k in (0, 1))
+    return search(len(bounds), lambda k: (F.get(places, k) < F.col("place")) | ((F.get(places, k) == F.col("place")) & (F.get(marks, k) <= F.col("mark"))))
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
