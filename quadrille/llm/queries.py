@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding, langid, lm, packing, sharding, simhash, token_counts, url_filter, warc
+from . import clustering, decontaminate, embedding, langid, lm, packing, sharding, simhash, token_counts, toxicity, url_filter, warc, whitening
 from .common import fresh_path, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -60,6 +60,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_exponion_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -71,6 +86,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_sharding": op10_sharding,
+    "op11_exponion_clustering": op11_exponion_clustering,
+    "op12_whitening": op12_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 
 URL_SQL = """
@@ -115,4 +133,26 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES = {"op2_embedding_dedup": EMBEDDING_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op7_warc": WARC_SQL, "op8_url_filter": URL_SQL}
+
+
+def clustering_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """Every round by every distance, as common table expressions."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda c: CAST(floor(1024 * c) AS BIGINT)) AS x FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+     WHERE len(e) = {width} AND len(list_filter(e, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, b.cluster, b.d FROM (SELECT v.vec_id, v.x, min(struct_pack(d := CAST({apart} AS BIGINT), cluster := c.cluster)) AS b FROM v, c{r} c GROUP BY v.vec_id, v.x))")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT cluster, k, CAST(sum(x[k]) AS HUGEINT) AS s, count(*) AS n FROM a{r}, range(1, {width + 1}) g(k) GROUP BY cluster, k)")
+            steps.append(f"f{r} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS x FROM m{r} GROUP BY cluster)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(f.x, c.x) AS x FROM c{r} c LEFT JOIN f{r} f USING (cluster))")
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster"
+    )
+
+
+ORACLES = {"op2_embedding_dedup": EMBEDDING_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op7_warc": WARC_SQL, "op8_url_filter": URL_SQL, "op11_exponion_clustering": clustering_sql()}
