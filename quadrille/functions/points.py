@@ -28,6 +28,12 @@ def cube_points(part: DataFrame) -> DataFrame:
     return square_points(part).join(z, "id")
 
 
+def crowded_points(part: DataFrame, axes: str = "xyz") -> DataFrame:
+    """(id, axes..) off the unit box: a quarter of cube_points spread over [-3, 5), the others in six crowds 1e-4 wide."""
+    group, at = F.col("id") % 8, {"x": 0.37, "y": -0.21, "z": 0.11}
+    return cube_points(part).select("id", *[F.when(group < 2, F.col(a) * 8 - 3).otherwise(group * at[a] + F.col(a) * 1e-4).alias(a) for a in axes])
+
+
 def item_points(lineitem: DataFrame) -> DataFrame:
     """(x, y, z) in the unit cube for each order line."""
     x, y = (F.col("l_quantity") - 1) / F.lit(50.0), F.col("l_extendedprice") / F.lit(105000.0)

@@ -64,7 +64,11 @@ def with_ancestors(cells: DataFrame, leaf: int, keys: tuple[str, ...] = ("ix", "
 
 
 def single_level(points: DataFrame, level: int) -> DataFrame:
-    """(id, u) of 1/r: near points one by one, every other cell by its charge over the distance of the centres."""
+    """(id, u) of 1/r: near points one by one, every other cell by its charge over the distance of the centres.
+
+    Points off the unit square are scaled into it.
+    """
+    points, width = spatial.unit_box(points, ["x", "y"])
     m = charged(points, level)
     # a grid has 4^level cells whatever the number of points
     far = m.select("ix", "iy").join(m.select(F.col("ix").alias("jx"), F.col("iy").alias("jy"), "q"), F.greatest(F.abs(F.col("jx") - F.col("ix")), F.abs(F.col("jy") - F.col("iy"))) > 1)
@@ -72,7 +76,7 @@ def single_level(points: DataFrame, level: int) -> DataFrame:
     far = far.groupBy("ix", "iy").agg(F.sum(F.col("q") / r).alias("far"))
     own = points.select("id", P.grid_index(F.col("x"), 2**level).alias("ix"), P.grid_index(F.col("y"), 2**level).alias("iy"))
     near = near_field(points, level, coulomb)
-    return own.join(far, ["ix", "iy"], "left").join(near, "id", "left").select("id", (F.coalesce("far", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))).alias("u"))
+    return own.join(far, ["ix", "iy"], "left").join(near, "id", "left").select("id", ((F.coalesce("far", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))) / F.lit(width)).alias("u"))
 
 
 def leaf_level(points: DataFrame, axes: int, ncrit: int = 64) -> int:
@@ -84,8 +88,9 @@ def multilevel(points: DataFrame, leaf: int | None = None) -> DataFrame:
     """(id, u) of 1/r with charges and local values of order 0 on levels 2 .. leaf (by the number of points, if not given).
 
     Charges are summed up from the leaves to all their ancestors, local values are handed down from there to the leaves, and
-    points meet the sum once.
+    points meet the sum once.  Points off the unit square are scaled into it.
     """
+    points, width = spatial.unit_box(points, ["x", "y"])
     leaf = leaf or leaf_level(points, 2)
     leaves = cut(charged(points, leaf))
     charge = with_ancestors(leaves, leaf).groupBy("level", F.col("pix").alias("ix"), F.col("piy").alias("iy")).agg(F.sum("q").alias("q"))
@@ -95,7 +100,7 @@ def multilevel(points: DataFrame, leaf: int | None = None) -> DataFrame:
     local = with_ancestors(leaves.select("ix", "iy"), leaf).join(far, ["level", "pix", "piy"]).groupBy("ix", "iy").agg(F.sum("far").alias("far"))
     own = points.select("id", P.grid_index(F.col("x"), 2**leaf).alias("ix"), P.grid_index(F.col("y"), 2**leaf).alias("iy"))
     out = own.join(local, ["ix", "iy"], "left").join(near_field(points, leaf, coulomb), "id", "left")
-    return out.select("id", (F.coalesce("far", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))).alias("u"))
+    return out.select("id", ((F.coalesce("far", F.lit(0.0)) + F.coalesce("near", F.lit(0.0))) / F.lit(width)).alias("u"))
 
 
 class Complex:
@@ -198,8 +203,10 @@ def complex_multipole(points: DataFrame, leaf: int | None = None, order: int = 6
 
     The leaves' moments are shifted up to all ancestors, the local expansions of all levels down to the leaves (shifting
     polynomials is exact, so one move is as good as one for each level), and points meet the expansion of their leaf only.
-    The leaf level follows the number of points, if it isn't given.
+    The leaf level follows the number of points, if it isn't given.  Points off the unit square are scaled into it; every
+    pair of different places then lacks the logarithm of the width.
     """
+    points, width = spatial.unit_box(points, ["x", "y"])
     leaf = leaf or leaf_level(points, 2)
     n = 2**leaf
     leaves = cut(complex_moments(points, leaf, order))
@@ -212,8 +219,14 @@ def complex_multipole(points: DataFrame, leaf: int | None = None, order: int = 6
     at = points.select("id", "x", "y", P.grid_index(F.col("x"), n).alias("ix"), P.grid_index(F.col("y"), n).alias("iy")).join(local, ["ix", "iy"], "left")
     at = with_powers(at.selectExpr("*", *Complex(f"x - (ix + 0.5D) / {n}", f"y - (iy + 0.5D) / {n}").named("d")), "d", order - 1)
     value = " + ".join(["L0r", *(f"({(Complex.of(f'L{k}') * Complex.of(f'd{k}')).re}) / {math.factorial(k)}" for k in range(1, order))])
-    out = at.selectExpr("id", f"coalesce({value}, 0D) AS far")
-    return out.join(near_field(points, leaf, log_kernel), "id", "left").select("id", (F.col("far") + F.coalesce("near", F.lit(0.0))).alias("u"))
+    out = at.selectExpr("id", f"coalesce({value}, 0D) AS far").join(near_field(points, leaf, log_kernel), "id", "left")
+    out = out.select("id", (F.col("far") + F.coalesce("near", F.lit(0.0))).alias("u"))
+    if width == 1:
+        return out
+    whole = points.agg(F.sum("q")).first()[0] or 0.0
+    here = cut(points.groupBy("x", "y").agg(F.sum("q").alias("here")))
+    lacks = points.select("id", "x", "y").join(here, ["x", "y"]).select("id", ((F.lit(whole) - F.col("here")) * F.lit(math.log(width))).alias("lacks"))
+    return out.join(lacks, "id").select("id", (F.col("u") - F.col("lacks")).alias("u"))
 
 
 def raw_sums(points: DataFrame, axes: list[str], level: int) -> DataFrame:
@@ -262,8 +275,9 @@ def treecode(points: DataFrame, leaf: int | None = None, theta: float = 0.5, axe
 
     A cell whose radius is less than theta times its distance from every point of the leaf acts by its moments; else its
     children are looked at, and leaves that are too near act point by point.  The leaf level follows the number of points,
-    if it isn't given.
+    if it isn't given.  Points off the unit box are scaled into it.  For crowded points see fields.fields().
     """
+    points, width = spatial.unit_box(points, list(axes))
     axes, leaf = list(axes), leaf or leaf_level(points, len(axes))
     keys, targets_of = [f"i{a}" for a in axes], [f"t{a}" for a in axes]
     raw, tree = {leaf: cut(raw_sums(points, axes, leaf))}, {}
@@ -307,7 +321,7 @@ def treecode(points: DataFrame, leaf: int | None = None, theta: float = 0.5, axe
     by_point = own.withColumnsRenamed({a: f"{a}i" for a in axes}).join(near, targets_of).join(sources, keys)
     by_point = by_point.select("id", (F.col("qj") * coulomb(spatial.distance2(axes))).alias("u"))
     counts = far.agg(F.count("*").alias("n")).select(F.lit("cell").alias("kind"), "n").unionByName(near.agg(F.count("*").alias("n")).select(F.lit("near").alias("kind"), "n"))
-    return by_cell.unionByName(by_point).groupBy("id").agg(F.sum("u").alias("u")), counts
+    return by_cell.unionByName(by_point).groupBy("id").agg((F.sum("u") / F.lit(width)).alias("u")), counts
 
 
 def line_multipole(points: DataFrame, low: float, width: float, leaf: int | None = None, order: int = 7) -> DataFrame:

@@ -4,31 +4,41 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Own cell, and half of the neighbours: each pair of neighbouring cells comes up once.
 HALF_STENCIL = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 FULL_STENCIL = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+#: Halvings of the box after which cells aren't halved again.
+DEEPEST = 50
 
 
 def offsets(stencil) -> Column:
     return F.explode(F.array(*[F.struct(*[F.lit(d).cast("long").alias(n) for d, n in zip(o, ("dx", "dy", "dz"), strict=False)]) for o in stencil])).alias("o")
 
 
-def with_cells(points: DataFrame, axes: list[str], cells: int) -> DataFrame:
-    return points.withColumns({f"c{a}": F.floor(F.col(a) * cells).cast("long") for a in axes})
+def span(points: DataFrame, axes: list[str]) -> tuple[dict[str, float], float]:
+    """(low corner, largest extent) of the points; zeros where there are none."""
+    box = points.agg(*[f(a).cast("double").alias(f"{n}{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    return {a: box[f"lo{a}"] or 0.0 for a in axes}, max((box[f"hi{a}"] or 0.0) - (box[f"lo{a}"] or 0.0) for a in axes)
 
 
 def grid_pairs(left: DataFrame, right: DataFrame, radius: float, stencil=None) -> DataFrame:
     """Pairs (i, xi, yi, j, xj, yj, r2) of points (id, x, y) closer than radius (strictly), by an equi-join on cells.
 
-    Cells are no smaller than the radius; the left side is sent to its own and the neighbouring cells.
+    Points may lie anywhere, and the radius may have any size: cells are counted from the low corner of the right side, and
+    are larger than the radius by more than what rounding can move a point.  The left side is sent to its own and the
+    neighbouring cells.  Points with a null coordinate meet nothing.
     """
-    cells = max(1, math.floor(1 / radius))
-    a = with_cells(left, ["x", "y"], cells).select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy", offsets(stencil or FULL_STENCIL))
+    low, extent = span(right, ["x", "y"])
+    size = radius * (1 + 1e-9) + 1e-15 * extent if radius > 0 else 1.0
+    cells = {f"c{a}": F.floor((F.col(a) - F.lit(low[a])) / F.lit(float(size))).cast("long") for a in ("x", "y")}
+    a = left.withColumns(cells).select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy", offsets(stencil or FULL_STENCIL))
     a = a.select("i", "xi", "yi", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("own"))
-    b = with_cells(right, ["x", "y"], cells).select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
+    b = right.withColumns(cells).select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy")
     dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
     pairs = a.join(b, ["cx", "cy"]).withColumn("r2", dx * dx + dy * dy).where(F.col("r2") < radius * radius)
     return pairs.drop("cx", "cy")
@@ -39,22 +49,62 @@ def radius_count(points: DataFrame, radius: float) -> DataFrame:
     return grid_pairs(points, points, radius).groupBy(F.col("i").alias("id")).agg(F.count("*").alias("n"))
 
 
-def closest_pairs(points: DataFrame, k: int = 1000, reach: float = 27.0) -> DataFrame:
-    """(rank, i, j, dist2) of the k closest pairs, i < j.
+def first_of_each_place(points: DataFrame, count: int) -> DataFrame:
+    """The points of the ``count`` least ids of each place (x, y): first within salted parts of a place, then of what is left."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = Window.partitionBy("x", "y", "salt").orderBy("id")
+    few = points.withColumn("salt", salt).withColumn("nth", F.row_number().over(parts)).where(f"nth <= {count}").drop("nth", "salt")
+    return few.withColumn("nth", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(f"nth <= {count}")
+
+
+def close_radius(points: DataFrame, k: int, reach: float | None = None) -> float:
+    """A radius that holds k pairs of points at least, or all: the diagonal of the smallest cells that hold so many pairs.
 
-    The radius reach / N is expected to hold more than k pairs of uniform points; it doubles until it does.
+    Cells of the data's box are halved, or doubled, from the size that suits evenly spread points (or from reach / N); each
+    step counts points by cell.  As the next smaller cells hold fewer than k pairs, no cell has many points, however they crowd.
     """
+    low, extent = span(points, ["x", "y"])
     n = points.count()
-    radius, most = reach / max(n, 1), math.sqrt(2) + 1e-9
-    while True:
-        radius = min(radius, most)
-        pairs = grid_pairs(points, points, radius, HALF_STENCIL).where("not own or i < j")
+    if not extent or n < 2:
+        return 1.0
+
+    def pairs(level: int) -> int:
+        cells = [F.floor((F.col(a) - F.lit(low[a])) / F.lit(extent) * F.lit(2.0**level)).alias(a) for a in ("x", "y")]
+        held = points.groupBy(*cells).agg(F.count("*").cast("decimal(38,0)").alias("n"))
+        return int(held.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0)
+
+    first = math.log2(extent * n / reach) if reach else math.log(max(2.0, n * (n - 1) / (2 * k)), 4)
+    holds, lacks, level, step = 0, DEEPEST + 1, min(DEEPEST, max(1, round(first))), 1
+    while lacks - holds > 1:
+        if pairs(level) >= k:
+            holds, level = level, level + step
+        else:
+            lacks, level = level, level - step
+        step *= 2
+        level = level if holds < level < lacks else (holds + lacks) // 2
+    return extent * 2.0**-holds * math.sqrt(2) * (1 + 1e-9) if holds else extent * 2
+
+
+def closest_pairs(points: DataFrame, k: int = 1000, reach: float | None = None) -> DataFrame:
+    """(rank, i, j, dist2) of the k closest pairs of points (id, x, y), i < j; of equal distances the least ids first.
+
+    Points may lie anywhere and crowd anyhow.  Where places that several points share have k pairs already, those are the
+    answer, and each place takes part with its first k + 1 points; else every place has few.  Each task keeps k pairs.
+    Points with a null coordinate are in no pair; ids are unique.
+    """
+    points = cut(points.select("id", "x", "y").where("x is not null and y is not null"))
+    few = first_of_each_place(points, k + 1)
+    shared = few.groupBy("x", "y").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).where("n > 1")  # k + 1 ids at most
+    shared = cut(shared)
+    coincident = int(shared.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0)
+    if coincident >= k:
+        first = shared.orderBy(F.col("ids")[0], F.col("ids")[1]).limit(k)  # a place beyond has k pairs before it
+        leads = first.select("ids", F.posexplode(F.expr(f"slice(ids, 1, least(size(ids) - 1, {k}))")).alias("at", "i"))
+        pairs = leads.select("i", F.explode(F.expr(f"slice(ids, at + 2, {k})")).alias("j"), F.lit(0.0).alias("dist2"))
+    else:
+        pairs = grid_pairs(points, points, close_radius(points, k, reach), HALF_STENCIL).where("not own or i < j")
         pairs = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("r2").alias("dist2"))
-        best = pairs.orderBy("dist2", "i", "j").limit(k)
-        if radius >= most or best.count() >= min(k, n * (n - 1) // 2):
-            break
-        radius *= 2
-    rows = best.agg(F.array_sort(F.collect_list(F.struct("dist2", "i", "j"))).alias("all"))  # k rows
+    rows = pairs.orderBy("dist2", "i", "j").limit(k).agg(F.array_sort(F.collect_list(F.struct("dist2", "i", "j"))).alias("all"))  # k rows
     return rows.select(F.posexplode("all").alias("rank", "p")).select((F.col("rank") + 1).alias("rank"), "p.i", "p.j", "p.dist2")
 
 
@@ -103,6 +153,15 @@ def cube_pairs(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str
     return a.join(b, [f"c{x}" for x in axes]).withColumn("r2", distance2(list(axes))).where(F.col("r2") < radius * radius).select("i", "j", "r2")
 
 
+def unit_box(points: DataFrame, axes: list[str]) -> tuple[DataFrame, float]:
+    """(points, width): points of the unit box as they are (width 1), others moved and shrunk into it, alike along all axes."""
+    low, extent = span(points, axes)
+    if all(lo >= 0 for lo in low.values()) and not points.where(" or ".join(f"{a} > 1" for a in axes)).limit(1).count():
+        return points, 1.0
+    width = extent or 1.0
+    return points.withColumns({a: (F.col(a) - F.lit(low[a])) / F.lit(width) for a in axes}), width
+
+
 def boxed_cells(points: DataFrame, axes: list[str], cells: int) -> DataFrame:
     """points with c<axis>: the cell among ``cells`` along each axis of the cube of half width r0 about the data's centre."""
     box = bounding_box(points, axes).first()
