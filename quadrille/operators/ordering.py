@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .lineage import cut as cut_lineage
 
+#: Sampled keys for each range; quantiles that split the values around a position, their accuracy, and values that are few.
+OVERSAMPLE, SLICES, ACCURACY, FEW = 64, 256, 4096, 4096
+
 
 def search(count: int, passed) -> Column:
     """How many of ``count`` sorted bounds lie before a row, by a binary search: passed(k) tells whether bound k does."""
@@ -39,22 +42,52 @@ def beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other.withColumnsRenamed(dict(zip(keys, own, strict=True))), same(keys, own)).drop(*own)
 
 
+def with_key_range(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """df with ``__range``: about equal parts of the rows in the order of all keys together, of any types that have an order.
+
+    Bounds are keys of a sample, OVERSAMPLE for each range.  Where one key as a whole fills ranges by itself, its rows are
+    dealt to them at random (in what is written down first).  Nulls come first.
+    """
+    buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = OVERSAMPLE * buckets / max(df.count(), 1)
+
+    def bounds(rows: DataFrame, by: list[str]) -> list:
+        drawn = rows.select(*[F.col(f"`{k}`") for k in by])
+        drawn = drawn.sample(share, 17) if share < 1 else drawn
+        each = drawn.repartition(1).sortWithinPartitions(*[F.col(f"`{k}`") for k in by]).collect()  # some OVERSAMPLE * buckets keys
+        return [each[len(each) * k // buckets] for k in range(1, buckets) if len(each) * k // buckets]
+
+    at = bounds(df, keys)
+    if len({tuple(b) for b in at}) < len(at) - 1 and share < 1:
+        df, keys = cut_lineage(df.withColumn("__deal", F.rand(23))), [*keys, "__deal"]
+        at = bounds(df, keys)
+    types = [df.schema[k].dataType for k in keys]
+    told = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types, strict=True))]) for b in at])
+    own = F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])
+    return df.withColumn("__range", search(len(at), lambda k: F.get(told, k) < own)).drop("__deal")
+
+
 def ranked(df: DataFrame, lead: Column, ties: list[str], to: str = "pos", buckets: int | None = None, by: str | None = None) -> DataFrame:
-    """df with ``to``: its 0-based position by (lead, ties); with ``by``, a column of few values, by (by, lead, ties).
+    """df with ``to``: its 0-based position by (lead, ties); with ``by``, a column, by (by, lead, ties).
 
-    Rows are dealt to ranges of lead by approximate quantiles of its double (any bounds give the same positions), numbered
-    within their range by lead itself, and moved up by the rows of the ranges below.  Many equal leads share a range.  Nulls
-    come first.
+    Rows are dealt to ranges of the whole key (any bounds give the same positions), numbered within their range, and moved up
+    by the rows of the ranges below.  So neither a frequent lead nor a frequent key fills one task.  Nulls come first.
     """
-    led = df.withColumn("__lead", lead)
-    led = with_range(led, F.col("__lead").cast("double"), buckets)
-    group = [by, "__range"] if by else ["__range"]
-    sizes = led.groupBy(*group).count().orderBy(*group).collect()  # a row for each range, of each value
+    keys = [*([by] if by else []), "__lead", *ties]
+    led = with_key_range(df.withColumn("__lead", lead), keys, buckets)
+    sizes = led.groupBy("__range").count().orderBy("__range").collect()  # a row for each range
     before = [0, *accumulate(r["count"] for r in sizes)]
-    starts = df.sparkSession.createDataFrame([(*[r[c] for c in group], n) for r, n in zip(sizes, before, strict=False)], led.select(*group, F.lit(0).cast("long").alias("__start")).schema)
-    within = F.row_number().over(Window.partitionBy(*group).orderBy("__lead", *ties)) - 1
-    at = beside(led.withColumn("__within", within), F.broadcast(starts), group)
-    return at.select(*df.columns, (F.col("__within") + F.col("__start")).alias(to))
+    starts = df.sparkSession.createDataFrame([(r["__range"], n) for r, n in zip(sizes, before, strict=False)], "__range int, __start long")
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
+    at = led.withColumn("__within", within).join(F.broadcast(starts), "__range")  # a row for each range
+    return at.select(*df.columns, (F.col("__within") + F.col("__start")).cast("long").alias(to))
+
+
+def in_groups(df: DataFrame, by: str, order: list[str], to: str = "pos") -> DataFrame:
+    """df with ``to``, its 0-based position in its group by order, and ``__n``, the rows of the group.  A large group is many tasks."""
+    placed = cut_lineage(ranked(df, F.col(order[0]), order[1:], "__at", by=by))
+    groups = placed.groupBy(by).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    return beside(placed, groups, [by]).withColumn(to, F.col("__at") - F.col("__first")).drop("__at", "__first")
 
 
 def bucket_offsets(df: DataFrame, key: str, group: int = 4096) -> DataFrame:
@@ -68,12 +101,50 @@ def bucket_offsets(df: DataFrame, key: str, group: int = 4096) -> DataFrame:
 
 
 def median(df: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, pos, median): of each of a few groups the value at position n div 2 in its order."""
-    sizes = df.groupBy(by).count().orderBy(by).collect()  # a row for each group
-    at = {up + r["count"] // 2: r["count"] // 2 for r, up in zip(sizes, [0, *accumulate(r["count"] for r in sizes)], strict=False)}
-    placed = ranked(df.select(by, value), F.col(value), [], "__pos", by=by).where(F.col("__pos").isin(list(at)))
-    own = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in at.items() for x in kv]), F.col("__pos")) if at else F.lit(0).cast("long")
-    return placed.select(by, own.alias("pos"), F.col(value).alias("median"))
+    """(by, pos, median): of each of a few groups the value at position n div 2 in its order, nulls first.
+
+    Nothing is sorted: each pass takes two quantiles around the position as bounds, and counts what lies below and between
+    them, until few values are between, or only one.
+    """
+    rows = df.select(F.col(by).alias("__by"), F.col(value).alias("__v"))
+    state = rows.groupBy("__by").agg(F.count("*").alias("n"), F.count("__v").alias("known"))
+    state = state.select("__by", F.expr("n div 2").alias("pos"), F.expr("n div 2 - (n - known)").alias("at"), F.col("known").alias("held"), F.lit(0.0).alias("width"))
+    kind = rows.schema["__v"].dataType
+    state = cut_lineage(state.withColumn("lo", F.lit(None).cast(kind)).withColumn("hi", F.lit(None).cast(kind)).withColumn("done", F.col("at") < 0))
+
+    def between(live: DataFrame) -> DataFrame:
+        told = live.select("__by", "lo", "hi", "at", "held", "width")
+        inside = (F.col("lo").isNull() | (F.col("__v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("__v") < F.col("hi")))
+        return beside(rows.where("__v is not null"), F.broadcast(told), ["__by"]).where(inside)  # a few groups
+
+    while True:
+        live = state.where(f"not done and held > {FEW}")
+        if live.isEmpty():
+            break
+        share = F.col("at") / F.col("held")
+        # bounds by quantiles of the values between the last ones; wider if the position was missed
+        near = between(live).groupBy("__by").agg(F.percentile_approx("__v", [k / SLICES for k in range(SLICES + 1)], ACCURACY).alias("q"))
+        slot = F.least(F.floor(share * SLICES), F.lit(SLICES - 1)).cast("int")
+        near = beside(live, near, ["__by"])
+        low, high = F.greatest(slot - F.col("width").cast("int"), F.lit(0)), F.least(slot + 1 + F.col("width").cast("int"), F.lit(SLICES))
+        tried = near.select("__by", "pos", "at", "held", "width", "lo", "hi", F.get("q", low).alias("new_lo"), F.get("q", high).alias("new_hi"))
+        counted = beside(between(live), F.broadcast(tried.select("__by", "new_lo", "new_hi")), ["__by"]).groupBy("__by")
+        v, lo, hi = F.col("__v"), F.col("new_lo"), F.col("new_hi")
+        sizes = {"below": v < lo, "on_lo": v == lo, "between": (v > lo) & (v < hi), "on_hi": (v == hi) & (hi > lo)}
+        counted = cut_lineage(counted.agg(*[F.count_if(c).alias(n) for n, c in sizes.items()]))
+        both = beside(tried, counted, ["__by"]).withColumn("up", F.col("at") - F.col("below"))
+        hit = F.expr("up >= 0 and up < on_lo + between + on_hi")
+        found = F.when(hit & F.expr("up < on_lo"), F.col("new_lo")).when(hit & F.expr("up >= on_lo + between"), F.col("new_hi"))
+        both = both.withColumn("found", found).withColumn("hit", hit)
+        moved = both.select(  # a value that is met ends the search; else bounds are left out, so that every pass has fewer values
+            "__by", "pos", F.expr("if(found is not null, 0, if(hit, up - on_lo, at))").alias("at"), F.expr("if(hit, between, held)").alias("held"), F.expr("if(hit, 0D, 2 * width + 1)").alias("width"),
+            F.expr("coalesce(found, if(hit, new_lo, lo))").alias("lo"), F.expr("if(hit, new_hi, hi)").alias("hi"), F.expr("found is not null").alias("done"),
+        )
+        state = cut_lineage(state.where(f"done or held <= {FEW}").unionByName(moved))
+    few = between(state.where("not done")).groupBy("__by").agg(F.array_sort(F.collect_list("__v")).alias("few"))  # FEW at most
+    found = F.when(F.col("at") < 0, F.lit(None)).when(F.col("done"), F.col("lo")).otherwise(F.get("few", F.col("at").cast("int")))
+    told = state.select("__by", "pos", "at", "done", "lo").withColumnRenamed("__by", "__k").join(few, F.col("__k").eqNullSafe(F.col("__by")), "left")
+    return told.select(F.col("__k").alias(by), "pos", found.cast(kind).alias("median"))
 
 
 def runs(df: DataFrame, by: str, order: str, key: str) -> DataFrame:
@@ -157,6 +228,51 @@ def weighted_bisect(df: DataFrame, axes: list[str], ranks: int, ident: str = "id
     return parts
 
 
+def refined_bisect(df: DataFrame, axes: list[str], ranks: int, weight: str | None = None, bins: int = 16, refinements: int = 3) -> tuple[DataFrame, list[dict]]:
+    """(df with ``part``, planes): halved along the longest axis in proportion to the ranks, by weight; no row is ranked.
+
+    The plane of a part is narrowed by ``refinements`` histograms of ``bins`` bins, one aggregation each for all parts of a
+    level; what the last bin holds is what a part can be off.  Rows move by comparing with a plane, without a shuffle.  Rows
+    with a null or odd coordinate stay below.  The driver holds ranks times bins numbers.
+    """
+    parts, planes, live = df.withColumn("part", F.lit(0)), [], {0: ranks}
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+
+    def of(table: dict[int, object], none) -> Column:
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), F.col("part")), F.lit(none)) if table else F.lit(none)
+
+    while any(r > 1 for r in live.values()):
+        boxes = parts.groupBy("part").agg(F.sum(w).alias("w"), *[f(a).cast("double").alias(f"{n}_{a}") for a in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]).collect()  # a row for each part
+        axis, low, high, goal, last = {}, {}, {}, {}, {}
+        for r in boxes:
+            if live[r.part] > 1 and all(r[f"{n}_{a}"] is not None for n in ("lo", "hi") for a in axes):
+                lengths = [r[f"hi_{a}"] - r[f"lo_{a}"] for a in axes]
+                k = lengths.index(max(lengths))
+                axis[r.part], low[r.part], high[r.part] = k, r[f"lo_{axes[k]}"], r[f"hi_{axes[k]}"]
+                goal[r.part] = r.w * (live[r.part] // 2) / live[r.part]
+        value = F.coalesce(*[F.when(of(axis, -1) == k, F.col(a).cast("double")) for k, a in enumerate(axes)])
+        for _ in range(refinements):
+            here = parts.withColumn("__v", value).where("__v is not null").where((F.col("__v") >= of(low, 0.0)) & (F.col("__v") <= of(high, 0.0)))
+            width = F.nullif(of(high, 0.0) - of(low, 0.0), F.lit(0.0))
+            at = F.least(F.coalesce(F.floor((F.col("__v") - of(low, 0.0)) / width * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+            held: dict[int, list[float]] = {p: [0.0] * bins for p in axis}
+            for r in here.groupBy("part", at.alias("bin")).agg(F.sum(w).alias("w")).collect():  # bins for each part
+                held[r.part][r.bin] = r.w
+            for p, weights in held.items():
+                wide, up = (high[p] - low[p]) / bins, 0
+                while up < bins - 1 and weights[up] <= goal[p]:
+                    goal[p] -= weights[up]
+                    up += 1
+                low[p], high[p], last[p] = low[p] + up * wide, low[p] + (up + 1) * wide, weights[up]
+        split = {p: live[p] // 2 for p in axis}
+        plane = {p: low[p] if goal[p] * 2 < last[p] or not goal[p] else high[p] for p in axis}  # the nearer edge
+        planes += [{"part": p, "axis": axes[axis[p]], "plane": plane[p], "ranks": live[p]} for p in axis]
+        upper = F.coalesce(value >= of(plane, 0.0), F.lit(False))
+        parts = parts.withColumn("part", F.when(upper, F.col("part") + of(split, 0)).otherwise(F.col("part")))
+        live = {p: n for q, r in live.items() for p, n in (((q, r // 2), (q + r // 2, r - r // 2)) if r > 1 else ((q, r),))}
+    return parts, planes
+
+
 def dense_keys(df: DataFrame, key: str, group: int = 4096) -> DataFrame:
     """(key, index): the distinct integer keys numbered from 0 in order, in two levels."""
     distinct = df.select(key).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import huber
 from .lineage import cut
+from .ordering import in_groups, with_key_range
 
 #: Assumed throughput of a device over a 30-day month, and the cost of the largest run (fixed values).
 FLOP_PER_MONTH = 430 * 10**12 * 3600 * 24 * 30
@@ -19,14 +20,12 @@ def interpolate(queries: DataFrame, curve: DataFrame, by: list[str], ranges: int
     """queries (by, x) with y of the piecewise-linear curve (by, x, y), constant beyond its ends.
 
     Of points of the curve that share x the largest y counts.  A query without any curve gets null.  Windows run within
-    equal ranges of x, so that one long curve is many tasks; what a range needs of those around it is a row for each.
+    ranges of x that hold equally many rows, so that one long curve is many tasks, however its x are spread; what a range
+    needs of those around it is a row for each.
     """
-    ranges = ranges or 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = curve.groupBy(*by, "x").agg(F.max("y").alias("y"))
-    ends = known.agg(F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi")).first()
     line = known.select(*by, "x", "y", F.lit(0).alias("q")).unionByName(queries.select(*by, "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("q")))
-    wide = ((ends.hi - ends.lo) / ranges if ends.lo is not None else 0) or 1.0
-    line = line.withColumn("__range", F.greatest(F.lit(0), F.least(F.lit(ranges), F.floor((F.col("x") - F.lit(ends.lo or 0.0)) / F.lit(wide)).cast("long"))))
+    line = with_key_range(line, ["x"], ranges)
     line = line.withColumn("__p", F.when(F.col("q") == 0, F.struct("x", "y")))
     back = Window.partitionBy(*by, "__range").orderBy("x", "q").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*by, "__range").orderBy(F.desc("x"), "q").rowsBetween(Window.unboundedPreceding, 0)
@@ -65,10 +64,17 @@ def matching(runs: DataFrame, filters: list[dict]) -> DataFrame:
 
 
 def strided(history: DataFrame, by: str, step: str, samples: int) -> DataFrame:
-    """At most about ``samples`` evenly spaced rows of each run."""
-    w = Window.partitionBy(by)
-    n, r = F.count("*").over(w), F.row_number().over(w.orderBy(step)) - 1
-    return history.withColumn("__n", n).withColumn("__r", r).where(F.expr(f"__r % cast(ceil(__n / {samples}D) as long) = 0")).drop("__n", "__r")
+    """At most about ``samples`` evenly spaced rows of each run; a long run is many tasks."""
+    placed = in_groups(history, by, [step], "__r")
+    return placed.where(F.expr(f"__r % cast(ceil(__n / {samples}D) as long) = 0")).select(*history.columns)
+
+
+def indexed(history: DataFrame, by: str, step: str, value: str) -> DataFrame:
+    """(by, step, before, step of the value, idx): each row with its position in its run and the value before it."""
+    placed = cut(in_groups(history.select(by, step, value), by, [step], "idx"))
+    last = placed.select(F.col(by).alias("__by"), (F.col("idx") + 1).alias("__idx"), F.col(value).alias("before"))
+    both = placed.join(last, F.col(by).eqNullSafe(F.col("__by")) & (F.col("idx") == F.col("__idx")), "left")
+    return both.select(by, step, "before", (F.col(value) - F.col("before")).alias("step"), "idx")
 
 
 def iso_budget(budgets: DataFrame, sizes: DataFrame, a: float, b: float, e: float, alpha: float, beta: float) -> DataFrame:

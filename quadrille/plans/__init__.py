@@ -1,3 +1,3 @@
 
 
-from . import catalogue, checks, fields  # noqa: F401
+from . import catalogue, checks, fields, numeric  # noqa: F401

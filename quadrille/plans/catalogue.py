@@ -6,7 +6,7 @@ express; the others are tested against plain Python and by error bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -570,6 +570,4 @@ def ring_partner(spark, d):
 
 @query("SELECT event_type, event_id, lag(value) OVER w AS before, value - lag(value) OVER w AS step, row_number() OVER w - 1 AS idx FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
 def indexed_history(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    before = F.lag("value").over(w)
-    return P.read(spark, d, "events").select("event_type", "event_id", before.alias("before"), (F.col("value") - before).alias("step"), (F.row_number().over(w) - 1).cast("long").alias("idx"))
+    return runs.indexed(P.read(spark, d, "events"), "event_type", "event_id", "value")

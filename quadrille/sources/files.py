@@ -37,16 +37,8 @@ def read_tsv(spark: SparkSession, path: str, columns: int) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with ``index``: their position by an explicit order, the first column of which leads (numbers or dates)."""
-    first = F.col(order[0])
-    lead = first.cast("timestamp").cast("double") if dict(rows.dtypes)[order[0]] in ("date", "timestamp", "timestamp_ntz") else first
-    return ranked(rows, lead, list(order), "index") if dict(rows.dtypes)[order[0]] != "string" else _numbered_strings(rows, list(order))
-
-
-def _numbered_strings(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The same by a string: ranges by its first six bytes, which order it roughly."""
-    rough = F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(order[0]), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
-    return ranked(rows, rough, order, "index")
+    """rows with ``index``: their position by an explicit order of columns of any types."""
+    return ranked(rows, F.col(order[0]), list(order[1:]), "index")
 
 
 def read_numbers(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
