@@ -476,15 +476,17 @@ def bandwidth_stats(spark, d):
     return models.bandwidth(trips).select("size", *[F.round(c, 3).alias(c) for c in ("worst", "mean", "best")])
 
 
-GRID = "b AS (SELECT unnest([1e3, 2e3, 5e3, 1e4, 2e4]) AS gpu_months), s AS (SELECT unnest([1.3e0, 7e0, 13e0, 70e0, 172e0, 460e0, 1110e0]) AS params)"
+GRID = "b AS (SELECT DISTINCT p_size * 400e0 AS gpu_months FROM part), s AS (SELECT DISTINCT n_nationkey * 46e0 + 1.3e0 AS params FROM nation)"
 
 
 @query(f"""WITH {GRID}, t AS (SELECT gpu_months, params, gpu_months * 1114560000000000000000e0 / (1114560000000000000000e0 * 2600 / (172e9 * 2e12)) / params / 1e18 AS tokens FROM b, s)
 SELECT gpu_months, params, round(tokens, 6) AS tokens, round(1.69e0 + 406.4e0 / power(params * 1e9, 0.34e0) + 410.7e0 / power(tokens * 1e9, 0.28e0), 6) AS loss,
 CASE WHEN tokens > 2e6 THEN CAST(CAST(floor(tokens / 1e6) AS BIGINT) AS VARCHAR) || 'Q' WHEN tokens > 1e6 THEN printf('%.1fQ', tokens / 1e6) WHEN tokens > 2e3 THEN CAST(CAST(floor(tokens / 1e3) AS BIGINT) AS VARCHAR) || 'T' WHEN tokens > 1e3 THEN printf('%.1fT', tokens / 1e3) ELSE CAST(CAST(floor(tokens) AS BIGINT) AS VARCHAR) || 'B' END AS label FROM t""")
 def token_budget_grid(spark, d):
-    one = lambda values, name: spark.range(1).select(F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name))
-    grid = runs.iso_budget(one((1e3, 2e3, 5e3, 1e4, 2e4), "gpu_months"), one((1.3, 7, 13, 70, 172, 460, 1110), "params"), 406.4, 410.7, 1.69, 0.34, 0.28)
+    """Budgets by the sizes of parts, models by nation."""
+    budgets = part(spark, d).select((F.col("p_size") * 400.0).alias("gpu_months")).distinct()
+    sizes = P.read(spark, d, "nation").select((F.col("n_nationkey") * 46.0 + 1.3).alias("params")).distinct()
+    grid = runs.iso_budget(budgets, sizes, 406.4, 410.7, 1.69, 0.34, 0.28)
     return grid.select("gpu_months", "params", F.round("tokens", 6).alias("tokens"), F.round("loss", 6).alias("loss"), "label")
 
 
@@ -530,10 +532,13 @@ def parameter_model(spark, d):
     return models.parameter_counts(spark)
 
 
-@query("SELECT * FROM (VALUES ('tree', 2.3e8), ('P2M', 1.0e8), ('M2M', 3.0e9), ('M2L', 2.8e11), ('L2L', 3.0e9), ('L2P', 1.0e8), ('P2P', 5.4e8), ('total', 2.9e11)) AS t(step, flops)")
+@query("""WITH c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem), f AS (SELECT round(200 * n * ln(n)) AS tree, 10 * n * 100 AS p2m, 30 * (n / 10) * 10000 AS m2m, 189e0 * 150 * (n / 10) * 1000 AS m2l, 20e0 * 27 * n * 10 AS p2p FROM c),
+s AS (SELECT unnest(['tree', 'P2M', 'M2M', 'M2L', 'L2L', 'L2P', 'P2P', 'total']) AS step, unnest([tree, p2m, m2m, m2l, m2m, p2m, p2p, tree + 2 * p2m + 2 * m2m + m2l + p2p]) AS v FROM f)
+SELECT step, round(round(v / pow(10e0, floor(log10(v)) - 1)) * pow(10e0, floor(log10(v)) - 1), 0) AS flops FROM s""")
 def flop_model(spark, d):
+    """Operations of the tree method for as many points as order lines."""
     two = F.round(F.col("flops") / F.pow(F.lit(10.0), F.floor(F.log10("flops")) - 1)) * F.pow(F.lit(10.0), F.floor(F.log10("flops")) - 1)
-    return models.operation_counts(spark, 100000, 10, 10).select("step", F.round(two, 0).alias("flops"))
+    return models.operation_counts(spark, P.read(spark, d, "lineitem").count(), 10, 10).select("step", F.round(two, 0).alias("flops"))
 
 
 @query("""WITH a AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)

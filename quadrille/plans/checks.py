@@ -74,9 +74,11 @@ def answers_override(spark, d):
     return files.override(nation, answers, "n_nationkey", "n_name").select("n_nationkey", "n_name")
 
 
-@query("SELECT 'gpt' AS name, CAST(24 AS BIGINT) AS layers, 0.0003e0 AS lr, TRUE AS mixed")
+@query("SELECT min(p_brand) AS name, count(*) AS layers, 1 / max(p_retailprice) AS lr, count(*) > 10 AS mixed FROM part")
 def config_row(spark, d):
-    return files.config_row(spark, {"model": {"name": "gpt", "layers": 24}, "optim": {"lr": 0.0003}, "mixed": True}).select("model.name", "model.layers", "optim.lr", "mixed")
+    """A configuration of what the parts hold."""
+    of = part(spark, d).agg(F.min("p_brand").alias("name"), F.count("*").alias("layers"), (1 / F.max("p_retailprice")).alias("lr")).first()
+    return files.config_row(spark, {"model": {"name": of["name"], "layers": of.layers}, "optim": {"lr": of.lr}, "mixed": of.layers > 10}).select("model.name", "model.layers", "optim.lr", "mixed")
 
 
 @query(f"WITH {SQ}, m AS (SELECT id % 5 AS k, avg(x) AS x, avg(y) AS y FROM sq GROUP BY 1) SELECT k, 0 AS ord, CAST(-1 AS BIGINT) AS id, round(x, 9) AS x, round(y, 9) AS y FROM m UNION ALL SELECT id % 5, 1, id, round(x, 9), round(y, 9) FROM sq")
@@ -98,44 +100,55 @@ def closest_report(spark, d):
 # --- generators ---------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE s(k, x) AS (SELECT 0, CAST(65536 + 13070 AS HUGEINT) UNION ALL SELECT k + 1, (x * 25214903917 + 11) % 281474976710656 FROM s WHERE k < 2000), v AS (SELECT (k - 1) // 2 AS id, (k - 1) % 2 AS c, CAST(x AS DOUBLE) / 281474976710656e0 AS u FROM s WHERE k > 0)
+@query("""WITH RECURSIVE s(k, x) AS (SELECT 0, CAST(65536 + 13070 AS HUGEINT) UNION ALL SELECT k + 1, (x * 25214903917 + 11) % 281474976710656 FROM s, (SELECT 2 * count(*) AS m FROM part) WHERE k < m), v AS (SELECT (k - 1) // 2 AS id, (k - 1) % 2 AS c, CAST(x AS DOUBLE) / 281474976710656e0 AS u FROM s WHERE k > 0)
 SELECT CAST(id AS BIGINT) AS id, max(u) FILTER (c = 0) AS x, max(u) FILTER (c = 1) AS y FROM v GROUP BY id""")
 def drand48_points(spark, d):
-    return generators.drand48(spark, 1000, ["x", "y"], 1)
+    """A point of the generator for each part."""
+    parts = part(spark, d).select(F.col("p_partkey").alias("id"))
+    return parts.join(generators.drand48(spark, parts.count(), ["x", "y"], 1), "id")
 
 
-@query("SELECT k AS id, (k + 0.5e0) * (2 * pi() / 1000) AS x, 1e0 AS q FROM (SELECT unnest(range(0, 1000)) AS k)")
+@query("SELECT p_partkey AS id, (p_partkey + 0.5e0) * (2 * pi() / (SELECT count(*) FROM part)) AS x, p_retailprice AS q FROM part")
 def lattice_charges(spark, d):
-    return generators.lattice(spark, 1000)
+    """The parts on a lattice, with their prices as charges."""
+    parts = part(spark, d).select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
+    return parts.join(generators.lattice(spark, parts.count()), "id").select("id", "x", (F.col("q") * F.col("price")).alias("q"))
 
 
-@query('SELECT k AS "key", 10 AS n FROM (SELECT unnest(range(0, 500)) AS k)')
+@query('SELECT p_partkey // 10 AS "key", CAST(count(*) AS INTEGER) AS n FROM part GROUP BY 1')
 def repeated_keys(spark, d):
-    return generators.shuffled_keys(spark, 5000).groupBy("key").agg(F.count("*").cast("int").alias("n"))
+    """As many keys as parts, ten of each."""
+    return generators.shuffled_keys(spark, part(spark, d).count()).groupBy("key").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT k AS id, 10 * (k // 4) + k % 4 AS value FROM (SELECT unnest(range(0, 28)) AS k)")
+@query("SELECT p_partkey AS id, p_name AS name, 10 * (p_partkey // 4) + p_partkey % 4 AS value FROM part WHERE p_partkey < (SELECT count(*) // 4 * 4 FROM part)")
 def indexed_values(spark, d):
-    return generators.indexed_fill(spark, 7, 4)
+    """Values by index for the parts, in groups of four."""
+    parts = part(spark, d).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return parts.join(generators.indexed_fill(spark, parts.count() // 4, 4), "id")
 
 
-@query("SELECT k AS id, round(ln(exp(k * pi())), 5) AS exponent FROM (SELECT unnest(range(0, 28)) AS k)")
+@query("SELECT p_partkey AS id, round(ln(exp(p_partkey % 28 * pi())), 5) AS exponent FROM part")
 def exponential_values(spark, d):
-    return generators.exponential_fill(spark, 28).select("id", F.round(F.log(F.col("value").cast("double")), 5).alias("exponent"))
+    """The exponential of each part's index, over the range of a 4-byte float."""
+    parts = part(spark, d).select("p_partkey", (F.col("p_partkey") % 28).alias("id"))
+    return parts.join(generators.exponential_fill(spark, 28), "id").select(F.col("p_partkey").alias("id"), F.round(F.log(F.col("value").cast("double")), 5).alias("exponent"))
 
 
-@query("SELECT 1000 AS n, TRUE AS inside, TRUE AS flat")
+@query("SELECT CAST(count(*) AS INTEGER) AS n, TRUE AS inside, TRUE AS flat FROM part")
 def disc_points(spark, d):
-    return generators.disc(spark, 1000, 2.0).agg(F.count("*").cast("int").alias("n"), F.bool_and(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 4.0).alias("inside"), F.bool_and(F.col("z") == 0).alias("flat"))
+    """A point of the disc for each part."""
+    return generators.disc(spark, part(spark, d).count(), 2.0).agg(F.count("*").cast("int").alias("n"), F.bool_and(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 4.0).alias("inside"), F.bool_and(F.col("z") == 0).alias("flat"))
 
 
-@query("SELECT CAST(b AS BIGINT) AS block, 20 AS n, TRUE AS inside FROM (SELECT unnest(range(0, 48)) AS b)")
+@query("WITH s AS (SELECT greatest(1, count(*) // 48) AS size FROM part) SELECT least(p_partkey // size, 47) AS block, CAST(count(*) AS INTEGER) AS n, TRUE AS inside FROM part, s GROUP BY 1")
 def seeded_blocks(spark, d):
-    """48 streams of 20 points; every one the same when drawn again."""
-    drawn = generators.block_streams(spark, 960)
-    again = generators.block_streams(spark, 960).select("id", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    """A point of 48 streams for each part; every one the same when drawn again."""
+    n = part(spark, d).count()
+    drawn = generators.block_streams(spark, n)
+    again = generators.block_streams(spark, n).select("id", F.col("x").alias("x2"), F.col("y").alias("y2"))
     inside = (F.col("x") >= 0) & (F.col("x") < 1) & (F.col("y") >= 0) & (F.col("y") < 1) & (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2"))
-    return drawn.join(again, "id").groupBy(F.expr("id div 20").alias("block")).agg(F.count("*").cast("int").alias("n"), F.bool_and(inside).alias("inside"))
+    return drawn.join(again, "id").groupBy(F.expr(f"least(id div {max(1, n // 48)}, 47)").alias("block")).agg(F.count("*").cast("int").alias("n"), F.bool_and(inside).alias("inside"))
 
 
 # --- points and keys ----------------------------------------------------------------------------------------------------
@@ -292,7 +305,7 @@ def order_free_checksum(spark, d):
 # --- kernels in numpy ---------------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey AS id, round(sqrt(pi() / (2 * p_size)) * exp(-p_size) * 1e9, 3) AS k, round(sqrt(2 / (pi() * (p_size % 7 + 1e0))) * (exp(p_size % 7 + 1e0) - exp(-(p_size % 7 + 1e0))) / 2, 6) AS i, round(exp(-p_size / 20e0), 6) AS matern FROM part WHERE p_size <= 20")
+@query("SELECT p_partkey AS id, round(sqrt(pi() / (2 * p_size)) * exp(-p_size) * 1e9, 3) AS k, round(sqrt(2 / (pi() * (p_size % 7 + 1e0))) * (exp(p_size % 7 + 1e0) - exp(-(p_size % 7 + 1e0))) / 2, 6) AS i, round(exp(-p_size / 20e0), 6) AS matern FROM part")
 def bessel_halves(spark, d):
     """Bessel functions of order 1/2 and the Matern covariance of nu = 1/2, which have closed forms."""
     @F.pandas_udf("k double, i double, matern double")
@@ -302,7 +315,7 @@ def bessel_halves(spark, d):
         x = size.to_numpy().astype(float)
         return pd.DataFrame({"k": K.bessel_k(0.5, x), "i": K.bessel_i(0.5, x % 7 + 1), "matern": K.matern(0.5, x / 10, 2.0)})
 
-    rows = part(spark, d).where("p_size <= 20").select("p_partkey", of("p_size").alias("f"))
+    rows = part(spark, d).select("p_partkey", of("p_size").alias("f"))
     return rows.select(F.col("p_partkey").alias("id"), F.round(F.col("f.k") * 1e9, 3).alias("k"), F.round("f.i", 6).alias("i"), F.round("f.matern", 6).alias("matern"))
 
 
