@@ -117,7 +117,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, roll_bytes: in
     shard_bytes = total / shards if shards else max(SHARD_BYTES, total / SHARDS)
     bounds = shard_bounds(placed(groups).withColumn("weight", F.col("n") * (F.col("bytes") + HEAD_BYTES)), shard_bytes or 1)
     copies = groups.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.sum("n").alias("all")).where("all > 1").select("digest", "first")
-    told = groups.select("page_id", "digest").join(copies, "digest")
+    told = groups.select("page_id", "digest").join(stored(copies, "copies"), "digest")  # stored, so that a frequent digest can be split
     both = rows.withColumn("kind", F.lit(1)).unionByName(told.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     both = placed(both).withColumn("shard", shard_of(bounds)).select("shard", "page_id", "digest", "kind", "url", "payload", "first")
     store, folder = fs.FileSystem.from_uri(path)

@@ -51,6 +51,16 @@ def test_least_bytes_and_empty_table(spark, tmp_path):
     assert read_warc(write_warc(df.where("page_id = 0"), path), path).collect() == []
 
 
+def test_frequent_payload_and_clashing_names(spark, tmp_path):
+    rows = [(k, f"http://x/{k}", "empty page" if k % 4 else f"page {k}", "a", "b", "c") for k in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, shard string, kind string").repartition(3)
+    path = f"file://{tmp_path}/hot"
+    back = {r.page_id: r for r in read_warc(write_warc(df, path), path).collect()}
+    assert sorted(back) == list(range(400)) and all(back[k].payload_digest == digest(h) for k, _, h, *_ in rows)
+    assert {(r.record_type, r.refers_to) for k, r in back.items() if k % 4 and k != 399} == {("revisit", 399)}
+    assert {(r.record_type, r.refers_to) for k, r in back.items() if k % 4 == 0 or k == 399} == {("response", None)}
+
+
 def test_record_is_deterministic():
     assert record(1, 0, "u", b"p", None, False) == record(1, 0, "u", b"p", None, False)
     text = gzip.decompress(record(1, 0, "http://x/\n", b"p", 9, True)).decode()
