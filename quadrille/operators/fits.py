@@ -98,3 +98,87 @@ def scaling_fit(points: DataFrame, start: tuple[float, ...], delta: float = 1e-3
             if damp > 1e9:
                 break
     return tuple(float(x) for x in p), float(cost)
+
+
+def bounded_minimum(f, start, low, high, memory: int = 8, rounds: int = 200, flat: float = 1e-7, least: float = 1e-11) -> tuple[np.ndarray, float, bool, int]:
+    """(x, value, settled, evaluations): a minimum of f, which gives (value, slope), within bounds, by limited-memory curvature.
+
+    Each round takes a direction from the last ``memory`` changes of x and slope, over the parameters that no bound holds, and
+    shortens the step, cut off at the bounds, until the value falls enough.  It has settled where the slope that bounds leave
+    is flat, or the last rounds brought next to nothing; else it says that it hasn't.
+    """
+    low, high = np.asarray(low, float), np.asarray(high, float)
+    x = np.clip(np.asarray(start, float), low, high)
+    (value, slope), calls, pairs, still = f(x), 1, [], 0
+    for _ in range(rounds):
+        left = np.clip(x - slope, low, high) - x
+        if np.abs(left).max() <= flat * max(1.0, abs(value)):
+            return x, value, True, calls
+        free = ~(((x <= low) & (slope > 0)) | ((x >= high) & (slope < 0)))
+        d, kept = np.where(free, slope, 0.0), []
+        for s, y in reversed(pairs):
+            s, y = np.where(free, s, 0.0), np.where(free, y, 0.0)
+            if s @ y > 1e-12 * (y @ y):
+                a = s @ d / (s @ y)
+                d = d - a * y
+                kept.append((a, s, y))
+        if kept:
+            _, s, y = kept[0]
+            d = d * (s @ y) / (y @ y)
+        else:
+            d = d / max(1.0, np.abs(slope).sum())
+        for a, s, y in reversed(kept):
+            d = d + (a - y @ d / (s @ y)) * s
+        d = -np.where(free, d, 0.0)
+        if d @ slope >= 0:
+            d, pairs = np.where(free, -slope, 0.0) / max(1.0, np.abs(slope).sum()), []
+        step, moved = 1.0, None
+        while step > 1e-12:
+            trial = np.clip(x + step * d, low, high)
+            new, new_slope = f(trial)
+            calls += 1
+            if np.isfinite(new) and new <= value + 1e-4 * (slope @ (trial - x)):
+                moved = trial
+                break
+            step /= 2 if step > 1e-3 else 10
+        if moved is None:
+            if not pairs:
+                return x, value, bool(np.abs(left).max() <= 1e3 * flat * max(1.0, abs(value))), calls
+            pairs = []  # curvature of another place: start again from the slope
+            continue
+        s, y = moved - x, new_slope - slope
+        if s @ y > 1e-12 * (y @ y):
+            pairs = [*pairs, (s, y)][-memory:]
+        still = still + 1 if value - new <= least * max(abs(value), 1e-300) else 0
+        x, value, slope = moved, new, new_slope
+        if still >= 3:
+            return x, value, True, calls
+    return x, value, False, calls
+
+
+def bounded_scaling_fit(points: DataFrame, start: tuple[float, ...], low: tuple[float, ...], high: tuple[float, ...], delta: float = 1e-3, rounds: int = 200) -> tuple[tuple[float, ...], float, bool]:
+    """(parameters, objective, settled) of the scaling law within bounds: every evaluation is one aggregate of loss and slopes.
+
+    Parameters are measured by the curvature at the start, so that exponents and logarithms are of one size.
+    """
+    points = points.select("n", "d", "loss")
+
+    def sums(p) -> tuple[float, np.ndarray, np.ndarray]:
+        a, b, e, alpha, beta = (F.lit(float(x)) for x in p)
+        t1, t2, t3 = F.exp(a - alpha * F.log("n")), F.exp(b - beta * F.log("d")), F.exp(e)
+        s = t1 + t2 + t3
+        j = [t1 / s, t2 / s, t3 / s, -t1 / s * F.log("n"), -t2 / s * F.log("d")]
+        rows = points.select(scaling_residual(F.col("n"), F.col("d"), F.col("loss"), p).alias("r"), *[c.alias(f"j{k}") for k, c in enumerate(j)])
+        size, push = F.abs("r"), F.greatest(F.least("r", F.lit(delta)), F.lit(-delta))
+        cost = F.sum(F.when(size <= delta, 0.5 * F.col("r") * F.col("r")).otherwise(delta * (size - 0.5 * delta)))
+        row = rows.agg(cost, *[F.sum(-push * F.col(f"j{k}")) for k in range(5)], *[F.sum(F.least(F.lit(1.0), delta / size) * F.col(f"j{k}") * F.col(f"j{k}")) for k in range(5)]).first()
+        return row[0], np.array(row[1:6]), np.array(row[6:])
+
+    size = 1 / np.sqrt(np.maximum(sums(start)[2], 1e-12))
+
+    def f(x: np.ndarray) -> tuple[float, np.ndarray]:
+        cost, slope, _ = sums(x * size)
+        return cost, slope * size
+
+    x, cost, settled, _ = bounded_minimum(f, np.array(start) / size, np.array(low) / size, np.array(high) / size, rounds=rounds)
+    return tuple(float(v) for v in x * size), float(cost), settled

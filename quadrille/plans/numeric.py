@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import points as P
-from ..operators import linear, ordering
-from .catalogue import CU, part, query
+from ..operators import fits, linear, ordering, runs
+from .catalogue import CU, POINTS, part, query, scaling_points
 
 
 @query("""WITH ab AS (SELECT l_orderkey AS i, p_size AS j, 0.5e0 * sum(l_quantity * p_retailprice) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
@@ -58,3 +61,18 @@ def histogram_bisection(spark, d):
     """Four parts of equal weight by planes from histograms."""
     pts = P.cube_points(part(spark, d)).withColumn("w", F.col("id") % 5 + F.lit(1.0))
     return ordering.refined_bisect(pts, ["x", "y", "z"], 4, "w")[0].select("id", "part")
+
+
+@query(f"""WITH {POINTS}, r AS (SELECT ln(loss) - ln(exp(ln(406.4e0) - 0.34e0 * ln(n)) + exp(ln(410.7e0) - 0.28e0 * ln(d)) + exp(ln(1.69e0))) AS r FROM p)
+SELECT round(sum(CASE WHEN abs(r) <= 1e-3 THEN 0.5e0 * r * r ELSE 1e-3 * (abs(r) - 0.5e-3) END), 6) AS at_start, TRUE AS settled, TRUE AS within, TRUE AS lowest FROM r""")
+def scaling_fit_bounded(spark, d):
+    """The fit within bounds: whether it settled, kept to them, and no allowed step of a parameter has less."""
+    start = (math.log(406.4), math.log(410.7), math.log(1.69), 0.34, 0.28)
+    low, high = (0.0, 0.0, -2.0, 0.0, 0.0), (25.0, 25.0, 2.0, 2.0, 2.0)
+    points = scaling_points(spark, d)
+    p, _, settled = fits.bounded_scaling_fit(points, start, low, high)
+    steps = [tuple(min(max(x + step * (k == j), lo), hi) for j, (x, lo, hi) in enumerate(zip(p, low, high, strict=True))) for k in range(5) for step in (-1e-2, 1e-2)]
+    at = points.agg(*[F.sum(K.huber(runs.scaling_residual(F.col("n"), F.col("d"), F.col("loss"), t), 1e-3)).alias(f"o{k}") for k, t in enumerate([start, p, *steps])])
+    within = all(lo <= x <= hi for x, lo, hi in zip(p, low, high, strict=True))
+    lowest = (F.least(*[f"o{k}" for k in range(2, 12)]) >= F.col("o1") * (1 - 1e-3)) & (F.col("o1") < F.col("o0"))
+    return at.select(F.round("o0", 6).alias("at_start"), F.lit(settled).alias("settled"), F.lit(within).alias("within"), lowest.alias("lowest"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.operators import linear, ordering, runs
+from quadrille.operators import fits, linear, ordering, runs
 from quadrille.sources import files
 
 
@@ -93,3 +93,19 @@ def test_long_transforms(spark, n, monkeypatch):
     rows = [(k, float(v.real), float(v.imag)) for k, v in enumerate(x) if v]
     got = linear.long_fft(spark.createDataFrame(rows, "t long, re double, im double"), n).toPandas().sort_values("k")
     assert got.k.tolist() == list(range(n)) and np.allclose(got.re + 1j * got.im, np.fft.fft(x), atol=1e-8)
+
+
+def test_bounded_minimum_settles_or_says_so():
+    def valley(x):
+        return 100 * (x[1] - x[0] ** 2) ** 2 + (1 - x[0]) ** 2, np.array([-400 * x[0] * (x[1] - x[0] ** 2) - 2 * (1 - x[0]), 200 * (x[1] - x[0] ** 2)])
+
+    x, value, settled, _ = fits.bounded_minimum(valley, [-1.2, 1], [-5, -5], [5, 5])
+    assert settled and value < 1e-10 and np.allclose(x, 1, atol=1e-4)
+    x, value, settled, _ = fits.bounded_minimum(valley, [-1.2, 1], [-5, -5], [0.5, 5])
+    assert settled and np.allclose(x, [0.5, 0.25], atol=1e-4)
+    assert not fits.bounded_minimum(valley, [-1.2, 1], [-5, -5], [5, 5], rounds=3)[2]
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(8, 8)), rng.normal(size=8)
+    a = a @ a.T + np.eye(8) * 0.01
+    x, _, settled, _ = fits.bounded_minimum(lambda x: (0.5 * x @ a @ x - b @ x, a @ x - b), np.zeros(8), np.full(8, -0.3), np.full(8, 0.3))
+    assert settled and np.abs(np.clip(x - (a @ x - b), -0.3, 0.3) - x).max() < 1e-5
