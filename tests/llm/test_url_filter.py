@@ -1,8 +1,9 @@
 import itertools
 
-from quadrille.llm import url_filter
+from pyspark.sql import functions as F
+
 from quadrille.llm.queries import URL_RULES
-from quadrille.llm.url_filter import filter_urls, reversed_key, rule_stacks
+from quadrille.llm.url_filter import filter_urls, host_stacks, path_stacks, rule_table
 
 
 def plain(url, rules, default="allow"):
@@ -38,23 +39,53 @@ def test_nested_rules_and_ties(spark):
     assert got == {u: plain(u, rules) for u in urls}
 
 
-def test_more_rules_than_one_sweep_takes(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
-    rules = [("block", "a", "/x"), ("allow", "b.a", ""), ("block", "c.b.a", ""), ("allow", "a", "/x"), ("block", "A", ""), ("block", "b.a", "/x"), ("allow", "b.a", "/x")]
-    urls = [f"h://{h}{p}" for h in ("a", "b.a", "c.b.a", "z.c.b.a", "ab.a", "b.a.c") for p in ("", "/x", "/xy", "/y")]
-    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+def test_rules_as_a_table_and_host_in_capitals(spark):
+    rules = [("block", "a", "/x"), ("allow", "b.a", ""), ("block", "c.b.a", ""), ("allow", "a", "/x"), ("block", "A", ""), ("block", "b.a", "/x"), ("allow", "b.a", "/x"), ("allow", "c.b.a", "/x/y/z")]
+    urls = [f"h://{h}{p}" for h in ("a", "b.a", "c.b.a", "z.c.b.a", "ab.a", "b.a.c") for p in ("", "/x", "/xy", "/y", "/x/y/z/", "/x/y")]
+    given = spark.createDataFrame(rules, "verdict string, host string, path string")
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), given).collect()}
     assert got == {u: plain(u, [(v, h.lower(), p) for v, h, p in rules]) for u in urls}
 
 
+def test_many_rules_that_nest_under_one_domain(spark, tiny):
+    """100,000 rules of one domain, in hosts and in paths, among them some that fit no page; in as many ranges as there are."""
+    many = [("block" if k % 3 else "allow", f"h{k % 50}.example.com" if k % 2 else "example.com", f"/p{k}/") for k in range(100_000)]
+    nested = [("allow" if k % 2 else "block", ".".join(["d"] * k + ["example.com"]), "/" + "s" * k) for k in range(60)]
+    rules = many + nested
+    urls = [f"https://{h}/{p}" for h in ("example.com", "h3.example.com", "x.h49.example.com", "d.d.d.example.com", ".".join(["d"] * 70) + ".example.com", "example.org") for p in ("", "p3/q", "p6/", "p49/", "p99999/", "p4/", "s", "ss?p", "s" * 100, "p100000/")]
+    wide = {(h, p): v for v, h, p in rules}
+
+    def looked_up(url):
+        host, path, _, _ = plain(url, [])
+        labels = host.split(".")
+        fits = [(h, p) for k in range(len(labels)) for n in range(len(path) + 1) if (h := ".".join(labels[k:]), p := path[:n]) in wide]
+        best = max(fits, key=lambda r: (len(r[0] + r[1]), len(r[0])), default=None)
+        return (host, path, best[0] + best[1], wide[best]) if best else (host, path, None, "allow")
+
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame([(u,) for u in urls] * 2, "url string"), rules).collect()}
+    assert got == {u: looked_up(u) for u in urls} and len({v[2] for v in got.values()}) > 9
+
+
+def test_a_hot_url_and_a_hot_host(spark):
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("http://a.com/en/")).otherwise(F.concat(F.lit("http://b.com/"), F.col("id"))).alias("url"))
+    got = filter_urls(df, [("block", "com", "/en"), ("block", "b.com", "/1"), ("allow", "b.com", "/19")])
+    seen = {(r.rule, r.verdict): r["count"] for r in got.groupBy("rule", "verdict").count().collect()}
+    ids = [k for k in range(30_000) if k % 3]
+    want = {("com/en", "block"): 10_000, ("b.com/19", "allow"): sum(str(k).startswith("19") for k in ids), ("b.com/1", "block"): sum(str(k).startswith("1") and not str(k).startswith("19") for k in ids)}
+    assert seen == want | {(None, "allow"): 30_000 - sum(want.values())}
+
+
 def test_empty_table_and_no_rules(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).collect() == []
     assert [r.verdict for r in filter_urls(spark.createDataFrame([(1, "h://a")], "page_id long, url string"), []).collect()] == ["allow"]
 
 
-def test_stacks():
-    assert reversed_key("www.example.com") == "com.example.www."
-    by_key = {s["key"]: [r["rule"] for r in s["stack"]] for s in rule_stacks(URL_RULES)}
-    assert by_key["com.example."] == ["example.com/en/7", "com/en/"]
+def test_stacks(spark):
+    rules = rule_table(spark.createDataFrame([*URL_RULES, ("block", "example.com", "/en")], "verdict string, host string, path string"))
+    hosts = {r.hk: sorted(r.open) for r in host_stacks(rules).collect()}
+    assert hosts["com.example."] == [4, 12] and hosts["com."] == [4]
+    paths = {(r.hk, r.rp): sorted(map(tuple, r.open)) for r in path_stacks(rules).collect()}
+    assert paths["com.example.", "/en/7"] == [(3, "block"), (5, "allow")]
 
 
 def test_native_plan(spark, tiny):
