@@ -239,7 +239,8 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), remainder(F.col("doc_id"), 7).cast("int").alias("part"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    answers = cut(rows.mapInArrow(_ask(buckets), ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer(buckets), ddl(ANSWER)))
+    answers = rows.mapInArrow(_ask(buckets), ddl(REQUEST)).groupBy("bucket").applyInArrow(_answer(buckets), ddl(ANSWER))
+    answers = cut(answers.coalesce(2 * buckets))  # no more files than groups, words and pairs of each bucket
     known = answers.where("chunk is null").agg(F.sum("distinct"), F.sum("total"), F.sum("total_main")).first()
     distinct, total, total_main = (x or 0 for x in known)
     uniform = 1 / (distinct + 1)
