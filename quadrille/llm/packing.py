@@ -71,8 +71,8 @@ def pack(docs: DataFrame, n_tokens: Column, lengths: tuple[int, ...] = LENGTHS,
     A row longer than the largest length, however long, is cut into pieces of that length and a rest; every token has one
     place.  A row of no (or null) tokens comes back once, with null bin columns.  Repeated rows and null ids are packed like
     others: they are counted, numbered and dealt apart.  Pieces are dealt to groups by a hash, and each group is packed
-    alone; of pieces of equal size the one of the smaller id goes first, and of bins with equal room the one opened last is
-    filled.  Other columns aren't read, whatever their names.  An empty table gives no rows.
+    alone; of pieces of equal size the one of the smaller id goes first, and of bins with equal room the one filled last is
+    taken.  Other columns aren't read, whatever their names.  An empty table gives no rows.
     """
     longest = max(lengths)
     counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("copies"))

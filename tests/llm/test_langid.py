@@ -46,6 +46,19 @@ def test_every_word_of_the_sample_is_known(spark):
     assert "onceonly" in fit(df).tables[0][0]
 
 
+def test_a_drawn_sample(spark):
+    """Where a language has more documents than the sample, some are drawn by their ids; accuracy with and without that."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = docs.where((remainder(F.col("doc_id"), 4) == 2) & F.col("lang").isNotNull())
+    known, right = {}, {}
+    for sample in (30, 3000):
+        model = fit(docs, sample)
+        known[sample] = len(model.tables[0][0])
+        right[sample] = predict(held, model, to="l").agg(F.avg((F.col("lang") == F.col("l.lang_pred")).cast("double"))).first()[0]
+    assert known[30] < known[3000] / 2 and right[30] >= 0.9 and right[3000] >= 0.98
+    assert len(fit(docs.repartition(7, "text"), 30).tables[0][0]) == known[30]
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert keep_identified(empty).collect() == []

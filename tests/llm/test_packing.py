@@ -65,6 +65,45 @@ def test_whole_table(spark, tiny):
     assert used / size > 0.95
 
 
+def plain_places(pieces):
+    """{(doc_id, start): (bin_id, bin_size, bin_used, offset)} of one group of (doc_id, start, size), by the rules as stated."""
+    pieces = sorted(pieces, key=lambda p: (-p[2], p[0], p[1]))
+    bins, filled, at = [], [], {}
+    for k, (doc, start, size) in enumerate(pieces):
+        fits = [(c - sum(own), -filled[n], n) for n, (c, own) in enumerate(bins) if c - sum(own) >= size]
+        if fits:
+            n = min(fits)[2]  # least room; of equal room the one filled last
+        else:
+            later = [p[2] for p in pieces[k + 1 :]]
+            n = len(bins)
+            bins.append((min((c for c in LENGTHS if c >= size), key=lambda c, size=size, later=later: (c + OVERHEAD) / (size + min(c - size, sum(s for s in later if s <= c - size)))), []))
+            filled.append(0)
+        at[doc, start] = (n, sum(bins[n][1]))
+        bins[n][1].append(size)
+        filled[n] = k
+    used = [sum(own) for _, own in bins]
+    return {p: (f"0-{n}", min(c for c in LENGTHS if c >= used[n]), used[n], offset) for p, (n, offset) in at.items()}
+
+
+def test_whole_table_against_plain_places(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    pieces = []
+    for r in docs.collect():
+        n = len(r.text.split()) + 1
+        pieces += [(r.doc_id, s, min(8192, n - s)) for s in range(0, n, 8192)]
+    got = {(r.doc_id, r.start): (r.bin_id, r.bin_size, r.bin_used, r.bin_offset) for r in pack(docs, word_tokens(F.col("text"))).collect()}
+    assert got == plain_places(pieces)
+
+
+def test_equal_sizes_go_by_id(spark):
+    rows = [(k, 300 if k % 2 else 200) for k in (9, 3, 7, 1, 8, 2, 6, 4, 5, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, n long").repartition(4)
+    got = {(r.doc_id, r.start): (r.bin_id, r.bin_size, r.bin_used, r.bin_offset) for r in pack(df, F.col("n")).collect()}
+    assert got == plain_places([(k, 0, n) for k, n in rows])
+    places = sorted((got[k, 0][0], got[k, 0][3]) for k in (1, 3, 5, 7, 9))
+    assert [(got[k, 0][0], got[k, 0][3]) for k in (1, 3, 5, 7, 9)] == places
+
+
 def test_edge_rows(spark):
     rows = [(1, 0, "x"), (2, None, "x"), (3, 8192, "x"), (4, 8193, "x"), (5, 1_000_000, "x"), (None, 7, "x"), (None, 7, "x"), (6, 10, "x")] + [(7, 5, "x")] * 500
     df = spark.createDataFrame(rows, "doc_id long, n long, bin_id string")
