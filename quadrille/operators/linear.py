@@ -63,9 +63,10 @@ def tiles(entries: DataFrame, row: str, column: str) -> DataFrame:
 def tiled_product(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None) -> DataFrame:
     """(i, j, v): alpha A B + beta C of coordinate matrices A (i, k, v), B (k, j, v) and C (i, j, v) with integer indices.
 
-    Tiles of A meet those of B that share their k, and are multiplied as dense arrays; each task sums what it has of a tile of
-    the result before that moves.  So rows grow with the tiles, not with every pair of entries.  Entries of one place add up,
-    null entries are none.  A place is in the result if a pair of entries or one of C is behind it.
+    Tiles of A with TILE entries or more meet those of B that share their k, and are multiplied as dense arrays; each task sums
+    what it has of a tile of the result before that moves.  So rows grow with the tiles, not with every pair of entries.
+    Entries of emptier tiles meet those of B one by one.  Entries of one place add up, null entries are none.  A place is in
+    the result if a pair of entries or one of C is behind it.
     """
     import numpy as np
     import pandas as pd
@@ -102,9 +103,16 @@ def tiled_product(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float =
             i, j = np.nonzero(met[ti, tj])
             yield pd.DataFrame({"i": i + ti * TILE, "j": j + tj * TILE, "v": alpha * total[i, j]})
 
-    left, right = cut(tiles(a, "i", "k")), cut(tiles(b, "k", "j"))
+    tile = [F.floor(F.col(c) / TILE).cast("long").alias(f"t{c}") for c in ("i", "k")]
+    a, b = a.where("v is not null"), b.where("v is not null")
+    full = cut(a.groupBy(*tile).agg(F.count("*").alias("n")).where(F.col("n") >= TILE).drop("n"))
+    at, names = a.select("*", *tile), ["ti", "tk"]
+    few = at.join(full, names, "left_anti").select("i", "k", (F.lit(float(alpha)) * F.col("v")).alias("v"))
+    alone = gemm(few, b).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")
+    left, right = cut(tiles(at.join(full, names, "left_semi").select("i", "k", "v"), "i", "k")), tiles(b, "k", "j")
+    right = cut(right.join(left.select("tk").distinct(), "tk", "left_semi"))
     pairs = left.withColumnRenamed("e", "ea").join(right.withColumnRenamed("e", "eb"), "tk").select("ti", "tj", "ea", "eb")
-    out = pairs.mapInPandas(multiplied, "i long, j long, v double")
+    out = pairs.mapInPandas(multiplied, "i long, j long, v double").unionByName(alone)
     if c is not None:
         out = out.unionByName(c.where("v is not null").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), (F.lit(float(beta)) * F.col("v")).alias("v")))
     return out.groupBy("i", "j").agg(F.sum("v").alias("v"))

@@ -109,3 +109,22 @@ def test_bounded_minimum_settles_or_says_so():
     a = a @ a.T + np.eye(8) * 0.01
     x, _, settled, _ = fits.bounded_minimum(lambda x: (0.5 * x @ a @ x - b @ x, a @ x - b), np.zeros(8), np.full(8, -0.3), np.full(8, 0.3))
     assert settled and np.abs(np.clip(x - (a @ x - b), -0.3, 0.3) - x).max() < 1e-5
+
+
+def test_empty_tiles_meet_by_entries(spark, monkeypatch):
+    """Each entry alone in its tile was a dense tile of its own."""
+    dense, tiles = [], linear.tiles
+
+    def counted(entries, row, column):
+        out = tiles(entries, row, column)
+        dense.append(out.count())
+        return out
+
+    monkeypatch.setattr(linear, "tiles", counted)
+    a = spark.range(200).selectExpr("id * 1000 AS i", "id * 700 AS k", "1.5D AS v").unionByName(spark.range(600).selectExpr("id % 2 AS i", "id DIV 2 AS k", "1.0D AS v"))
+    b = spark.range(200).selectExpr("id * 700 AS k", "id % 7 AS j", "2.0D AS v")
+    got = {(r.i, r.j): r.v for r in linear.tiled_product(a, b, 2.0).collect()}
+    want = {(k * 1000, k % 7): 6.0 for k in range(200)}
+    want[0, 0] += 4.0
+    want[1, 0] = 4.0
+    assert got == want and dense[0] == 1
